@@ -1,0 +1,32 @@
+"""The query catalogue."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.plans import query
+
+
+@query("""
+SELECT s_nationkey, strftime(l_shipdate, '%Y%m') AS ship_month,
+       count(*) FILTER (WHERE l_returnflag <> 'R') AS n_kept,
+       count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned,
+       quantile_cont(l_extendedprice / l_quantity, 0.5) FILTER (WHERE l_returnflag <> 'R') AS unit_price_median
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+GROUP BY 1, 2
+""")
+def monthly_unit_price_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median unit price by supplier nation and month, returned lines left out."""
+    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    kept = F.col("l_returnflag") != "R"
+    return (
+        line.join(supplier, line.l_suppkey == supplier.s_suppkey)
+        .groupBy("s_nationkey", F.date_format("l_shipdate", "yyyyMM").alias("ship_month"))
+        .agg(
+            F.count_if(kept).alias("n_kept"),
+            F.count_if(~kept).alias("n_returned"),
+            F.percentile(F.when(kept, F.col("l_extendedprice") / F.col("l_quantity")), F.lit(0.5)).alias("unit_price_median"),
+        )
+    )
