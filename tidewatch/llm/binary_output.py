@@ -5,8 +5,8 @@ A shard is a pair of files. ``shard-N.bin`` holds records one behind another::
     length of the payload, 8 bytes | masked crc32 of these 8 bytes, 4 bytes
     payload                        | masked crc32 of the payload, 4 bytes
 
-The payload is the document id (signed, 8 bytes) and then its token ids, 4 bytes each; all is
-little-endian. The mask is that of record files in common use: the crc rotated right by 15 bits plus
+The payload is the document id (signed, 8 bytes), the width of an id (2 or 4, one byte) and then the
+token ids, in 2 bytes each where all of the document's are below 65536, else in 4; all is little-endian. The mask is that of record files in common use: the crc rotated right by 15 bits plus
 a constant, so that a crc of data that holds crcs is no trivial value. ``shard-N.idx`` has 8 bytes
 for each record, its offset in the other file, so that a reader may visit records in any order.
 """
@@ -36,14 +36,16 @@ def masked(data: bytes) -> int:
 
 
 def record(doc_id: int, ids: bytes) -> bytes:
-    """One framed record."""
-    payload = doc_id.to_bytes(8, "little", signed=True) + ids
+    """One framed record of ids that are given as 4 bytes each."""
+    values = np.frombuffer(ids, "<u4")
+    width = 2 if len(values) == 0 or values.max() < 1 << 16 else 4
+    payload = doc_id.to_bytes(8, "little", signed=True) + bytes([width]) + values.astype(f"<u{width}").tobytes()
     length = len(payload).to_bytes(8, "little")
     return length + masked(length).to_bytes(4, "little") + payload + masked(payload).to_bytes(4, "little")
 
 
 def unframe(stream, offset: int) -> tuple[int, bytes]:
-    """(document id, id bytes) of the record at an offset; ValueError where a checksum is wrong."""
+    """(document id, ids as 4 bytes each) of the record at an offset; ValueError where a checksum is wrong."""
     stream.seek(offset)
     head = stream.read(12)
     if masked(head[:8]) != int.from_bytes(head[8:], "little"):
@@ -52,7 +54,8 @@ def unframe(stream, offset: int) -> tuple[int, bytes]:
     body = stream.read(n + 4)
     if len(body) != n + 4 or masked(body[:n]) != int.from_bytes(body[n:], "little"):
         raise ValueError(f"the record at {offset} is damaged")
-    return int.from_bytes(body[:8], "little", signed=True), body[8:n]
+    ids = np.frombuffer(body[9:n], f"<u{body[8]}").astype("<u4").tobytes()
+    return int.from_bytes(body[:8], "little", signed=True), ids
 
 
 def _store(path: str):

@@ -11,7 +11,7 @@ import pyarrow as pa
 #: Id put after each document.
 END_ID = 2
 #: Distinct stretches that a Python worker remembers; beyond it the memory is emptied and filled anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: A byte-level pre-tokenizer never joins a character other than white space with white space behind
 #: it, so ids of such stretches put together are the ids of the whole text.
 _STRETCH = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -20,6 +20,16 @@ _WHOLE = re.compile(r"[^\S \n]|<\|")
 _LOADED: dict[str, tuple[object, dict[str, bytes]]] = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write a byte: visible Latin-1 characters as they are, the others from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or (161 <= b <= 255 and b != 173)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 def vocabulary_path() -> str:
     """Where the byte-level vocabulary is on this machine."""
     import public_tokenizers
@@ -43,6 +53,25 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     def packed(encoding) -> bytes:
         return np.array(encoding.ids, "<u4").tobytes()
 
+    def word(part: str) -> bytes:
+        """A stretch of letters behind one space or none: the pre-tokenizer leaves it whole."""
+        spelt = part.encode().decode("latin-1").translate(_LETTERS)
+        return np.array([t.id for t in tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+
+    def learn(parts: set[str]) -> None:
+        rest = []
+        for part in parts:
+            core = part[1:] if part[0] == " " else part
+            if core.isalpha():
+                known[part] = word(part)
+            elif core[-1] in ".,!" and core[:-1].isalpha():
+                before = known.get(part[:-1])
+                known[part] = (word(part[:-1]) if before is None else before) + marks[core[-1]]
+            else:
+                rest.append(part)
+        known.update(zip(rest, map(packed, tokenizer.encode_batch(rest, add_special_tokens=False)), strict=True))
+
+    marks = {m: packed(tokenizer.encode(m, add_special_tokens=False)) for m in ".,!"}
     out = []
     for text in texts:
         if not text:
@@ -58,8 +87,7 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
                 pass
             if len(known) > REMEMBERED:
                 known.clear()
-            new = [*{p for p in parts if p not in known}]
-            known.update(zip(new, map(packed, tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+            learn({p for p in parts if p not in known})
             out.append(b"".join([known[p] for p in parts]))
     return out
 
