@@ -64,7 +64,7 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
             core = part[1:] if part[0] == " " else part
             if core.isalpha():
                 known[part] = word(part)
-            elif core[-1] in ".,!" and core[:-1].isalpha():
+            elif core[-1:] in (".", ",", "!") and core[:-1].isalpha():
                 before = known.get(part[:-1])
                 known[part] = (word(part[:-1]) if before is None else before) + marks[core[-1]]
             else:
