@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import binary_output, packing, quality_rules
+from tidewatch.llm import binary_output, jaccard_join, packing, quality_model, quality_rules, substring_dedup, toxicity
 
 
 def queries() -> dict:
     """Query name -> function of (spark, sf_dir)."""
-    found = [packing.op2_best_fit_packing, quality_rules.op5_quality_rules, binary_output.op9_binary_output]
+    found = [
+        toxicity.op1_toxicity,
+        packing.op2_best_fit_packing,
+        substring_dedup.op3_substring_dedup,
+        jaccard_join.op4_ngram_jaccard_join,
+        quality_rules.op5_quality_rules,
+        quality_model.op6_quality_classifier,
+        binary_output.op9_binary_output,
+    ]
     return {f.__name__: f for f in found}
 
 
