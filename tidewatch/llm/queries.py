@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import binary_output, jaccard_join, packing, quality_model, quality_rules, substring_dedup, toxicity
+from tidewatch.llm import binary_output, embedding_dedup, jaccard_join, license_scan, packing, quality_model, quality_rules, sentencepiece_codec, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,7 +14,10 @@ def queries() -> dict:
         jaccard_join.op4_ngram_jaccard_join,
         quality_rules.op5_quality_rules,
         quality_model.op6_quality_classifier,
+        sentencepiece_codec.op7_sentencepiece,
+        embedding_dedup.op8_embedding_near_dedup,
         binary_output.op9_binary_output,
+        license_scan.op10_license_scan,
     ]
     return {f.__name__: f for f in found}
 
