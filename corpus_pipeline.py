@@ -3,25 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import common, packing, quality_rules, tokens
+from tidewatch.llm import common, jaccard_join, packing, quality_rules, substring_dedup, tokens
+from tidewatch.llm import toxicity as toxic
 
 #: SQL cannot express the models and the search; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that the toxicity model, learnt from the labels, does not call toxic."""
+    model = toxic.fit(docs, common.read(spark, sf_dir, "labels"))
+    return toxic.score(docs, model).where(F.col("score") < toxic.THRESHOLD).select(docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality rules keep."""
     return quality_rules.judge(docs, docs.columns).where("kept").select(docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each group of documents linked by shared word shingles."""
+    first = jaccard_join.cluster(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    return docs.join(first, docs.doc_id == F.col("_first"), "left_semi").select(docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take repeated passages out of the texts."""
+    clean = substring_dedup.dedup(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
     return packing.pack(common.saved(packing.cut(docs, tokens.vocabulary_path()), "pieces"))
 
 
 STAGES = [
+    ("toxicity", toxicity),
     ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("substrings", substrings),
     ("pack", pack),
 ]
 
