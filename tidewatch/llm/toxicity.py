@@ -24,7 +24,7 @@ WORD = re.compile(r"[^\W_]+")
 PASSAGE = 16
 NGRAMS = (3, 4, 5)
 BUCKETS, WIDTH = 1 << 16, 8
-EPOCHS, BATCH, RATE = 3, 256, 0.1
+STEPS, BATCH, RATE = 1500, 256, 0.1
 #: Labelled documents that are learnt from, and passages of each: they bound what the driver holds.
 TRAIN_DOCS, TRAIN_PASSAGES = 4000, 128
 #: A score from which a document counts as toxic.
@@ -93,7 +93,7 @@ def train(rows: list[tuple[int, list[list[str]]]], seed: int = 0) -> Model:
     softmax = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
     bias = np.log(np.array([1 - labels.mean(), labels.mean()], np.float32))
     seen = [np.full(BUCKETS, 1e-6, np.float32), np.full((WIDTH, 2), 1e-6, np.float32)]
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // max(len(words), BATCH))):
         order = rng.permutation(len(words))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
