@@ -36,8 +36,12 @@ REMEMBERED = 1_000_000
 def subwords(word: str) -> list[int]:
     """Buckets of the word and of its character n-grams."""
     marked = f"<{word}>"
-    found = {marked} | {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(x.encode()) % BUCKETS for x in found]
+    if marked.isascii():  # slices of bytes are n-grams of characters then
+        marked = marked.encode()
+        found = [marked, *[marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)]]
+    else:
+        found = [marked.encode(), *[marked[i : i + n].encode() for n in NGRAMS for i in range(len(marked) - n + 1)]]
+    return [zlib.crc32(x) % BUCKETS for x in dict.fromkeys(found)]
 
 
 def passages(text: str | None) -> list[list[str]]:
@@ -51,6 +55,7 @@ class Model:
 
     def __init__(self, scores: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
         self.scores, self.bias, self.slope, self.shift = scores, bias, slope, shift
+        self.listed = scores.tolist()
         self.known: dict[str, float] = {}
 
     def worst(self, text: str | None) -> float:
@@ -61,8 +66,9 @@ class Model:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for w in {*words} - known.keys():
-            known[w] = float(self.scores[subwords(w)].mean())
+        for w in {*words}.difference(known):
+            own = [self.listed[i] for i in subwords(w)]
+            known[w] = sum(own) / len(own)
         parts = [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)]
         return max(sum([known[w] for w in dict.fromkeys(part)]) / len(part) for part in parts) + self.bias
 
