@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 _QUERIES: dict = {}
 _ORACLE: dict = {}
 
 
+def _load() -> None:
+    from tidewatch.plans import aggregates, domain, evaluation, joins, scalars, series  # noqa: F401  they register themselves
+
+
 def queries() -> dict:
     """Query name -> function of (spark, sf_dir)."""
-    from tidewatch.plans import catalogue  # noqa: F401  registers the queries
-
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
     """Query name -> DuckDB SQL."""
-    from tidewatch.plans import catalogue  # noqa: F401
-
+    _load()
     return dict(_ORACLE)
 
 
@@ -30,3 +34,8 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
