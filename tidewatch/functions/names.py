@@ -24,9 +24,13 @@ def title(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"^\s*(?:\[[^\]]*\]\s*)+", ""), r"\s+", "")
 
 
-@F.pandas_udf("string")
-def _nfkc(names: pd.Series) -> pd.Series:
-    return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _nfkc(name: Column) -> Column:
+    """Compatibility form, which no built-in function gives."""
+
+    def fold(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(fold, "string", F.PandasUDFType.SCALAR)(name)
 
 
 def corp_key(name: Column) -> Column:

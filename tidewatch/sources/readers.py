@@ -52,7 +52,7 @@ def sections(spark: SparkSession, path: str, start: str, end: str, most: int = 4
     Files come as whole binaries, so each has to fit into a task; they are tens of MB.
     """
     f = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.col("content").cast("string")
     at = F.locate(start, text)
     head = F.substr(text, F.lit(1), at - 1)
     title = F.locate("ELTIT<", F.reverse(head))
