@@ -11,6 +11,8 @@ from tests.llm import brute
 from tidewatch.llm import binary_output, common, embedding_dedup, jaccard_join, labelled, license_scan, packing, quality_model, quality_rules, sentencepiece_codec, substring_dedup, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
+#: Large enough for some hundred documents of the rarer label to learn from.
+LABELLED = "/root/testdata/sf0.1"
 #: Extra columns with names that the operators use themselves.
 CLASHING = ["score", "component_id", "h", "n", "shard", "piece", "kept", "posterior", "words", "ids"]
 
@@ -246,25 +248,25 @@ def test_alignment_is_ordered():
 
 
 def accuracy(spark, rows, label):
-    known = common.read(spark, "/root/testdata/sf0.01", "labels").where(f"{label} is not null").select("doc_id", label)
+    known = common.read(spark, LABELLED, "labels").where(f"{label} is not null").select("doc_id", label)
     return rows.where("held_out").join(known, "doc_id").agg(F.count("*").alias("n"), F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("right")).first()
 
 
 def test_toxicity_on_documents_not_learnt_from(spark, odd, empty):
-    rows = toxicity.op1_toxicity(spark, "/root/testdata/sf0.01").cache()
+    rows = toxicity.op1_toxicity(spark, LABELLED).cache()
     r = accuracy(spark, rows, "toxic")
-    assert r.n > 50 and r.right > 0.95
-    assert rows.where("score < 0 OR score > 1 OR score is null OR predicted != int(score >= 0.3)").count() == 0 and rows.count() == 1000
+    assert r.n > 500 and r.right > 0.95
+    assert rows.where("score < 0 OR score > 1 OR score is null OR predicted != int(score >= 0.3)").count() == 0 and rows.count() == 10000
     model = toxicity.fit(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     got = toxicity.score(odd, model)
     assert got.count() == len(odd_texts()) and got.where("score is null").count() == 0 and toxicity.score(empty, model).count() == 0
 
 
 def test_quality_on_documents_not_learnt_from(spark, odd, empty):
-    rows = quality_model.op6_quality_classifier(spark, "/root/testdata/sf0.01").cache()
+    rows = quality_model.op6_quality_classifier(spark, LABELLED).cache()
     r = accuracy(spark, rows, "quality")
-    assert r.n > 50 and r.right > 0.9
-    assert rows.where("score < 0 OR score > 1 OR score is null OR predicted != int(score >= 0.7)").count() == 0 and rows.count() == 1000
+    assert r.n > 500 and r.right > 0.9
+    assert rows.where("score < 0 OR score > 1 OR score is null OR predicted != int(score >= 0.7)").count() == 0 and rows.count() == 10000
     model = quality_model.fit(empty, spark.createDataFrame([], "doc_id long, quality int"))
     got = quality_model.score(odd, model)
     assert got.count() == len(odd_texts()) and got.where("score is null").count() == 0 and quality_model.score(empty, model).count() == 0

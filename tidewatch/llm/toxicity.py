@@ -116,8 +116,8 @@ def train(rows: list[tuple[int, list[list[str]]]], seed: int = 0) -> Model:
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y.astype(int)] -= 1
             g_softmax = mean.T @ p / len(y)
-            g_word = np.zeros_like(word)
-            np.add.at(g_word, which, np.repeat(p @ softmax.T / size[:, None], distinct, 0))
+            g_each = np.repeat(p @ softmax.T / size[:, None], distinct, 0)
+            g_word = np.stack([np.bincount(which, g_each[:, k], len(ids)) for k in range(WIDTH)], 1)
             g_part = np.repeat(g_word / n_parts[ids][:, None], n_parts[ids], 0)
             hit, back = np.unique(parts, return_inverse=True)
             g = np.stack([np.bincount(back, g_part[:, k], len(hit)) for k in range(WIDTH)], 1).astype(np.float32)
