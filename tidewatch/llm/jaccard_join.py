@@ -132,7 +132,8 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
                 order = order[prefix]
                 group = common.mix(_sum_by(row[order], common.mix(key[order] ^ np.uint64(0xC2B2AE35)), n) ^ size.astype(np.uint64))
                 alone = np.bincount(row[~again], minlength=n) * 1000 // np.maximum(size, 1)
-                keep = again[order]
+                # shingles that no other document has are in no intersection: with too many of them nothing can be alike
+                keep = again[order] & (DEN * alone <= 1000 * (DEN - NUM))[row[order]]
                 order = order[keep]
                 r = row[order]
                 tokens.append(key[order])
@@ -165,7 +166,7 @@ def lists(posted: DataFrame, buckets: int) -> DataFrame:
             return
         token, group, meta = (np.concatenate([p[i] for p in parts]) for i in range(3))
         del parts
-        order = np.lexsort((group, meta[:, 0], token))
+        order = np.lexsort((meta[:, 1], group, meta[:, 0], token))  # of a group the least alone comes first
         token, group, meta = token[order], group[order], meta[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
@@ -173,6 +174,7 @@ def lists(posted: DataFrame, buckets: int) -> DataFrame:
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         length = np.repeat(np.diff(np.r_[start, len(token)]), np.diff(np.r_[start, len(token)]))
         size = meta[:, 0].astype(np.int64)
+        shared = (1000 - meta[:, 1]) * size
 
         short = np.flatnonzero((length >= 2) & (length <= SHORT_LIST))
         found = []
@@ -182,7 +184,7 @@ def lists(posted: DataFrame, buckets: int) -> DataFrame:
             if not same.any():
                 break
             a, b = a[same], b[same]
-            ok = DEN * size[a] >= NUM * size[b]
+            ok = (DEN * size[a] >= NUM * size[b]) & ((NUM + DEN) * np.minimum(shared[a], shared[b]) >= 1000 * NUM * (size[a] + size[b]))
             a, b = a[ok], b[ok]
             swap = group[a] > group[b]
             found.append(np.stack([np.where(swap, b, a), np.where(swap, a, b)], 1))
@@ -285,7 +287,11 @@ def cluster(docs: DataFrame) -> DataFrame:
 
     # long lists: each group against the most central one that it meets most often
     central = long.groupBy("token").agg(F.min(F.struct("alone", "grp", "size")).alias("c"))
-    star = long.join(central, "token").where((F.col("grp") != F.col("c.grp")) & (DEN * F.least("size", "c.size") >= NUM * F.greatest("size", "c.size")))
+    may = lambda one, other: (DEN * F.least(f"{one}size", f"{other}size") >= NUM * F.greatest(f"{one}size", f"{other}size")) & (
+        # an intersection has no shingle that only one document holds
+        (NUM + DEN) * F.least((1000 - F.col(f"{one}alone")) * F.col(f"{one}size").cast("long"), (1000 - F.col(f"{other}alone")) * F.col(f"{other}size").cast("long")) >= 1000 * NUM * (F.col(f"{one}size").cast("long") + F.col(f"{other}size").cast("long"))
+    )
+    star = long.join(central, "token").where((F.col("grp") != F.col("c.grp")) & may("", "c."))
     star = star.groupBy("grp", F.col("c.grp").alias("center")).agg(F.count("*").alias("n"))
     star = star.groupBy("grp").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
     one = heads.select("grp", "id")
@@ -304,12 +310,12 @@ def cluster(docs: DataFrame) -> DataFrame:
     many = known.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("grp")
     split = known.join(many, "grp", "left_semi")
     within = split.alias("a").join(split.alias("b"), "grp").where("a.component < b.component").select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    posts = long.select("token", "grp").join(known, "grp")
+    posts = long.select("token", "grp", "alone").join(known, "grp")
     many = posts.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
     posts = posts.join(many, "token", "left_semi")
     p, q = posts.alias("p"), posts.alias("q")
     a, b = F.col("p.size"), F.col("q.size")
-    cross = p.join(q, "token").where((F.col("p.component") < F.col("q.component")) & (DEN * F.least(a, b) >= NUM * F.greatest(a, b)))
+    cross = p.join(q, "token").where((F.col("p.component") < F.col("q.component")) & may("p.", "q."))
     cross = cross.groupBy(F.col("p.id").alias("x"), F.col("q.id").alias("y"), F.least("p.grp", "q.grp").alias("gx"), F.greatest("p.grp", "q.grp").alias("gy"), a.alias("a"), b.alias("b")).agg(F.count("*").alias("n_long"))
     cross = cross.join(pairs.select(F.col("x").alias("gx"), F.col("y").alias("gy"), "n"), ["gx", "gy"], "left")
     a, b = F.col("a"), F.col("b")
