@@ -26,6 +26,8 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Posting lists up to this length are paired off at once.
 SHORT_LIST = 64
+#: Words of 64 bits in a set's bitmap, the parities of its shingles' hashes.
+BITMAP = 8
 #: Slots kept as frequent, with their counts: a fixed size.
 FREQUENT_SLOTS = 1 << 16
 
@@ -89,7 +91,7 @@ def count_slots(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, common.COUNTS_SCHEMA)
 
 
-SIGNED = "doc_id long, n_shingles long, vertex long, grp long, bucket int, token binary, posted binary, meta binary"
+SIGNED = "doc_id long, n_shingles long, vertex long, grp long, bits array<long>, bucket int, token binary, posted binary, meta binary"
 
 
 def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
@@ -112,8 +114,8 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
             own = [(b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b + 1] > cut[b]]
             none = pa.nulls(len(own), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array([b for b, _ in own], pa.int32()), *[pa.array([x[o].tobytes() for _, o in own], pa.binary()) for x in (token, group, meta)]],
-                ["doc_id", "n_shingles", "vertex", "grp", "bucket", "token", "posted", "meta"],
+                [none, none, none, none, pa.nulls(len(own), pa.list_(pa.int64())), pa.array([b for b, _ in own], pa.int32()), *[pa.array([x[o].tobytes() for _, o in own], pa.binary()) for x in (token, group, meta)]],
+                ["doc_id", "n_shingles", "vertex", "grp", "bits", "bucket", "token", "posted", "meta"],
             )
 
         for batch in batches:
@@ -142,8 +144,8 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
                 n_held += len(r)
                 null = pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array(size.astype(np.int64)), pa.array(_signed(vertex)), pa.array(_signed(group)), pa.nulls(n, pa.int32()), null, null, null],
-                    ["doc_id", "n_shingles", "vertex", "grp", "bucket", "token", "posted", "meta"],
+                    [ids.slice(first, n), pa.array(size.astype(np.int64)), pa.array(_signed(vertex)), pa.array(_signed(group)), bitmaps(row, key, n), pa.nulls(n, pa.int32()), null, null, null],
+                    ["doc_id", "n_shingles", "vertex", "grp", "bits", "bucket", "token", "posted", "meta"],
                 )
             if n_held > 1 << 21:
                 yield postings()
@@ -154,6 +156,14 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
 
 
+def bitmaps(row: np.ndarray, key: np.ndarray, n: int) -> pa.Array:
+    """Of each of n sets the parities of its hashes by their lowest bits; where two differ, so do the sets."""
+    out = np.zeros((n, BITMAP), np.uint64)
+    bit = key % np.uint64(64 * BITMAP)
+    np.bitwise_xor.at(out, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BITMAP, pa.int32()), pa.array(_signed(out.ravel())))
+
+
 FOUND = "token long, x long, y long, size_x int, size_y int, alone int, n int"
 
 
@@ -263,11 +273,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     buckets = common.partitions(spark)
     filter_ = common.slot_counts(count_slots(docs, buckets), buckets, FREQUENT_SLOTS)
     signed = common.saved(signatures(docs, buckets, filter_), "signatures")
-    sets = signed.where("bucket is null").select("doc_id", "n_shingles", "vertex", "grp")
+    sets = signed.where("bucket is null").select("doc_id", "n_shingles", "vertex", "grp", "bits")
     found = common.saved(lists(signed.where("bucket is not null").select("bucket", "token", "posted", "meta"), buckets), "lists")
 
     # documents with different sets: the smallest id of each set stands for it
-    members = common.saved(sets.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("id"), F.min_by("grp", "doc_id").alias("grp"), F.first("n_shingles").alias("size")), "members")
+    members = common.saved(sets.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("id"), F.min_by("grp", "doc_id").alias("grp"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits")), "members")
     long = found.where("token is not null").select("token", F.col("x").alias("grp"), F.col("size_x").alias("size"), "alone")
     heads = members.groupBy("grp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
@@ -305,17 +315,20 @@ def cluster(docs: DataFrame) -> DataFrame:
 
     # what is left of long lists and groups: documents of different components
     labels = common.components(links, "x", "y")
-    known = members.join(labels, members.id == labels.node, "left").select("id", "grp", F.col("size").cast("long").alias("size"), F.coalesce("component", "id").alias("component"))
+    known = members.join(labels, members.id == labels.node, "left").select("id", "grp", F.col("size").cast("long").alias("size"), "bits", F.coalesce("component", "id").alias("component"))
     known = common.saved(known, "known")
     many = known.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("grp")
     split = known.join(many, "grp", "left_semi")
-    within = split.alias("a").join(split.alias("b"), "grp").where("a.component < b.component").select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
+    # bits that differ are at most the shingles that only one of two sets has
+    differ = lambda one, other: F.aggregate(F.zip_with(f"{one}.bits", f"{other}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    fits = lambda one, other: (NUM + DEN) * (F.col(f"{one}.size") + F.col(f"{other}.size") - differ(one, other)) >= 2 * NUM * (F.col(f"{one}.size") + F.col(f"{other}.size"))
+    within = split.alias("a").join(split.alias("b"), "grp").where((F.col("a.component") < F.col("b.component")) & fits("a", "b")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
     posts = long.select("token", "grp", "alone").join(known, "grp")
     many = posts.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
     posts = posts.join(many, "token", "left_semi")
     p, q = posts.alias("p"), posts.alias("q")
     a, b = F.col("p.size"), F.col("q.size")
-    cross = p.join(q, "token").where((F.col("p.component") < F.col("q.component")) & may("p.", "q."))
+    cross = p.join(q, "token").where((F.col("p.component") < F.col("q.component")) & may("p.", "q.") & fits("p", "q"))
     cross = cross.groupBy(F.col("p.id").alias("x"), F.col("q.id").alias("y"), F.least("p.grp", "q.grp").alias("gx"), F.greatest("p.grp", "q.grp").alias("gy"), a.alias("a"), b.alias("b")).agg(F.count("*").alias("n_long"))
     cross = cross.join(pairs.select(F.col("x").alias("gx"), F.col("y").alias("gy"), "n"), ["gx", "gy"], "left")
     a, b = F.col("a"), F.col("b")
