@@ -207,7 +207,7 @@ def integer_median(spark, sf_dir):
 @query(f"""
 WITH {_MONTHS},
 d AS (SELECT a.c_nationkey, CAST(a.n - b.n AS DOUBLE) AS d FROM o a JOIN o b ON a.c_nationkey = b.c_nationkey AND b.month_no = a.month_no - 1)
-SELECT c_nationkey, count(*) AS n, round(avg(d), 6) AS mean_change, round(avg(d) / sqrt(var_samp(d) / count(*)), 6) AS t,
+SELECT c_nationkey, count(*) AS n, round(avg(d), 6) AS mean_change, CASE WHEN count(*) >= 2 AND var_samp(d) > 0 THEN round(avg(d) / sqrt(var_samp(d) / count(*)), 6) END AS t,
        round(avg(CASE WHEN d < 0 THEN 1.0 ELSE 0.0 END), 6) AS negative_share
 FROM d GROUP BY 1
 """)
