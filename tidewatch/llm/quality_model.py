@@ -98,8 +98,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.forward(x, row, docs)[0], -50, 50)))
 
 
-def train(rows: list[tuple[int, np.ndarray]], seed: int = 0) -> Model:
-    """A model from (label, passage features) of documents; no documents give one that scores everything alike."""
+def train(rows: list[tuple[int, np.ndarray]], seed: int = 0, shift: float = 0.0) -> Model:
+    """A model from (label, passage features) of documents; no documents give one that scores everything alike.
+
+    ``shift`` is added to the log odds, for rows that have not the labels' own shares.
+    """
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     w = {"mean": np.zeros(FEATURES), "spread": np.ones(FEATURES), "code": draw(FEATURES, CODE), "code_bias": np.zeros(CODE), "tanh": draw(CODE, GATE), "gate": draw(CODE, GATE), "attend": draw(GATE), "out": np.zeros(CODE), "out_bias": np.zeros(())}
@@ -130,6 +133,7 @@ def train(rows: list[tuple[int, np.ndarray]], seed: int = 0) -> Model:
             first[k] = 0.9 * first[k] + 0.1 * gk
             second[k] = 0.999 * second[k] + 0.001 * gk * gk
             w[k] = w[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    w["out_bias"] = w["out_bias"] + shift
     return model
 
 
@@ -140,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         x = np.concatenate([part for *_, part in encode(pa.array([text or ""]))])
         return x[:: -(-len(x) // TRAIN_PASSAGES)]
 
-    return train(labelled.sample(docs, labels, "quality", TRAIN_DOCS, some))
+    rows, shift = labelled.sample(docs, labels, "quality", TRAIN_DOCS, some)
+    return train(rows, shift=shift)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

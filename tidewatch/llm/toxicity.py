@@ -77,8 +77,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -50, 50))))
 
 
-def train(rows: list[tuple[int, list[list[str]]]], seed: int = 0) -> Model:
-    """A model from (label, passages) of documents; no documents give one that scores everything alike."""
+def train(rows: list[tuple[int, list[list[str]]]], seed: int = 0, shift: float = 0.0) -> Model:
+    """A model from (label, passages) of documents; no documents give one that scores everything alike.
+
+    ``shift`` is added to the log odds of a document, for rows that have not the labels' own shares.
+    """
     rng = np.random.default_rng(seed)
     split = np.array([i % 5 == 0 for i in range(len(rows))])
     vocabulary: dict[str, int] = {}
@@ -128,6 +131,7 @@ def train(rows: list[tuple[int, list[list[str]]]], seed: int = 0) -> Model:
     model = Model(vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]))
     worst = [model.worst(" ".join(w for part in parts for w in part)) for (_, parts), later in zip(rows, split, strict=True) if later]
     model.slope, model.shift = calibrated(np.array(worst), np.array([y for (y, _), later in zip(rows, split, strict=True) if later]))
+    model.shift += shift
     model.known = {}
     return model
 
@@ -160,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         step = -(-len(parts) // TRAIN_PASSAGES) or 1
         return parts[::step]
 
-    return train(labelled.sample(docs, labels, "toxic", TRAIN_DOCS, some))
+    rows, shift = labelled.sample(docs, labels, "toxic", TRAIN_DOCS, some)
+    return train(rows, shift=shift)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
