@@ -3,17 +3,18 @@
 Candidate merges wait on an agenda by score; each one that comes up is skipped where a keyed hash of
 its place and piece falls below the dropout rate. Segmentations vary with the key, but always spell
 the text. Pieces hold white space only in front, and no line feed, so the text is cut there and each
-cut is encoded on its own. The key of a cut is one of VARIANTS, in turn from a start that the document
-sets: a cut seen before under the same key need not be encoded again.
+cut is encoded on its own. The key of a cut is made of the seed, the document and the cut's number, so
+every occurrence draws anew. What is remembered of a cut does not depend on keys: the merges that come
+up, in a tree that branches where one is skipped or not, and the ids at its ends.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
 from array import array
-from itertools import cycle, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,17 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import common, tokens
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
+DROPOUT, SEED = 0.1, 17
 SPACE = "▁"
 #: Stands for a text's own U+2581 while a cut is merged: a character that no text has.
 FOREIGN = "\udc81"
 _WORD = (1 << 64) - 1
 _CUT = re.compile(" *[^ \n]+| +|\n")
-#: Encoded cuts that a Python worker remembers, of all variants; longer cuts are not remembered.
+#: Encoded cuts (ends) that a Python worker remembers; longer cuts are not remembered.
 REMEMBERED, LONGEST = 1_500_000, 48
+#: Cuts that are encoded in one numpy pass; a text of more is a pass of its own.
+PASS_CUTS = 1 << 16
+_UNKNOWN = -1
 _LOADED: dict[tuple, "Codec"] = {}
 
 
@@ -62,16 +66,35 @@ class Codec:
             else:
                 self.ids[piece], self.merges[piece] = i, -sp.get_score(i)
                 self.spelt.append(piece.replace(SPACE, " ").encode())
-        self.known: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-
-    def skipped(self, variant: int, place: int, piece: int) -> bool:
-        """Whether the key makes this merge be skipped."""
-        h = ((self.seed << 40) ^ (variant << 32) ^ (place << 16) ^ piece) * 0x9E3779B97F4A7C15 & _WORD
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with an empty memory."""
+        # a link is a merge's number, or -2 - the number of an end, or _UNKNOWN
+        self.roots: dict[str, int] = {}
+        self.ends: list[bytes] = []
+        # of each merge its place and piece, and the links where it is done and where it is skipped
+        self.what, self.links = array("Q"), array("i")
+
+    def keys(self, start: int, n: int) -> np.ndarray:
+        """The keys of the first n cuts of a document."""
+        base = common.mix(np.array([start & _WORD], np.uint64) ^ common.mix(np.array([self.seed & _WORD], np.uint64)))
+        return common.mix(base + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def skipped(self, key: int, what: int) -> bool:
+        """Whether the key makes this merge (its place and piece) be skipped."""
+        h = (key ^ what) * 0x9E3779B97F4A7C15 & _WORD
         h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 & _WORD
         return (h ^ (h >> 32)) & 0xFFFFFFFF < self.dropout
 
-    def cut_ids(self, cut: str, variant: int) -> list[int]:
-        """The ids of one cut (blanks written as they are)."""
+    def all_skipped(self, keys: np.ndarray, what: np.ndarray) -> np.ndarray:
+        """``skipped`` for arrays."""
+        h = (keys ^ what) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h ^ (h >> np.uint64(32))) & np.uint64(0xFFFFFFFF) < np.uint64(self.dropout)
+
+    def cut_ids(self, cut: str, key: int, path: list | None = None) -> list[int]:
+        """The ids of one cut (blanks written as they are); ``path`` gets its merges and whether each was skipped."""
         # a text's own U+2581 is spelt in bytes, so that it does not come back as a blank
         symbols: list[str | None] = [*(cut.replace(SPACE, FOREIGN) if SPACE in cut else cut).replace(" ", SPACE)]
         n, merges = len(symbols), self.merges
@@ -86,8 +109,13 @@ class Codec:
             _, i, piece = heapq.heappop(agenda)
             if symbols[i] is None or (j := after[i]) >= n or symbols[i] + symbols[j] != piece:
                 continue  # one of the two is merged already
-            if self.dropout and self.skipped(variant, i, self.ids[piece]):
-                continue
+            if self.dropout:
+                what = i << 16 ^ self.ids[piece]
+                skip = self.skipped(key, what)
+                if path is not None:
+                    path.append((what, skip))
+                if skip:
+                    continue
             symbols[i], symbols[j] = piece, None
             after[i] = k = after[j]
             if k < n:
@@ -109,29 +137,83 @@ class Codec:
                     out.append(found)
         return out
 
+    def end_of(self, cut: str, key: int, at: int, depth: int) -> int:
+        """The link to the end of a cut under a key; what the memory lacks on the way there is added.
+
+        ``at`` is the branch that ``depth`` merges lead to (-1, 0: the root of the cut).
+        """
+        link = self.roots.get(cut, _UNKNOWN) if at < 0 else self.links[at]
+        while link >= 0:
+            at = 2 * link + self.skipped(key, self.what[link])
+            depth += 1
+            link = self.links[at]
+        if link != _UNKNOWN:
+            return link
+        path: list[tuple[int, bool]] = []
+        end = -2 - len(self.ends)
+        self.ends.append(array("I", self.cut_ids(cut, key, path)).tobytes())
+        first = len(self.what)
+        for n, (what, skip) in enumerate(path[depth:], first + 1):
+            self.what.append(what)
+            self.links.extend((_UNKNOWN, n) if skip else (n, _UNKNOWN))
+        if len(path) > depth:
+            self.links[2 * len(self.what) - 2 + path[-1][1]] = end
+        link = first if len(path) > depth else end
+        if at < 0:
+            self.roots[cut] = link
+        else:
+            self.links[at] = link
+        return end
+
+    def encode_all(self, texts: list[str], starts: list[int]) -> list[bytes]:
+        """``encode`` of many texts, in passes of about PASS_CUTS cuts."""
+        out: list[bytes] = []
+        held, cuts = [], []
+        for text, start in zip(texts, starts, strict=True):
+            own = _CUT.findall(" " + text) if text else []
+            if cuts and len(cuts) + len(own) > PASS_CUTS:
+                out += self.one_pass(cuts, held)
+                held, cuts = [], []
+            held.append((start, len(own)))
+            cuts += own
+        return out + self.one_pass(cuts, held)
+
+    def one_pass(self, cuts: list[str], held: list[tuple[int, int]]) -> list[bytes]:
+        """Ids of texts, given as (start, number of cuts), from all of their cuts."""
+        if len(self.ends) > REMEMBERED:
+            self.forget()
+        keys = np.concatenate([self.keys(*h) for h in held]) if cuts else np.zeros(0, np.uint64)
+        known = self.roots.get
+        link = np.array([known(c, _UNKNOWN) for c in cuts], np.int64)
+        active = np.flatnonzero(link == _UNKNOWN)
+        missing = [(active, np.full(len(active), -1), 0)]
+        active = np.flatnonzero(link >= 0)
+        what, links = np.frombuffer(self.what, np.uint64), np.frombuffer(self.links, np.int32)
+        while len(active):
+            at = link[active]
+            at = 2 * at + self.all_skipped(keys[active], what[at])
+            link[active] = now = links[at]
+            missing.append((active[now == _UNKNOWN], at[now == _UNKNOWN], len(missing)))
+            active = active[now >= 0]
+        del what, links  # the memory cannot grow while it is viewed
+        long = {}
+        for which, branches, depth in missing:
+            for i, at, key in zip(which.tolist(), branches.tolist(), keys[which].tolist(), strict=True):
+                if len(cuts[i]) > LONGEST:
+                    long[i] = array("I", self.cut_ids(cuts[i], key)).tobytes()
+                else:
+                    link[i] = self.end_of(cuts[i], key, at, depth)
+        ends = self.ends
+        ids = [ends[-2 - k] if k != _UNKNOWN else long[i] for i, k in enumerate(link.tolist())]
+        out, first = [], 0
+        for _, n in held:
+            out.append(b"".join(ids[first : first + n]))
+            first += n
+        return out
+
     def encode(self, text: str, start: int = 0) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; ``start`` sets the variant of the first cut."""
-        if not text:
-            return b""
-        cuts = _CUT.findall(" " + text)
-        turn = [*islice(cycle(self.known), start % VARIANTS, start % VARIANTS + VARIANTS)]
-        try:
-            return b"".join([known[c] for known, c in zip(cycle(turn), cuts)])
-        except KeyError:
-            pass
-        if sum(map(len, self.known)) > REMEMBERED:
-            for known in self.known:
-                known.clear()
-        out = []
-        for k, c in enumerate(cuts):
-            known = turn[k % VARIANTS]
-            ids = known.get(c)
-            if ids is None:
-                ids = array("I", self.cut_ids(c, (start + k) % VARIANTS)).tobytes()
-                if len(c) <= LONGEST:
-                    known[c] = ids
-            out.append(ids)
-        return b"".join(out)
+        """Ids as little-endian unsigned 32-bit integers; ``start`` stands for the document in the keys."""
+        return self.encode_all([text], [start])[0]
 
     def decode(self, ids: bytes) -> str:
         """The text of some ids."""
@@ -147,11 +229,16 @@ def load(path: str, dropout: float, seed: int) -> Codec:
     return _LOADED[key]
 
 
+def starts(ids: list) -> list[int]:
+    """What stands for each document in the keys, from its id."""
+    return [0 if d is None else int.from_bytes(hashlib.blake2b(str(d).encode(), digest_size=8).digest(), "little") for d in ids]
+
+
 def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """``docs`` with ids (array of int); a column of that name is replaced, others are kept.
 
     Null and empty texts have no ids. Equal rows (by doc_id and text) get equal ids, rows with a null
-    doc_id start at the first variant, and empty tables give no rows.
+    doc_id have one key, and empty tables give no rows.
     """
     common.prepare(docs.sparkSession)
     names = [c for c in docs.columns if c != "ids"]
@@ -160,7 +247,8 @@ def encode(docs: DataFrame, path: str, dropout: float = DROPOUT, seed: int = SEE
     def run(batches):
         codec = load(path, dropout, seed)
         for batch in batches:
-            ids = [np.frombuffer(codec.encode(t or "", zlib.crc32(f"{seed} {d}".encode()) if d is not None else 0), "<i4") for d, t in zip(batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("text")).to_pylist(), strict=True)]
+            texts, own = [t or "" for t in batch.column(names.index("text")).to_pylist()], starts(batch.column(names.index("doc_id")).to_pylist())
+            ids = [np.frombuffer(x, "<i4") for x in codec.encode_all(texts, own)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
 
     return docs.select(names).mapInArrow(run, ", ".join(f"`{c}` {fields[c]}" for c in names) + ", ids array<int>")
@@ -189,10 +277,9 @@ def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
     def digest(batches):
         codec = load(path, DROPOUT, SEED)
         for batch in batches:
-            rows = []
-            for d, t in zip(tokens.column(batch, "doc_id"), tokens.column(batch, "text"), strict=True):
-                ids = codec.encode(t or "", zlib.crc32(f"{SEED} {d}".encode()) if d is not None else 0)
-                rows.append((d, len(ids) // 4, zlib.crc32(ids), codec.decode(ids) == (t or "")))
+            docs_in, texts = list(tokens.column(batch, "doc_id")), [t or "" for t in tokens.column(batch, "text")]
+            found = zip(docs_in, texts, codec.encode_all(texts, starts(docs_in)), strict=True)
+            rows = [(d, len(ids) // 4, zlib.crc32(ids), codec.decode(ids) == t) for d, t, ids in found]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "n_tokens", "ids_crc32", "lossless"])
 
