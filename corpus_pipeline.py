@@ -24,9 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of documents linked by shared word shingles."""
+    """Keep the first document of each group of documents linked by shared word shingles.
+
+    Of rows equal in doc_id and text one is kept; rows without a doc_id are in no group and all stay.
+    """
     first = jaccard_join.cluster(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs.doc_id == F.col("_first"), "left_semi").select(docs.columns)
+    kept = docs.join(first, docs.doc_id == F.col("_first"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ A shard is a pair of files. ``shard-N.bin`` holds records one behind another::
     length of the payload, 8 bytes | masked crc32 of these 8 bytes, 4 bytes
     payload                        | masked crc32 of the payload, 4 bytes
 
-The payload is the document id (signed, 8 bytes), the width of an id (2 or 4, one byte) and then the
-token ids, in 2 bytes each where all of the document's are below 65536, else in 4; all is little-endian. The mask is that of record files in common use: the crc rotated right by 15 bits plus
+The payload is the document id (signed, 8 bytes), the width of an id (2 or 4, one byte; with 128 added, the
+document has no id, and 0 stands for it) and then the token ids, in 2 bytes each where all of the document's are below 65536, else in 4; all is little-endian. The mask is that of record files in common use: the crc rotated right by 15 bits plus
 a constant, so that a crc of data that holds crcs is no trivial value. ``shard-N.idx`` has 8 bytes
 for each record, its offset in the other file, so that a reader may visit records in any order.
 """
@@ -26,6 +26,8 @@ from tidewatch.llm import common, tokens
 
 #: Added to the rotated checksum. Fixed value of the record format.
 MASK_DELTA = 0xA282EAD8
+#: Added to the width where a document has no id.
+NO_ID = 128
 MANIFEST = "shard int, path string, first_id long, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -35,16 +37,16 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
-def record(doc_id: int, ids: bytes) -> bytes:
+def record(doc_id: int | None, ids: bytes) -> bytes:
     """One framed record of ids that are given as 4 bytes each."""
     values = np.frombuffer(ids, "<u4")
     width = 2 if len(values) == 0 or values.max() < 1 << 16 else 4
-    payload = doc_id.to_bytes(8, "little", signed=True) + bytes([width]) + values.astype(f"<u{width}").tobytes()
+    payload = (doc_id or 0).to_bytes(8, "little", signed=True) + bytes([width + NO_ID * (doc_id is None)]) + values.astype(f"<u{width}").tobytes()
     length = len(payload).to_bytes(8, "little")
     return length + masked(length).to_bytes(4, "little") + payload + masked(payload).to_bytes(4, "little")
 
 
-def unframe(stream, offset: int) -> tuple[int, bytes]:
+def unframe(stream, offset: int) -> tuple[int | None, bytes]:
     """(document id, ids as 4 bytes each) of the record at an offset; ValueError where a checksum is wrong."""
     stream.seek(offset)
     head = stream.read(12)
@@ -54,8 +56,8 @@ def unframe(stream, offset: int) -> tuple[int, bytes]:
     body = stream.read(n + 4)
     if len(body) != n + 4 or masked(body[:n]) != int.from_bytes(body[n:], "little"):
         raise ValueError(f"the record at {offset} is damaged")
-    ids = np.frombuffer(body[9:n], f"<u{body[8]}").astype("<u4").tobytes()
-    return int.from_bytes(body[:8], "little", signed=True), ids
+    ids = np.frombuffer(body[9:n], f"<u{body[8] % NO_ID}").astype("<u4").tobytes()
+    return None if body[8] >= NO_ID else int.from_bytes(body[:8], "little", signed=True), ids
 
 
 def _store(path: str):
@@ -69,7 +71,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str) -> DataFrame:
 
     One shard for each range of ids. A task writes under a name of its own and renames when all is
     written, so a lost or repeated task leaves no half of a shard behind. Null texts are empty; rows
-    without a doc_id have no place in the order and raise ValueError; rows of equal doc_id follow in
+    without a doc_id come first; rows of equal doc_id follow in
     order of their text. An empty table gives an empty manifest. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -89,8 +91,6 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str) -> DataFrame:
             keys = tokens.column(batch, "doc_id")
             offsets = []
             for doc_id, ids in zip(keys, tokens.with_end(tokens.column(batch, "text"), vocabulary), strict=True):
-                if doc_id is None:
-                    raise ValueError("a document has no doc_id")
                 first = doc_id if first is None else first
                 framed = record(doc_id, ids)
                 data.write(framed)
