@@ -20,7 +20,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality rules keep."""
-    return quality_rules.judge(docs, docs.columns).where("kept").select(docs.columns)
+    # the row's own columns may have the names of the features, so they go along within a struct
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return quality_rules.judge(rows, ["_row"]).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
