@@ -99,10 +99,16 @@ def _asof(left: DataFrame, right: DataFrame, keys, time, values, strict, back) -
 def greedy_non_overlap(df: DataFrame, keys: Sequence[str], entry: str, span: int, order: Sequence[str], name: str = "used") -> DataFrame:
     """``name``: whether an event counts, taking each key's events in order and leaving out those that
     enter less than ``span`` after the last one that counted. What was left out moves nothing, so the
-    scan is sequential within a key."""
+    scan is sequential within an island of a key: an event that enters ``span`` or more after all before it
+    counts in any case, so it starts an island. ``span`` is not negative."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, `{name}` boolean"
 
     ship(df.sparkSession)
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    before = F.max(entry).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = df.withColumn("_new", F.when(F.col(entry) >= before + span, 1).otherwise(0))
+    cut = cut.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    columns = df.columns
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(list(order))
@@ -111,9 +117,9 @@ def greedy_non_overlap(df: DataFrame, keys: Sequence[str], entry: str, span: int
             ok = not pd.isna(e) and (free is None or e >= free)
             free = e + span if ok else free
             used.append(ok)
-        return group.assign(**{name: used})
+        return group[columns].assign(**{name: used})
 
-    return df.groupBy(*keys).applyInPandas(scan, schema)
+    return cut.groupBy(*keys, "_island").applyInPandas(scan, schema)
 
 
 def any_break(bars: DataFrame, keys: Sequence[str], index: str, level: str, span: int, limit: float, name: str = "broken") -> DataFrame:
