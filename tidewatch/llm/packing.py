@@ -16,6 +16,8 @@ from tidewatch.llm import common, tokens
 CAPACITY = 1024
 #: Pieces that are packed together; a fixed share of them, whatever the number of all pieces.
 SHARD_ITEMS = 32_768
+#: Sequences of one full piece are numbered from here, behind those of all shards.
+FULL = 1 << 62
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITES = 3, 2, 6, 4, 1
 
 
@@ -157,19 +159,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
     Pieces are dealt by hash to shards of about ``shard_items``, so no shard grows with the input and
     a hot source is spread. Each shard is packed on ISLANDS islands; after each epoch an island's
     elites go to the next one, and in the end the best packing of a shard is taken. Full pieces are
-    sequences of their own. An empty table gives an empty result; pieces longer than ``capacity``
+    sequences of their own and are in no shard. An empty table gives an empty result; pieces longer than ``capacity``
     are not allowed.
     """
     spark = pieces.sparkSession
     shards = -(-max(1, pieces.where(F.col("length") < capacity).count()) // shard_items)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    small = pieces.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
     wide = max(1, min(shards * ISLANDS, common.partitions(spark)))
 
     def sizes_of(key, group: pd.DataFrame) -> pd.DataFrame:
         sizes = np.sort(group["length"].to_numpy(np.int32))[::-1]
         return pd.DataFrame({"shard": [key[0]], "sizes": [sizes.astype("<i4").tobytes()]})
 
-    small = dealt.where(F.col("length") < capacity)
     sizes = small.select("shard", "length").groupBy("shard").applyInPandas(sizes_of, "shard int, sizes binary")
     state = sizes.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", F.array().cast("array<binary>").alias("members"))
 
@@ -190,20 +191,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_I
 
     def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        full = left["length"].to_numpy() >= capacity
-        bins = np.zeros(len(left), np.int64)
-        bins[full] = np.arange(full.sum())
-        if len(right):
-            found = [np.frombuffer(m[0], "<i4") for m in right.sort_values("island")["members"]]
-            lengths = left["length"].to_numpy()[~full]
-            bins[~full] = min(found, key=lambda x: fitness(lengths, x, capacity)) + full.sum()
+        found = [np.frombuffer(m[0], "<i4") for m in right.sort_values("island")["members"]]
+        lengths = left["length"].to_numpy()
+        bins = min(found, key=lambda x: fitness(lengths, x, capacity)).astype(np.int64)
         left = left.assign(bin=bins)
         left["offset"] = left.groupby("bin")["length"].cumsum() - left["length"]
         left["sequence_id"] = (int(key[0]) << 40) + left["bin"]
         return left[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("shard").cogroup(lived.groupBy("shard")).applyInPandas(best, schema)
+    packed = small.groupBy("shard").cogroup(lived.groupBy("shard")).applyInPandas(best, schema)
+    full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(FULL)).withColumn("offset", F.lit(0).cast("long"))
+    return packed.unionByName(full.select(packed.columns))
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
