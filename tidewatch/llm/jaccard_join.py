@@ -8,8 +8,10 @@ and by how much of their prefixes they share, the rest is expanded to documents
 on whole texts. Shingles are compared by 64-bit hashes.
 
 What the join is asked for is components, so long posting lists are not paired off: each group on one
-is first compared with the list's most central group, and after that only documents that are not yet
-in one component are paired.
+is first compared with the list's most central group. Documents of a list that are then still in
+different components are joined on what sets them apart from the list's center: the symmetric
+differences of two sets from a third have to share more, the farther both are from it, and what they
+share is rare where the shingles of the list are not. Those differences get prefixes of their own.
 """
 
 from __future__ import annotations
@@ -26,8 +28,6 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Posting lists up to this length are paired off at once.
 SHORT_LIST = 64
-#: Words of 64 bits in a set's bitmap, the parities of its shingles' hashes.
-BITMAP = 8
 #: Slots kept as frequent, with their counts: a fixed size.
 FREQUENT_SLOTS = 1 << 16
 
@@ -91,7 +91,7 @@ def count_slots(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, common.COUNTS_SCHEMA)
 
 
-SIGNED = "doc_id long, n_shingles long, vertex long, grp long, bits array<long>, bucket int, token binary, posted binary, meta binary"
+SIGNED = "doc_id long, n_shingles long, vertex long, grp long, bucket int, token binary, posted binary, meta binary"
 
 
 def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
@@ -108,14 +108,15 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
 
         def postings():
             token, group, meta = np.concatenate(tokens), np.concatenate(groups), np.concatenate(metas)
+            token, group, meta = collapsed(token, group, meta)  # copies within a task count once
             bucket = ((token >> np.uint64(40)).astype(np.int64) * buckets) >> 24
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             own = [(b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b + 1] > cut[b]]
             none = pa.nulls(len(own), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.nulls(len(own), pa.list_(pa.int64())), pa.array([b for b, _ in own], pa.int32()), *[pa.array([x[o].tobytes() for _, o in own], pa.binary()) for x in (token, group, meta)]],
-                ["doc_id", "n_shingles", "vertex", "grp", "bits", "bucket", "token", "posted", "meta"],
+                [none, none, none, none, pa.array([b for b, _ in own], pa.int32()), *[pa.array([x[o].tobytes() for _, o in own], pa.binary()) for x in (token, group, meta)]],
+                ["doc_id", "n_shingles", "vertex", "grp", "bucket", "token", "posted", "meta"],
             )
 
         for batch in batches:
@@ -144,8 +145,8 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
                 n_held += len(r)
                 null = pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array(size.astype(np.int64)), pa.array(_signed(vertex)), pa.array(_signed(group)), bitmaps(row, key, n), pa.nulls(n, pa.int32()), null, null, null],
-                    ["doc_id", "n_shingles", "vertex", "grp", "bits", "bucket", "token", "posted", "meta"],
+                    [ids.slice(first, n), pa.array(size.astype(np.int64)), pa.array(_signed(vertex)), pa.array(_signed(group)), pa.nulls(n, pa.int32()), null, null, null],
+                    ["doc_id", "n_shingles", "vertex", "grp", "bucket", "token", "posted", "meta"],
                 )
             if n_held > 1 << 21:
                 yield postings()
@@ -156,12 +157,13 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
 
 
-def bitmaps(row: np.ndarray, key: np.ndarray, n: int) -> pa.Array:
-    """Of each of n sets the parities of its hashes by their lowest bits; where two differ, so do the sets."""
-    out = np.zeros((n, BITMAP), np.uint64)
-    bit = key % np.uint64(64 * BITMAP)
-    np.bitwise_xor.at(out, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BITMAP, pa.int32()), pa.array(_signed(out.ravel())))
+def collapsed(token: np.ndarray, group: np.ndarray, meta: np.ndarray):
+    """One posting of each (token, group), sorted by token and size; of several the least alone."""
+    order = np.lexsort((meta[:, 1], group, meta[:, 0], token))
+    token, group, meta = token[order], group[order], meta[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
+    return token[new], group[new], meta[new]
 
 
 FOUND = "token long, x long, y long, size_x int, size_y int, alone int, n int"
@@ -176,11 +178,7 @@ def lists(posted: DataFrame, buckets: int) -> DataFrame:
             return
         token, group, meta = (np.concatenate([p[i] for p in parts]) for i in range(3))
         del parts
-        order = np.lexsort((meta[:, 1], group, meta[:, 0], token))  # of a group the least alone comes first
-        token, group, meta = token[order], group[order], meta[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-        token, group, meta = token[new], group[new], meta[new]
+        token, group, meta = collapsed(token, group, meta)
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         length = np.repeat(np.diff(np.r_[start, len(token)]), np.diff(np.r_[start, len(token)]))
         size = meta[:, 0].astype(np.int64)
@@ -249,15 +247,78 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             alike = (DEN * both >= NUM * (sizes[0] + sizes[1] - both)) & (both > 0)
             yield batch.select([0, 1]).filter(pa.array(alike))
 
-    spark = pairs.sparkSession
+    texts = with_texts(pairs, docs)
+    common.prepare(pairs.sparkSession)
+    return texts.mapInArrow(check, "x long, y long")
+
+
+def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (x, y of document ids) with text_x and text_y."""
     needed = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     # one of the texts where a doc_id has several: pairs are of set representatives
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(needed, "id", "left_semi")
     texts = common.saved(texts, "texts")
     left = pairs.join(texts.select(F.col("id").alias("x"), F.col("text").alias("text_x")), "x")
     both = left.join(texts.select(F.col("id").alias("y"), F.col("text").alias("text_y")), "y")
+    return both.select("x", "y", "text_x", "text_y")
+
+
+def differences(family: DataFrame, docs: DataFrame) -> DataFrame:
+    """(center, id, size, center_size, apart, tokens): the shingles that only one of a document and its center has."""
+
+    def compare(batches):
+        for batch in batches:
+            where, tokens = [], []
+            sizes = [np.zeros(batch.num_rows, np.int64) for _ in range(2)]
+            for side in range(2):
+                for first, size, row, key in shingles(batch.column(2 + side)):
+                    sizes[side][first : first + len(size)] = size
+                    where.append(row + first)
+                    tokens.append(key)
+            row, key = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (where, tokens))
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            same = np.zeros(len(row) + 1, bool)
+            same[1:-1] = (row[1:] == row[:-1]) & (key[1:] == key[:-1])
+            only = ~(same[1:] | same[:-1])
+            apart = np.bincount(row[only], minlength=batch.num_rows)
+            lists_ = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(apart)], pa.int32()), pa.array(key[only].astype(np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (sizes[1], sizes[0], apart)], lists_], ["center", "id", "size", "center_size", "apart", "tokens"])
+
+    spark = family.sparkSession
+    texts = with_texts(family.select(F.col("center").alias("x"), F.col("id").alias("y")), docs)
     common.prepare(spark)
-    return both.select("x", "y", "text_x", "text_y").mapInArrow(check, "x long, y long")
+    return texts.mapInArrow(compare, "center long, id long, size long, center_size long, apart long, tokens array<long>")
+
+
+def alike(apart: str, a: str, b: str):
+    """Whether sets of sizes a and b that are so far apart are similar enough."""
+    return (NUM + DEN) * F.col(apart) <= (DEN - NUM) * (F.col(a) + F.col(b))
+
+
+def far_apart(deltas: DataFrame) -> DataFrame:
+    """Pairs (x, y) of different components and one center that may be alike, at least one of them not alike with the center.
+
+    Two sets of sizes a and b are alike if they are at most r (a + b) apart, r = (DEN - NUM) / (DEN + NUM). If they are
+    s and t away from a center of size c, that asks for at least (s + t - r (a + b)) / 2 common differences. One that is
+    not alike with the center has t > r (b + c), so its partner's share is more than (s + r (c - a)) / 2: one of its rarest
+    s - share + 1 differences is a common one. Differences that no other document of the center has are never common.
+    """
+    whole, gap = NUM + DEN, DEN - NUM
+    each = deltas.select("center", "id", F.explode("tokens").alias("token"))
+    often = each.groupBy("center", "token").agg(F.count("*").alias("n")).where("n > 1")
+    rare = each.join(often, ["center", "token"]).groupBy("center", "id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    d = deltas.drop("tokens").join(rare, ["center", "id"])
+    d = d.withColumn("alike", alike("apart", "size", "center_size"))
+    share = F.ceil((whole * F.col("apart") + gap * (F.col("center_size") - F.col("size"))) / (2 * whole))
+    d = d.withColumn("leading", F.size("tokens") - share + 1).where("NOT alike OR leading > 0")
+    posts = d.select("center", "id", "component", "size", "apart", "alike", "leading", F.posexplode("tokens").alias("place", "t"))
+    posts = posts.withColumn("token", F.col("t.token")).withColumn("lead", F.col("place") < F.col("leading")).drop("t", "place", "leading")
+    p, q = posts.where("lead").alias("p"), posts.where("NOT alike").alias("q")
+    ends = (F.col("p.component") != F.col("q.component")) & (F.col("p.alike") | (F.col("q.lead") & (F.col("p.id") < F.col("q.id"))))
+    a, b = F.col("p.size"), F.col("q.size")
+    fits = (DEN * F.least(a, b) >= NUM * F.greatest(a, b)) & (whole * F.abs(F.col("p.apart") - F.col("q.apart")) <= gap * (a + b))
+    return p.join(q, ["center", "token"]).where(ends & fits).select(F.col("p.id").alias("x"), F.col("q.id").alias("y")).distinct()
 
 
 def cluster(docs: DataFrame) -> DataFrame:
@@ -273,11 +334,11 @@ def cluster(docs: DataFrame) -> DataFrame:
     buckets = common.partitions(spark)
     filter_ = common.slot_counts(count_slots(docs, buckets), buckets, FREQUENT_SLOTS)
     signed = common.saved(signatures(docs, buckets, filter_), "signatures")
-    sets = signed.where("bucket is null").select("doc_id", "n_shingles", "vertex", "grp", "bits")
+    sets = signed.where("bucket is null").select("doc_id", "n_shingles", "vertex", "grp")
     found = common.saved(lists(signed.where("bucket is not null").select("bucket", "token", "posted", "meta"), buckets), "lists")
 
     # documents with different sets: the smallest id of each set stands for it
-    members = common.saved(sets.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("id"), F.min_by("grp", "doc_id").alias("grp"), F.first("n_shingles").alias("size"), F.first("bits").alias("bits")), "members")
+    members = common.saved(sets.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("id"), F.min_by("grp", "doc_id").alias("grp"), F.first("n_shingles").alias("size")), "members")
     long = found.where("token is not null").select("token", F.col("x").alias("grp"), F.col("size_x").alias("size"), "alone")
     heads = members.groupBy("grp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
 
@@ -313,29 +374,22 @@ def cluster(docs: DataFrame) -> DataFrame:
     first = common.saved(tidy(expanded.union(star).union(inside)), "first")
     links = common.saved(verified(first, docs), "links")
 
-    # what is left of long lists and groups: documents of different components
+    # what is left of long lists and groups: documents of different components, each with the list's center
     labels = common.components(links, "x", "y")
-    known = members.join(labels, members.id == labels.node, "left").select("id", "grp", F.col("size").cast("long").alias("size"), "bits", F.coalesce("component", "id").alias("component"))
+    known = members.join(labels, members.id == labels.node, "left").select("id", "grp", F.col("size").cast("long").alias("size"), F.coalesce("component", "id").alias("component"))
     known = common.saved(known, "known")
-    many = known.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("grp")
-    split = known.join(many, "grp", "left_semi")
-    # bits that differ are at most the shingles that only one of two sets has
-    differ = lambda one, other: F.aggregate(F.zip_with(f"{one}.bits", f"{other}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    fits = lambda one, other: (NUM + DEN) * (F.col(f"{one}.size") + F.col(f"{other}.size") - differ(one, other)) >= 2 * NUM * (F.col(f"{one}.size") + F.col(f"{other}.size"))
-    within = split.alias("a").join(split.alias("b"), "grp").where((F.col("a.component") < F.col("b.component")) & fits("a", "b")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    posts = long.select("token", "grp", "alone").join(known, "grp")
-    many = posts.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
-    posts = posts.join(many, "token", "left_semi")
-    p, q = posts.alias("p"), posts.alias("q")
-    a, b = F.col("p.size"), F.col("q.size")
-    cross = p.join(q, "token").where((F.col("p.component") < F.col("q.component")) & may("p.", "q.") & fits("p", "q"))
-    cross = cross.groupBy(F.col("p.id").alias("x"), F.col("q.id").alias("y"), F.least("p.grp", "q.grp").alias("gx"), F.greatest("p.grp", "q.grp").alias("gy"), a.alias("a"), b.alias("b")).agg(F.count("*").alias("n_long"))
-    cross = cross.join(pairs.select(F.col("x").alias("gx"), F.col("y").alias("gy"), "n"), ["gx", "gy"], "left")
-    a, b = F.col("a"), F.col("b")
-    cross = cross.where(F.col("n_long") + F.coalesce("n", F.lit(0)) + F.greatest(a - _prefix(a), b - _prefix(b)) >= _least(a, b)).select("x", "y")
-    second = common.saved(tidy(within.union(cross)).join(first, ["x", "y"], "left_anti"), "second")
-    if not second.isEmpty():
-        links = links.union(common.saved(verified(second, docs), "more_links"))
+    mixed = lambda d, key: d.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(key)
+    split = known.join(mixed(known, "grp"), "grp", "left_semi").join(heads.select("grp", F.col("id").alias("center")), "grp")
+    posts = long.select("token", "grp").join(known, "grp")
+    posts = posts.join(mixed(posts, "token"), "token", "left_semi")
+    centers = central.select("token", F.col("c.grp").alias("grp")).join(one.withColumnRenamed("id", "center"), "grp").drop("grp")
+    family = split.select("center", "id").union(posts.join(centers, "token").select("center", "id")).where("center != id").distinct()
+    family = common.saved(family, "families")
+    if not family.isEmpty():
+        deltas = common.saved(differences(family, docs).join(known.select("id", "component"), "id"), "deltas")
+        near = deltas.where(alike("apart", "size", "center_size")).select(F.col("id").alias("x"), F.col("center").alias("y"))
+        second = common.saved(tidy(far_apart(deltas)).join(first, ["x", "y"], "left_anti"), "second")
+        links = links.union(tidy(near)).union(common.saved(verified(second, docs), "more_links"))
         labels = common.components(links, "x", "y")
 
     of_set = members.join(labels, members.id == labels.node, "left").select("vertex", F.coalesce("component", "id").alias("component"))
