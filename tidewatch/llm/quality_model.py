@@ -1,8 +1,9 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-Every passage of a text is encoded from counts over its words; gated attention, learnt from labels of
-whole documents, weighs the passages, and a logistic unit scores the weighted sum of their codes. So a
-few bad passages can decide about a long document, and which ones did can be read off the weights.
+Every passage of a text is encoded by a small network from the mean of its words' vectors and from counts
+over their letters; gated attention, learnt with the vectors from labels of whole documents, weighs the
+passages, and a logistic unit scores the weighted sum of their codes. So a few bad passages can decide
+about a long document, and which ones did can be read off the weights. Words share vectors by hash.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from tidewatch.llm import common, labelled
 #: Words in a passage.
 PASSAGE = 64
 CODE, GATE = 16, 8
-ITERATIONS, RATE, DECAY = 400, 0.02, 1e-4
-#: Labelled documents that are learnt from, and passages of each: they bound what the driver holds.
-TRAIN_DOCS, TRAIN_PASSAGES = 4000, 64
+#: Vectors that words share.
+BUCKETS = 1 << 14
+STEPS, BATCH, RATE, WORD_RATE, DECAY = 900, 64, 0.02, 0.02, 1e-4
+#: Labelled documents that are learnt from, with their whole texts.
+TRAIN_DOCS = 4000
 #: A score from which a document counts as good.
 THRESHOLD = 0.7
 FEATURES = 12
@@ -31,7 +34,7 @@ for _i, _c in enumerate(_CLASSES):
 
 
 def encode(column: pa.Array):
-    """For runs of texts: (first row, number of texts, row of each passage, features of each passage).
+    """For runs of texts: (first row, number of texts, row, features and number of words of each passage, bucket of each word).
 
     Each text has a passage at least; one without words has all features 0.
     """
@@ -44,6 +47,7 @@ def encode(column: pa.Array):
         row = doc[begin]
         bare = np.flatnonzero(count == 0)
         out = np.zeros((len(begin) + len(bare), FEATURES), np.float32)
+        n = np.zeros(0, np.int64)
         if len(begin):
             n = np.diff(np.r_[begin, len(doc)])
             length = np.add.reduceat(end - start, begin)
@@ -69,9 +73,9 @@ def encode(column: pa.Array):
             out[: len(begin), 9] = np.add.reduceat(covered, begin) / n
             out[: len(begin), 10] = n / PASSAGE
             out[: len(begin), 11] = np.log1p(np.add.reduceat(((end - start) == 1).astype(np.float32), begin) / n)
-        row = np.r_[row, bare]
-        order = np.argsort(row, kind="stable")
-        yield first, docs, row[order], out[order]
+        row, n = np.r_[row, bare], np.r_[n, np.zeros(len(bare), np.int64)]
+        order = np.argsort(row, kind="stable")  # passages with words stay in order, as their words do
+        yield first, docs, row[order], out[order], n[order], (h % np.uint64(BUCKETS)).astype(np.uint16)
 
 
 
@@ -81,11 +85,15 @@ class Model:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
 
-    def forward(self, x: np.ndarray, row: np.ndarray, docs: int):
+    def forward(self, x: np.ndarray, n: np.ndarray, word: np.ndarray, row: np.ndarray, docs: int):
         """(log odds of each document, attention of each passage, and what the gradient needs)."""
         w = self.w
         x = np.clip((x - w["mean"]) / w["spread"], -6, 6)
-        code = np.tanh(x @ w["code"] + w["code_bias"])
+        code = x @ w["code"] + w["code_bias"]
+        some = np.flatnonzero(n)
+        if len(some):
+            code[some] += np.add.reduceat(w["word"][word], (np.cumsum(n) - n)[some]) / n[some, None]
+        code = np.tanh(code)
         t, g = np.tanh(code @ w["tanh"]), 1 / (1 + np.exp(-(code @ w["gate"])))
         a = (t * g) @ w["attend"]
         begin = np.searchsorted(row, np.arange(docs))
@@ -94,45 +102,61 @@ class Model:
         pooled = np.add.reduceat(code * a[:, None], begin)
         return pooled @ w["out"] + w["out_bias"], a, (x, code, t, g, pooled, begin)
 
-    def probability(self, x: np.ndarray, row: np.ndarray, docs: int) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.forward(x, row, docs)[0], -50, 50)))
+    def gradient(self, x, n, word, row, y) -> dict[str, np.ndarray]:
+        """Of the mean logistic loss over documents with labels y, by each weight; for words (buckets, their rows)."""
+        w = self.w
+        z, a, (xs, code, t, g, pooled, begin) = self.forward(x, n, word, row, len(y))
+        d = (1 / (1 + np.exp(-z)) - y) / len(y)
+        d_pooled = d[:, None] * w["out"]
+        d_code = a[:, None] * d_pooled[row]
+        d_a = (code * d_pooled[row]).sum(1)
+        d_a = a * (d_a - np.add.reduceat(a * d_a, begin)[row])
+        d_tg = d_a[:, None] * w["attend"]
+        d_t, d_g = d_tg * g * (1 - t * t), d_tg * t * g * (1 - g)
+        d_code += d_t @ w["tanh"].T + d_g @ w["gate"].T
+        d_code *= 1 - code * code
+        hit, which = np.unique(word, return_inverse=True)
+        passage = np.repeat(np.arange(len(n)), n)
+        each = d_code / np.maximum(n, 1)[:, None]
+        d_word = np.stack([np.bincount(which, each[passage, k], len(hit)) for k in range(CODE)], 1)
+        return {"out": pooled.T @ d, "out_bias": d.sum(), "attend": (t * g).T @ d_a, "tanh": code.T @ d_t, "gate": code.T @ d_g, "code": xs.T @ d_code, "code_bias": d_code.sum(0), "word": (hit, d_word)}
 
 
-def train(rows: list[tuple[int, np.ndarray]], seed: int = 0, shift: float = 0.0) -> Model:
-    """A model from (label, passage features) of documents; no documents give one that scores everything alike.
+def train(rows: list[tuple[int, tuple]], seed: int = 0, shift: float = 0.0) -> Model:
+    """A model from (label, (features, words of each passage, bucket of each word)) of documents.
 
-    ``shift`` is added to the log odds, for rows that have not the labels' own shares.
+    No documents give one that scores everything alike. ``shift`` is added to the log odds, for rows that
+    have not the labels' own shares.
     """
     rng = np.random.default_rng(seed)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-    w = {"mean": np.zeros(FEATURES), "spread": np.ones(FEATURES), "code": draw(FEATURES, CODE), "code_bias": np.zeros(CODE), "tanh": draw(CODE, GATE), "gate": draw(CODE, GATE), "attend": draw(GATE), "out": np.zeros(CODE), "out_bias": np.zeros(())}
+    w = {"mean": np.zeros(FEATURES), "spread": np.ones(FEATURES), "word": np.zeros((BUCKETS, CODE), np.float32), "code": draw(FEATURES, CODE), "code_bias": np.zeros(CODE), "tanh": draw(CODE, GATE), "gate": draw(CODE, GATE), "attend": draw(GATE), "out": np.zeros(CODE), "out_bias": np.zeros(())}
     model = Model(w)
     if not rows:
         return model
     y = np.array([r[0] for r in rows], float)
-    x = np.concatenate([r[1] for r in rows]).astype(float)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    w["mean"], w["spread"] = x.mean(0), x.std(0) + 1e-3
+    every = np.concatenate([r[1][0] for r in rows]).astype(float)
+    w["mean"], w["spread"] = every.mean(0), every.std(0) + 1e-3
     w["out_bias"] = np.array(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
-    learnt = [k for k in w if k not in ("mean", "spread")]
+    learnt = [k for k in w if k not in ("mean", "spread", "word")]
     first, second = ({k: np.zeros_like(w[k]) for k in learnt} for _ in range(2))
-    for step in range(1, ITERATIONS + 1):
-        z, a, (xs, code, t, g, pooled, begin) = model.forward(x, row, len(rows))
-        d = (1 / (1 + np.exp(-z)) - y) / len(y)
-        d_pooled = d[:, None] * w["out"]
-        d_code = a[:, None] * d_pooled[row]
-        d_a = (code * d_pooled[row]).sum(1)
-        d_a = a * (d_a - np.add.reduceat(a * d_a, begin)[row])
-        d_tg = d_a[:, None] * w["attend"]
-        d_t, d_g = d_tg * g * (1 - t * t), d_tg * t * g * (1 - g)
-        d_code += d_t @ w["tanh"].T + d_g @ w["gate"].T
-        d_code *= 1 - code * code
-        grad = {"out": pooled.T @ d, "out_bias": d.sum(), "attend": (t * g).T @ d_a, "tanh": code.T @ d_t, "gate": code.T @ d_g, "code": xs.T @ d_code, "code_bias": d_code.sum(0)}
+    seen, order = np.full(BUCKETS, 1e-8, np.float32), np.zeros(0, np.int64)
+    for step in range(1, STEPS + 1):
+        if len(order) < BATCH:
+            order = np.r_[order, rng.permutation(len(rows))]
+        own, order = order[:BATCH], order[BATCH:]
+        x, n, word = (np.concatenate([rows[i][1][k] for i in own]) for k in range(3))
+        row = np.repeat(np.arange(len(own)), [len(rows[i][1][0]) for i in own])
+        grad = model.gradient(x, n, word, row, y[own])
+        hit, g = grad["word"]
+        seen[hit] += (g * g).mean(1)
+        w["word"][hit] -= (WORD_RATE * g / np.sqrt(seen[hit])[:, None]).astype(np.float32)
         for k in learnt:
             gk = grad[k] + DECAY * w[k]
             first[k] = 0.9 * first[k] + 0.1 * gk
             second[k] = 0.999 * second[k] + 0.001 * gk * gk
-            w[k] = w[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+            rate = RATE * (1 - (step - 1) / STEPS)
+            w[k] = w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     w["out_bias"] = w["out_bias"] + shift
     return model
 
@@ -140,9 +164,9 @@ def train(rows: list[tuple[int, np.ndarray]], seed: int = 0, shift: float = 0.0)
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of the labelled documents that are not held out."""
 
-    def some(text: str | None) -> np.ndarray:
-        x = np.concatenate([part for *_, part in encode(pa.array([text or ""]))])
-        return x[:: -(-len(x) // TRAIN_PASSAGES)]
+    def some(text: str | None) -> tuple:
+        parts = list(encode(pa.array([text or ""])))
+        return tuple(np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
 
     rows, shift = labelled.sample(docs, labels, "quality", TRAIN_DOCS, some)
     return train(rows, shift=shift)
@@ -164,8 +188,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         own = Model(shared.value)
         for batch in batches:
             scores, tops = [], []
-            for _, n, row, x in encode(batch.column(place)):
-                z, a, (*_, begin) = own.forward(x, row, n)
+            for _, docs_in, row, x, n, word in encode(batch.column(place)):
+                z, a, (*_, begin) = own.forward(x, n, word, row, docs_in)
                 scores.append(1 / (1 + np.exp(-np.clip(z, -50, 50))))
                 order = np.lexsort((-a, row))
                 tops.append(order[begin] - begin)

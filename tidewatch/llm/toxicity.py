@@ -1,8 +1,9 @@
 """Toxicity: subword bags averaged into a linear softmax.
 
 A word is the mean of the vectors of its character n-grams (and of itself), a passage the mean of its
-words (a repeated one counts once, so that a word said over and over is no worse), and a linear softmax tells toxic passages from others; vectors and softmax are trained together
-in numpy. A misspelling that was never seen still shares n-grams with what was. A document is as toxic
+words (a repeated one counts once, so that a word said over and over is no worse), and a linear softmax
+tells toxic passages from others; vectors and softmax are trained together in numpy, at first on all
+passages with their documents' labels, then on the worst passage alone of each toxic document. A misspelling that was never seen still shares n-grams with what was. A document is as toxic
 as its worst passage, so a long text does not dilute an insult; how that passage's score maps to a
 probability is fitted on labelled documents that the vectors were not trained on.
 """
@@ -21,12 +22,14 @@ from tidewatch.llm import common, labelled
 
 WORD = re.compile(r"[^\W_]+")
 #: Words in a passage.
-PASSAGE = 16
+PASSAGE = 8
 NGRAMS = (3, 4, 5)
 BUCKETS, WIDTH = 1 << 16, 8
 STEPS, BATCH, RATE = 1500, 256, 0.1
-#: Labelled documents that are learnt from, and passages of each: they bound what the driver holds.
-TRAIN_DOCS, TRAIN_PASSAGES = 4000, 128
+#: Share of the rounds in which each passage has its document's label.
+SOME_ROUNDS = 0.4
+#: Labelled documents that are learnt from, with their whole texts.
+TRAIN_DOCS = 4000
 #: A score from which a document counts as toxic.
 THRESHOLD = 0.3
 #: Scored words that a Python worker remembers.
@@ -78,32 +81,44 @@ class Model:
 
 
 def train(rows: list[tuple[int, list[list[str]]]], seed: int = 0, shift: float = 0.0) -> Model:
-    """A model from (label, passages) of documents; no documents give one that scores everything alike.
+    """A model from (label, passages) of documents.
 
-    ``shift`` is added to the log odds of a document, for rows that have not the labels' own shares.
+    Where there are no documents or all have one label, every text scores the share of toxic ones among
+    them and nine clean ones more, so nothing is called toxic for want of labels. ``shift`` is added to the log odds of a document, for rows that have not the labels' own shares.
     """
     rng = np.random.default_rng(seed)
     split = np.array([i % 5 == 0 for i in range(len(rows))])
     vocabulary: dict[str, int] = {}
-    words, sizes, labels = [], [], []
-    for (label, parts), later in zip(rows, split, strict=True):
+    words, sizes, labels, of = [], [], [], []
+    for doc, ((label, parts), later) in enumerate(zip(rows, split, strict=True)):
         for part in [] if later else parts:
             words.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in dict.fromkeys(part)], np.int32))
             sizes.append(len(part))
             labels.append(label)
+            of.append(doc)
     if not words or len({*labels}) < 2:
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+        toxic = sum(label for label, _ in rows)
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log((toxic + 1) / (len(rows) - toxic + 9))))
     parts_of = [np.array(subwords(w), np.int32) for w in vocabulary]
     n_parts = np.array([len(p) for p in parts_of])
     flat, begin = np.concatenate(parts_of), np.cumsum(n_parts) - n_parts
-    sizes, labels = np.array(sizes), np.array(labels, np.float32)
+    sizes, labels, of = np.array(sizes), np.array(labels, np.float32), np.array(of)
 
     vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
     bias = np.log(np.array([1 - labels.mean(), labels.mean()], np.float32))
     seen = [np.full(BUCKETS, 1e-6, np.float32), np.full((WIDTH, 2), 1e-6, np.float32)]
-    for _ in range(-(-STEPS * BATCH // max(len(words), BATCH))):
-        order = rng.permutation(len(words))
+    told = np.ones(len(words), bool)
+    rounds = -(-STEPS * BATCH // max(len(words), BATCH))
+    for turn in range(rounds):
+        if turn >= rounds * SOME_ROUNDS:
+            # what a toxic document's label tells about is its worst passage; the others' labels are not known
+            each = word_means(vectors @ (softmax[:, 1] - softmax[:, 0]), flat, begin, n_parts)
+            mean = np.array([each[w].sum() / n for w, n in zip(words, sizes, strict=True)])
+            worst = np.full(len(rows), -np.inf)
+            np.maximum.at(worst, of, mean)
+            told = (labels == 0) | (mean >= worst[of])
+        order = rng.permutation(np.flatnonzero(told))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
             ids, which = np.unique(np.concatenate([words[i] for i in own]), return_inverse=True)
@@ -136,6 +151,11 @@ def train(rows: list[tuple[int, list[list[str]]]], seed: int = 0, shift: float =
     return model
 
 
+def word_means(scores: np.ndarray, flat: np.ndarray, begin: np.ndarray, n_parts: np.ndarray) -> np.ndarray:
+    """The mean score of each word's subwords."""
+    return np.add.reduceat(scores[flat], begin) / n_parts
+
+
 def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve through scores and labels, by Newton steps on smoothed labels."""
     if len({*y.tolist()}) < 2:
@@ -159,13 +179,12 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from a bounded sample of the labelled documents that are not held out."""
 
-    def some(text: str | None) -> list[list[str]]:
-        parts = passages(text)
-        step = -(-len(parts) // TRAIN_PASSAGES) or 1
-        return parts[::step]
+    def some(text: str | None) -> bytes:
+        return zlib.compress(" ".join(WORD.findall((text or "").lower())).encode(), 1)
 
     rows, shift = labelled.sample(docs, labels, "toxic", TRAIN_DOCS, some)
-    return train(rows, shift=shift)
+    one: dict[str, str] = {}  # a word is held once, however often it occurs
+    return train([(y, [[one.setdefault(w, w) for w in part] for part in passages(zlib.decompress(raw).decode())]) for y, raw in rows], shift=shift)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
