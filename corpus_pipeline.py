@@ -12,37 +12,64 @@ from tidewatch.llm import toxicity as toxic
 ORACLE_SQL = None
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the row's other columns as a struct, so that no column of an operator clashes with one of them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(F.struct(F.lit(0).alias(common.unused("_", docs.columns)), *others).alias("_row"), "doc_id", "text")
+
+
+def _rows(rows: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns of rows that ``_with_row`` made, some of them new."""
+    return rows.select(*[new.get(c, F.col(c) if c in ("doc_id", "text") else F.col(f"_row.`{c}`")).alias(c) for c in columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that the toxicity model, learnt from the labels, does not call toxic."""
+    """Keep documents that the toxicity model, learnt from the labels, does not call toxic.
+
+    Null and empty texts score as texts without words. Rows are judged one by one, so repeated ones share
+    their fate; without labels nothing is called toxic. An empty table gives an empty one.
+    """
     model = toxic.fit(docs, common.read(spark, sf_dir, "labels"))
-    return toxic.score(docs, model).where(F.col("score") < toxic.THRESHOLD).select(docs.columns)
+    rows = toxic.score(_with_row(docs), model)
+    return _rows(rows.where(F.col("score") < toxic.THRESHOLD), docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what the quality rules keep."""
-    # the row's own columns may have the names of the features, so they go along within a struct
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return quality_rules.judge(rows, ["_row"]).where("kept").select("_row.*")
+    """Keep what the quality rules keep.
+
+    Null, empty and short texts go, whatever the rules say. Rows are judged one by one; the rules'
+    accuracies come from all of them. An empty table gives an empty one.
+    """
+    return _rows(quality_rules.judge(_with_row(docs), ["_row", "doc_id", "text"]).where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of documents linked by shared word shingles.
 
-    Of rows equal in doc_id and text one is kept; rows without a doc_id are in no group and all stay.
+    Of rows equal in doc_id and text one is kept; rows without a doc_id are in no group and all stay, as
+    do null and empty texts. An empty table gives an empty one.
     """
     first = jaccard_join.cluster(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs.doc_id == F.col("_first"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    rows = _with_row(docs)
+    kept = rows.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return _rows(kept.unionByName(rows.where("doc_id is null")), docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take repeated passages out of the texts."""
-    clean = substring_dedup.dedup(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """Take repeated passages out of the texts; what is left of a text, and texts that lose nothing, stay as they are.
+
+    Null and empty texts and rows without a doc_id are not changed. An empty table gives an empty one.
+    """
+    clean = substring_dedup.dedup(_with_row(docs))
+    return _rows(clean, docs.columns, n_chars=F.char_length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
+    """Pack what is left into sequences: a row for each piece of a document.
+
+    Null and empty texts have their end id alone; repeated rows and rows without a doc_id are packed as
+    documents of their own. An empty table gives no pieces.
+    """
     return packing.pack(common.saved(packing.cut(docs, tokens.vocabulary_path()), "pieces"))
 
 
