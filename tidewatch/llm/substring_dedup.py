@@ -6,11 +6,14 @@ make a fragment, and a fragment goes to the shard of its minimizer. Fragments wh
 once cannot repeat anything and stay where they are. Each shard builds a compressed index of its
 distinct fragments and streams them through it: backward search gives, for each position, the interval
 of suffixes that match from there on; its class among the suffixes cut at WINDOW words tells where the
-same window starts first. Words are compared by 64-bit hashes.
+same window starts first. Minimizers are compared by 64-bit hashes and words by 48 bits of theirs: for two
+windows to be taken for one, each of their 20 words has to be equal or to collide.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,12 @@ HOT = 1024
 HOT_SLOTS = 1 << 16
 #: Words of fragments that a task holds before it sends them off.
 HELD_WORDS = 1 << 21
+#: Bytes of text for which there is a shard, so that none grows with the input, and shards in a partition beyond
+#: the session's number of partitions. A task holds one shard at a time.
+SHARD_BYTES, SHARDS = 4 << 20, 32
+#: Bytes of a word's hash that are sent.
+WORD_BYTES = 6
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 # ------------------------------------------------------------------ fragments
@@ -81,7 +90,7 @@ def count_slots(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, common.COUNTS_SCHEMA)
 
 
-PIECES = "bucket int, doc binary, start binary, size binary, words binary, removed_doc long, removed_from long, removed_to long"
+PIECES = "bucket int, doc binary, start binary, size binary, words binary"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
@@ -136,20 +145,28 @@ class Held:
             own = order[cut[b] : cut[b + 1]]
             if len(own):
                 words = self.words[_ranges(begin[own], self.size[own])]
-                out.append((b, self.doc[own].tobytes(), self.start[own].tobytes(), self.size[own].astype("<i4").tobytes(), words.tobytes()))
-        kinds = [pa.int32(), *[pa.binary()] * 4]
-        none = pa.nulls(len(out), pa.int64())
-        return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], none, none, none], _NAMES)
+                out.append((b, self.doc[own].tobytes(), self.start[own].tobytes(), self.size[own].astype("<i4").tobytes(), _sent(words)))
+        return _packed(out)
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _NAMES)
 
 
-def _intervals(doc, start, end):
-    n = len(doc)
-    empty = [pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 4]
-    return pa.RecordBatch.from_arrays([*empty, *[pa.array(x, pa.int64()) for x in (doc, start, end)]], _NAMES)
+def _sent(words: np.ndarray) -> bytes:
+    """The lower WORD_BYTES of each hash."""
+    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]).tobytes()
+
+
+def _received(words: bytes) -> np.ndarray:
+    out = np.zeros((len(words) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(words, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view("<u8").ravel()
 
 
 def cut(docs: DataFrame, buckets: int, filter_) -> DataFrame:
-    """Packed fragments for the shards, and intervals already known to be repeated within a task."""
+    """Packed fragments for the shards, and (without words) intervals already known to be repeated within a task."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def send(batches):
@@ -161,7 +178,8 @@ def cut(docs: DataFrame, buckets: int, filter_) -> DataFrame:
             held = Held(parts)
             removed = held.distinct()
             if len(removed[0]):
-                yield _intervals(*removed)
+                doc, start, end = removed
+                yield _packed([(int(doc[0]) % buckets, doc.tobytes(), start.tobytes(), (end - start).astype("<i4").tobytes(), None)])
             yield held.rows(buckets)
 
         for batch in batches:
@@ -300,21 +318,17 @@ def matches(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place - number[0], early - number[1]
 
 
-def search(pieces: DataFrame, buckets: int) -> DataFrame:
+def search(pieces: DataFrame, partitions: int) -> DataFrame:
     """(doc_id, start, end): words that windows cover which start earlier elsewhere. Intervals may overlap."""
 
-    def find(batches):
-        parts = []
-        for batch in batches:
-            columns = [batch.column(k) for k in ("doc", "start", "size", "words")]
-            for doc, start, size, words in zip(*columns, strict=True):
-                size = np.frombuffer(size.as_py(), "<i4").astype(np.int64)
-                parts.append((np.frombuffer(doc.as_py(), "<i8"), np.frombuffer(start.as_py(), "<i8"), size, np.zeros(len(size), np.uint64), np.frombuffer(words.as_py(), "<u8")))
-        if not parts:
-            return
+    def rows(*columns):
+        for i in range(0, len(columns[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000], pa.int64()) for x in columns], ["doc_id", "start", "end"])
+
+    def shard(parts):
         held = Held(parts)
-        del parts
-        doc, start, end = held.distinct()
+        parts.clear()
+        yield from rows(*held.distinct())
         begin = np.cumsum(held.size) - held.size
         where, first = matches(held.words, held.size)
         own, other = np.searchsorted(begin, where, "right") - 1, np.searchsorted(begin, first, "right") - 1
@@ -326,66 +340,101 @@ def search(pieces: DataFrame, buckets: int) -> DataFrame:
         if len(a):
             new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (a[1:] != a[:-1] + 1)])
             last = np.r_[new[1:], len(a)] - 1
-            doc, start, end = np.r_[doc, own[new]], np.r_[start, a[new]], np.r_[end, a[last] + WINDOW]
-        for i in range(0, len(doc), 50_000):
-            s = slice(i, i + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[s], pa.int64()) for x in (doc, start, end)], ["doc_id", "start", "end"])
+            yield from rows(own[new], a[new], a[last] + WINDOW)
+
+    def find(batches):
+        parts, held = [], None
+        for batch in batches:
+            columns = [batch.column(k) for k in ("bucket", "doc", "start", "size", "words")]
+            for bucket, doc, start, size, words in zip(*columns, strict=True):
+                bucket = bucket.as_py()
+                if parts and bucket != held:
+                    yield from shard(parts)
+                held = bucket
+                doc, start = (np.frombuffer(x.as_py(), "<i8") for x in (doc, start))
+                size = np.frombuffer(size.as_py(), "<i4").astype(np.int64)
+                if words.is_valid:
+                    parts.append((doc, start, size, np.zeros(len(size), np.uint64), _received(words.as_py())))
+                else:
+                    yield from rows(doc, start, start + size)
+        if parts:
+            yield from shard(parts)
 
-    return pieces.repartition(buckets, "bucket").mapInArrow(find, "doc_id long, start long, end long")
+    # shards come one behind another, so a task works through them
+    return pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "doc_id long, start long, end long")
+
+
+def without(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int, int]:
+    """A text less the words in ascending intervals, its number of words, and how many went.
+
+    A run of words goes with the white space behind it; the rest stays as it is.
+    """
+    spans = [m.span() for m in WORD.finditer(text)]
+    edge = [a for a, _ in spans] + [len(text)]
+    kept, last, n = [], 0, 0
+    for a, b in gone:
+        a, b = max(a, last), min(b, len(spans))
+        if a < b:
+            kept.append(text[edge[last] if last else 0 : edge[a]])
+            n += b - a
+            last = b
+    kept.append(text[edge[last] if last else 0 :])
+    return b"".join(kept), len(spans), n
 
 
 def remove(docs: DataFrame, intervals: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` less the words in the intervals, n_words and n_removed; words joined by one space."""
+    """``docs`` with ``text`` less the words in the intervals, n_words and n_removed; other texts stay as they are."""
     spark = docs.sparkSession
-    held = intervals.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_gone"))
-    held = held.select(F.col("doc_id").alias("_doc"), "_gone")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    joined = docs.select(names).join(held, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+    key, gone_ = common.unused("key", names), common.unused("gone", names)
+    held = intervals.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(gone_)).withColumnRenamed("doc_id", key)
+    left = docs.select(*[F.col(f"`{c}`") for c in names])
+    joined = left.join(held, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in names) + ", n_words long, n_removed long"
     common.prepare(spark)
 
     def drop(batches):
+        place = names.index("text")
         for batch in batches:
             texts, n_words, n_removed = [], [], []
-            for text, gone in zip(batch.column(names.index("text")).cast(pa.large_binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                words = (text or b"").split()
-                kept, last = words, 0
+            for text, gone in zip(batch.column(place).cast(pa.large_binary()).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 if gone:
-                    kept = []
-                    for x in gone:
-                        kept += words[last : max(last, x["start"])]
-                        last = max(last, x["end"])
-                    kept += words[last:]
-                texts.append(b" ".join(kept))
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
+                    text, n, less = without(text or b"", [(x["start"], x["end"]) for x in gone])
+                else:
+                    n, less = len((text or b"").split()), 0
+                texts.append(text)
+                n_words.append(n)
+                n_removed.append(less)
             columns = [batch.column(i) for i in range(len(names))]
-            columns[names.index("text")] = pa.array(texts, pa.binary()).cast(pa.string())
+            columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "n_words", "n_removed"])
 
     return joined.mapInArrow(drop, schema)
 
 
+def shards(docs: DataFrame) -> int:
+    """The number of shards for the documents."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(common.partitions(docs.sparkSession), -(-size // SHARD_BYTES))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with every word removed that a window covers which starts earlier, by (doc_id, place).
 
     Adds n_words (of the whole text) and n_removed; a column of these names in ``docs`` is replaced.
-    Null and empty texts become empty. Rows with a null doc_id have no place in the order: they stay
-    whole and cover nothing. Rows that repeat a doc_id count as one document, so they take nothing
-    from each other. Empty tables give no rows; other columns are kept.
+    Texts of which nothing is removed stay as they are, null and empty ones included. Rows with a null doc_id
+    have no place in the order: they stay whole and cover nothing. Rows that repeat a doc_id count as one
+    document, so they take nothing from each other. Empty tables give no rows; other columns are kept.
     """
-    spark = docs.sparkSession
-    common.prepare(spark)
-    buckets = common.partitions(spark)
-    filter_ = common.slot_counts(count_slots(docs, buckets), buckets, HOT_SLOTS)
-    pieces = common.saved(cut(docs, buckets, filter_), "fragments")
-    known = pieces.where("bucket is null").select(F.col("removed_doc").alias("doc_id"), F.col("removed_from").alias("start"), F.col("removed_to").alias("end"))
-    found = search(pieces.where("bucket is not null").select("bucket", "doc", "start", "size", "words"), buckets)
-    return remove(docs, known.union(found))
+    common.prepare(docs.sparkSession)
+    buckets, wide = shards(docs), common.partitions(docs.sparkSession)
+    filter_ = common.slot_counts(count_slots(docs, wide), wide, HOT_SLOTS)
+    return remove(docs, search(cut(docs, buckets, filter_), max(wide, buckets // SHARDS)))
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, n_words, n_removed, kept_sha256."""
     docs = dedup(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    kept = F.array_join(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""), " ")
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
