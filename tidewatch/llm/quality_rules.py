@@ -120,4 +120,4 @@ def judge(docs: DataFrame, keep: list[str], threshold: float = 0.5) -> DataFrame
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     """All documents judged: doc_id, n_words, the four base counts, base_failed, kept, posterior."""
     judged = judge(common.read(spark, sf_dir, "documents"), ["doc_id"])
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))

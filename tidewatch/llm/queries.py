@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import binary_output, embedding_dedup, jaccard_join, license_scan, packing, quality_model, quality_rules, sentencepiece_codec, substring_dedup, toxicity
+from tidewatch.llm import binary_output, embedding_dedup, jaccard_join, license_scan, oracles, packing, quality_model, quality_rules, sentencepiece_codec, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -24,4 +24,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """Query name -> DuckDB SQL."""
-    return {}
+    return {
+        "op3_substring_dedup": oracles.SUBSTRINGS,
+        "op4_ngram_jaccard_join": oracles.JACCARD,
+        "op5_quality_rules": oracles.quality(),
+        "op8_embedding_near_dedup": oracles.EMBEDDINGS,
+    }
