@@ -9,14 +9,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_KEY_DROP = r"\(주\)|㈜|주식회사|[\s.,()\[\]·ㆍ&'\"_/-]"
+#: Numbering in front of an account's name, references to notes, what a company's key leaves out.
+_NUMBERING = r"^[(（]?([0-9]{1,2}|[IVX]{1,4}|[Ⅰ-Ⅻ]|[ⅰ-ⅻ]|[가-하])[.)）]"
+_NOTE = r"[(（]주(석)?[0-9,.\s]*[)）]"
+_COMPANY_FORM = r"\(주\)|㈜|주식회사"
+_KEY_DROP = r"[\s\p{Punct}ㆍ·「」『』“”‘’]"
+_DIVISION = r"\s*건설부문\s*$"
 
 
 def account_name(name: Column) -> Column:
-    """An account's name without white space, numbering in front and references to notes."""
-    bare = F.regexp_replace(name, r"\s+", "")
-    bare = F.regexp_replace(bare, r"^(?:[0-9]+\.|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩIVX]+\.|\([0-9가-힣]\)|[가-힣]\.|[①-⑳])+", "")
-    return F.regexp_replace(bare, r"\(주석?[0-9,.]*\)|\(주석[^)]*\)", "")
+    """An account's name without white space, one numbering in front and references to notes."""
+    bare = F.regexp_replace(F.regexp_replace(name, r"\s+", ""), _NUMBERING, "")
+    return F.regexp_replace(bare, _NOTE, "")
 
 
 def title(name: Column) -> Column:
@@ -35,8 +39,16 @@ def _nfkc(name: Column) -> Column:
 
 def corp_key(name: Column) -> Column:
     """Comparison key of a company's name: stripped, put into compatibility form, and stripped again."""
-    strip = lambda c: F.regexp_replace(F.lower(c), _KEY_DROP, "")
-    return F.lower(strip(_nfkc(strip(name))))
+    return _stripped(_nfkc(_stripped(name)))
+
+
+def builder_key(name: Column) -> Column:
+    """``corp_key`` of a builder's name without the mark of its construction division."""
+    return corp_key(F.regexp_replace(F.trim(name), _DIVISION, ""))
+
+
+def _stripped(name: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(name), _COMPANY_FORM, ""), _KEY_DROP, "")
 
 
 def first_keyword(text: Column, classes: Sequence[tuple[str, str]], neutral: Sequence[str] = ()) -> Column:
@@ -61,13 +73,22 @@ def credit_event(title: Column, include: Sequence[str], exclude: Sequence[str])
 
 
 def consortium(raw: Column) -> Column:
-    """struct(names, extra, more) of a list of builders: ``… 외 N`` counts as extra, a trailing ``등`` as more."""
-    extra = F.coalesce(F.nullif(F.regexp_extract(raw, r"외\s*([0-9]+)\s*(?:개사|개|사)?\s*$", 1), F.lit("")).cast("int"), F.lit(0))
-    body = F.regexp_replace(raw, r"\s*외\s*[0-9]+\s*(?:개사|개|사)?\s*$", "")
-    more = body.rlike(r"\s등\s*$")
-    body = F.regexp_replace(F.regexp_replace(body, r"\s등\s*$", ""), "컨소시엄", "")
-    parts = F.filter(F.transform(F.split(body, r"[,/、·ㆍ]"), F.trim), lambda x: x != "")
-    return F.struct(F.array_distinct(parts).alias("names"), extra.alias("extra"), more.alias("more"))
+    """struct(names, extra, more) of a list of builders: ``… 외 N`` counts as extra, else a trailing ``등`` as more.
+
+    Of names that are alike but for company forms, divisions, marks and case the first one stays.
+    """
+    text = F.trim(raw)
+    others = r"\s*외\s*([0-9]{1,2})\s*(?:개사|개|사)?\s*$"
+    counted = text.rlike(others)
+    extra = F.when(counted, F.regexp_extract(text, others, 1).cast("int")).otherwise(F.lit(0))
+    more = ~counted & text.rlike(r"\s등\s*$")
+    body = F.when(counted, F.regexp_replace(text, others, "")).when(more, F.regexp_replace(text, r"\s+등\s*$", "")).otherwise(text)
+    body = F.regexp_replace(body, r"\s*컨소시엄\s*$", "")
+    parts = F.transform(F.split(body, r"\s*[,/、·ㆍ]\s*"), lambda x: F.trim(x))
+    key = lambda x: _stripped(F.regexp_replace(x, _DIVISION, ""))
+    keys = F.transform(parts, key)
+    first = F.filter(parts, lambda x, i: (key(x) != "") & (F.array_position(keys, key(x)) == i + 1))
+    return F.struct(first.alias("names"), F.coalesce(extra, F.lit(0)).alias("extra"), F.coalesce(more, F.lit(False)).alias("more"))
 
 
 def csv_safe(text: Column) -> Column:

@@ -58,6 +58,12 @@ def page(df: DataFrame, order: Sequence[Column], page: int = 0, size: int = 20)
     return df.orderBy(*order).offset(page * size).limit(size)
 
 
+def page_with_total(df: DataFrame, order: Sequence[Column], page_: int = 0, size: int = 20, total: str = "total") -> DataFrame:
+    """One page of an ordered result with the number of all its rows; a page behind the end is empty."""
+    count = df.agg(F.count("*").alias(total))
+    return page(df, order, page_, size).crossJoin(F.broadcast(count))  # one row
+
+
 def search(df: DataFrame, name: str, text: str, n: int = 6) -> DataFrame:
     """The ``n`` best names that contain a text, those that start with it first, then shorter ones."""
     literal = text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

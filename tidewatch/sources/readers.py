@@ -71,3 +71,86 @@ def whole_units(rows: DataFrame, declared: DataFrame, previous: DataFrame, unit:
     d = declared.join(have, unit, "left").join(previous.withColumnRenamed("n", "_before"), unit, "left")
     bad = d.where((F.coalesce("_have", F.lit(0)) < F.col("total")) | ((F.col("total") == 0) & (F.coalesce("_before", F.lit(0)) > 0)))
     return rows.join(bad.select(*unit), unit, "left_anti")
+
+
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value) of whole text files."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def _day(text) -> object:
+    """A date written 20250131 or 2025-01-31; anything else is null."""
+    return F.when(F.length(text) == 8, F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date")).otherwise(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
+
+
+def daily_bars(spark: SparkSession, path: str, codes: list[str] | None = None) -> DataFrame:
+    """Daily stock bars from pages of JSON whose ``item`` is a list, or an object where there is one.
+
+    The service searches by likeness, so rows of other codes are left out where ``codes`` are given.
+    """
+    row = "basDt string, srtnCd string, clpr string, mkp string, hipr string, lopr string, trqu string, fltRt string, lstgStCnt string, mrktTotAmt string"
+    item = F.get_json_object("value", "$.response.body.items.item")
+    listed = F.when(F.startswith(F.ltrim(item), F.lit("[")), item).otherwise(F.concat(F.lit("["), item, F.lit("]")))
+    rows = _texts(spark, path).select(F.explode(F.from_json(listed, f"array<struct<{row.replace(' string', ':string')}>>")).alias("i")).select("i.*")
+    if codes is not None:
+        rows = rows.where(F.col("srtnCd").isin(codes))
+    n = lambda c: names.number(F.col(c))
+    return rows.select(_day(F.col("basDt")).alias("bas_dt"), F.col("srtnCd").alias("stock_code"), n("clpr").alias("close"), n("mkp").alias("open"), n("hipr").alias("high"), n("lopr").alias("low"), n("trqu").cast("long").alias("volume"), n("fltRt").alias("change_rate"), n("lstgStCnt").cast("long").alias("listed_shares"), n("mrktTotAmt").alias("market_cap"))
+
+
+#: Fields that no presale notice may lack. Fixed values of the service.
+NOTICE_NEEDS = ["HOUSE_MANAGE_NO", "PBLANC_NO", "HOUSE_NM", "HOUSE_SECD", "RCRIT_PBLANC_DE"]
+
+
+def presale_notices(spark: SparkSession, path: str) -> DataFrame:
+    """Presale notices from pages of JSON; ``lacking`` names required fields that a row has not, so that it can be refused.
+
+    Flags are true, false or, where they are neither Y nor N, null; dates come in two spellings.
+    """
+    fields = [*NOTICE_NEEDS, "HSSPLY_ADRES", "TOT_SUPLY_HSHLDCO", "RCEPT_BGNDE", "RCEPT_ENDDE", "CNSTRCT_ENTRPS_NM", "BSNS_MBY_NM", "MVN_PREARNGE_YM", "SPECLT_RDN_EARTH_AT", "PARCPRC_ULS_AT"]
+    kind = ",".join(f"{f}:string" for f in fields)
+    d = _texts(spark, path).select(F.explode(F.from_json(F.get_json_object("value", "$.data"), f"array<struct<{kind}>>")).alias("n")).select("n.*")
+    d = d.select(*[F.nullif(F.trim(f), F.lit("")).alias(f) for f in fields])
+    flag = lambda c: F.when(F.col(c) == "Y", True).when(F.col(c) == "N", False)
+    return d.select(
+        F.col("HOUSE_MANAGE_NO").alias("house_no"), F.col("PBLANC_NO").alias("notice_no"), F.col("HOUSE_NM").alias("house_name"), F.col("HOUSE_SECD").alias("kind"), F.col("HSSPLY_ADRES").alias("address"),
+        names.number(F.col("TOT_SUPLY_HSHLDCO")).cast("int").alias("households"), _day(F.col("RCRIT_PBLANC_DE")).alias("notice_date"), _day(F.col("RCEPT_BGNDE")).alias("receipt_from"), _day(F.col("RCEPT_ENDDE")).alias("receipt_to"),
+        F.col("CNSTRCT_ENTRPS_NM").alias("builders"), F.col("BSNS_MBY_NM").alias("developer"), F.when(F.col("MVN_PREARNGE_YM").rlike("^20[0-9]{2}(0[1-9]|1[0-2])$"), F.col("MVN_PREARNGE_YM")).alias("move_in_ym"),
+        flag("SPECLT_RDN_EARTH_AT").alias("overheated"), flag("PARCPRC_ULS_AT").alias("price_cap"),
+        F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in NOTICE_NEEDS])).alias("lacking"),
+    )
+
+
+def presale_models(spark: SparkSession, path: str) -> DataFrame:
+    """Models of presale notices; the highest price comes in units of 10,000 won and leaves in won."""
+    fields = ["HOUSE_MANAGE_NO", "PBLANC_NO", "MODEL_NO", "HOUSE_TY", "SUPLY_AR", "SUPLY_HSHLDCO", "LTTOT_TOP_AMOUNT"]
+    kind = ",".join(f"{f}:string" for f in fields)
+    d = _texts(spark, path).select(F.explode(F.from_json(F.get_json_object("value", "$.data"), f"array<struct<{kind}>>")).alias("n")).select("n.*")
+    n = lambda c: names.number(F.col(c))
+    return d.select(F.col("HOUSE_MANAGE_NO").alias("house_no"), F.col("PBLANC_NO").alias("notice_no"), F.col("MODEL_NO").alias("model_no"), F.col("HOUSE_TY").alias("model"), n("SUPLY_AR").alias("area"), n("SUPLY_HSHLDCO").cast("int").alias("households"), (n("LTTOT_TOP_AMOUNT") * 10_000).cast("decimal(38,0)").alias("top_price"))
+
+
+def statistic_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the statistics service: up to eight classes as arrays of codes and names, ended by the first one that is not given."""
+    pairs = ",".join(f"C{i}:string,C{i}_NM:string" for i in range(1, 9))
+    d = _texts(spark, path).select(F.explode(F.from_json("value", f"array<struct<PRD_DE:string,ITM_ID:string,DT:string,UNIT_NM:string,{pairs}>>")).alias("r")).select("r.*")
+    classes = F.array(*[F.struct(F.nullif(F.trim(f"C{i}"), F.lit("")).alias("code"), F.col(f"C{i}_NM").alias("name")) for i in range(1, 9)])
+    d = d.withColumn("_c", classes).withColumn("_n", F.coalesce(F.nullif(F.array_position(F.transform("_c", lambda c: c["code"].isNull()), True), F.lit(0)) - 1, F.lit(8)).cast("int"))
+    d = d.withColumn("_c", F.expr("slice(_c, 1, _n)"))
+    return d.select(F.col("PRD_DE").alias("period"), F.col("_c.code").alias("codes"), F.col("_c.name").alias("names"), F.col("ITM_ID").alias("item"), names.number(F.col("DT")).alias("value"), F.col("DT").alias("raw"), F.col("UNIT_NM").alias("unit"))
+
+
+def price_index_rows(spark: SparkSession, path: str, items: list[str] | None = None) -> DataFrame:
+    """Rows of the price index with their place as a path; rows without a name are left out."""
+    row = "STATBL_ID:string,WRTTIME_IDTFR_ID:string,CLS_ID:string,CLS_NM:string,CLS_FULLNM:string,ITM_ID:string,DTA_VAL:string,UI_NM:string"
+    sections = F.from_json(F.get_json_object("value", "$.SttsApiTblData"), f"array<struct<row:array<struct<{row}>>>>")
+    d = _texts(spark, path).select(F.explode(F.flatten(F.filter(F.transform(sections, lambda s: s["row"]), lambda r: r.isNotNull()))).alias("r")).select("r.*")
+    d = d.where(F.col("CLS_NM").isNotNull() & (F.trim("CLS_NM") != ""))
+    if items is not None:
+        d = d.where(F.col("ITM_ID").isin(items))
+    return d.select(F.col("STATBL_ID").alias("table_id"), F.col("WRTTIME_IDTFR_ID").alias("period"), F.col("CLS_ID").alias("code"), F.transform(F.split(F.coalesce("CLS_FULLNM", "CLS_NM"), ">"), lambda x: F.trim(x)).alias("path"), F.col("ITM_ID").alias("item"), names.number(F.col("DTA_VAL")).alias("value"), F.col("UI_NM").alias("unit"))
+
+
+def bounded_zips(spark: SparkSession, path: str, most: int = 256 << 20) -> DataFrame:
+    """(path, content) of landed archives of at most ``most`` bytes; larger ones are left out before they are read."""
+    return spark.read.format("binaryFile").load(path).where(F.col("length") <= most).select("path", "content")
