@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -83,6 +85,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(f):
+    """``f``, a function over batches, giving what memory it freed back to the system when its task ends.
+
+    Workers are kept for later tasks, and allocators keep what those tasks may never need again.
+    """
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def unused(name: str, taken: list[str]) -> str:
     """The name, or a longer one that no column has."""
     while name.lower() in {t.lower() for t in taken}:
@@ -201,6 +220,11 @@ def _unpacked(gaps: bytes, low: int) -> np.ndarray:
     return (low + np.cumsum(raw.astype(np.int64)))[raw != 255]
 
 
+def slot_buckets(spark: SparkSession) -> int:
+    """Ranges that the slots are cut into: enough to keep a task's counts to a few MB."""
+    return max(partitions(spark), 64)
+
+
 def slot(h: np.ndarray) -> np.ndarray:
     """The slot of each hash: its upper bits."""
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -209,30 +233,36 @@ def slot(h: np.ndarray) -> np.ndarray:
 def slot_counts(packed: DataFrame, buckets: int, most_frequent: int = 0):
     """A bitmap of the slots counted at least twice, and at most ``most_frequent`` of the most frequent slots with counts.
 
-    ``packed`` has COUNTS_SCHEMA rows. Each bucket covers its own range of slots, so what a task
-    holds is bounded by the slots of its range (counts, not rows, are kept). What reaches the driver
+    ``packed`` has COUNTS_SCHEMA rows. Each bucket covers its own range of slots and a task works through
+    one bucket after another, so what it holds is bounded by the slots of a range (counts, not rows, are kept). What reaches the driver
     is 2 ** SLOT_BITS bits, compressed, and ``most_frequent`` counts, whatever the input's size.
     """
     spark = packed.sparkSession
 
+    def counted(b: int, total: np.ndarray) -> pa.RecordBatch:
+        bits = zlib.compress(np.packbits(total >= 2, bitorder="little").tobytes(), 1)
+        top = np.flatnonzero(total >= FREQUENT) if most_frequent else np.zeros(0, np.int64)
+        if len(top) > most_frequent:
+            top = top[np.argpartition(total[top], -most_frequent)[-most_frequent:]]
+        values = [b], [bits], [(top + (b << SLOT_BITS) // buckets).astype("<u4").tobytes()], [total[top].astype("<u4").tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "bits", "slots", "counts"])
+
     def count(batches):
-        totals: dict[int, np.ndarray] = {}
+        held, total = None, None
         for batch in batches:
             for b, gaps in zip(batch.column("bucket").to_pylist(), batch.column("gaps"), strict=True):
                 low, high = (b << SLOT_BITS) // buckets, ((b + 1) << SLOT_BITS) // buckets
-                total = totals.setdefault(b, np.zeros(high - low, np.int32))
+                if b != held:
+                    if held is not None:
+                        yield counted(held, total)
+                    held, total = b, np.zeros(high - low, np.int32)
                 where, n = np.unique(_unpacked(gaps.as_py(), low) - low, return_counts=True)
                 total[where] += n.astype(np.int32)
-        for b, total in totals.items():
-            bits = zlib.compress(np.packbits(total >= 2, bitorder="little").tobytes(), 1)
-            top = np.flatnonzero(total >= FREQUENT) if most_frequent else np.zeros(0, np.int64)
-            if len(top) > most_frequent:
-                top = top[np.argpartition(total[top], -most_frequent)[-most_frequent:]]
-            values = [b], [bits], [(top + (b << SLOT_BITS) // buckets).astype("<u4").tobytes()], [total[top].astype("<u4").tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "bits", "slots", "counts"])
+        if held is not None:
+            yield counted(held, total)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    done = packed.repartition(buckets, "bucket").mapInArrow(count, "bucket int, bits binary, slots binary, counts binary")
+    done = packed.repartition(min(buckets, partitions(spark)), "bucket").sortWithinPartitions("bucket").mapInArrow(released(count), "bucket int, bits binary, slots binary, counts binary")
     seen = np.zeros((1 << SLOT_BITS) // 8, np.uint8)
     top = np.zeros((0, 2), np.uint32)
     for row in done.collect():

@@ -88,7 +88,7 @@ def count_slots(docs: DataFrame, buckets: int) -> DataFrame:
         if n:
             yield common.packed_slots(np.concatenate(held), buckets)
 
-    return docs.select("text").mapInArrow(count, common.COUNTS_SCHEMA)
+    return docs.select("text").mapInArrow(common.released(count), common.COUNTS_SCHEMA)
 
 
 SIGNED = "doc_id long, n_shingles long, vertex long, grp long, bucket int, token binary, posted binary, meta binary"
@@ -154,7 +154,7 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
         if n_held:
             yield postings()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(sign), SIGNED)
 
 
 def collapsed(token: np.ndarray, group: np.ndarray, meta: np.ndarray):
@@ -220,7 +220,7 @@ def lists(posted: DataFrame, buckets: int) -> DataFrame:
                 FOUND_NAMES,
             )
 
-    return posted.repartition(buckets, "bucket").mapInArrow(pair, FOUND)
+    return posted.repartition(buckets, "bucket").mapInArrow(common.released(pair), FOUND)
 
 
 FOUND_NAMES = [x.split()[0] for x in FOUND.split(", ")]
@@ -249,7 +249,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     texts = with_texts(pairs, docs)
     common.prepare(pairs.sparkSession)
-    return texts.mapInArrow(check, "x long, y long")
+    return texts.mapInArrow(common.released(check), "x long, y long")
 
 
 def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -288,7 +288,7 @@ def differences(family: DataFrame, docs: DataFrame) -> DataFrame:
     spark = family.sparkSession
     texts = with_texts(family.select(F.col("center").alias("x"), F.col("id").alias("y")), docs)
     common.prepare(spark)
-    return texts.mapInArrow(compare, "center long, id long, size long, center_size long, apart long, tokens array<long>")
+    return texts.mapInArrow(common.released(compare), "center long, id long, size long, center_size long, apart long, tokens array<long>")
 
 
 def alike(apart: str, a: str, b: str):
@@ -332,7 +332,8 @@ def cluster(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null")
     common.prepare(spark)
     buckets = common.partitions(spark)
-    filter_ = common.slot_counts(count_slots(docs, buckets), buckets, FREQUENT_SLOTS)
+    ranges = common.slot_buckets(spark)
+    filter_ = common.slot_counts(count_slots(docs, ranges), ranges, FREQUENT_SLOTS)
     signed = common.saved(signatures(docs, buckets, filter_), "signatures")
     sets = signed.where("bucket is null").select("doc_id", "n_shingles", "vertex", "grp")
     found = common.saved(lists(signed.where("bucket is not null").select("bucket", "token", "posted", "meta"), buckets), "lists")

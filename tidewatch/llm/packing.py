@@ -41,7 +41,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(common.released(pieces), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:

@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both[0], pa.float64()), pa.array(both[1].astype(np.int64), pa.int64())], [*names, "score", "top_passage"])
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return docs.select(names).mapInArrow(rate, ", ".join(f"`{c}` {fields[c]}" for c in names) + ", score double, top_passage long")
+    return docs.select(names).mapInArrow(common.released(rate), ", ".join(f"`{c}` {fields[c]}" for c in names) + ", score double, top_passage long")
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def count_slots(docs: DataFrame, buckets: int) -> DataFrame:
         if n:
             yield common.packed_slots(np.concatenate(held), buckets)
 
-    return docs.select("text").mapInArrow(count, common.COUNTS_SCHEMA)
+    return docs.select("text").mapInArrow(common.released(count), common.COUNTS_SCHEMA)
 
 
 PIECES = "bucket int, doc binary, start binary, size binary, words binary"
@@ -205,7 +205,7 @@ def cut(docs: DataFrame, buckets: int, filter_) -> DataFrame:
         if parts:
             yield from off()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(send, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(common.released(send), PIECES)
 
 
 # ------------------------------------------------------------------- the index
@@ -361,7 +361,7 @@ def search(pieces: DataFrame, partitions: int) -> DataFrame:
             yield from shard(parts)
 
     # shards come one behind another, so a task works through them
-    return pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(find, "doc_id long, start long, end long")
+    return pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(common.released(find), "doc_id long, start long, end long")
 
 
 def without(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -410,7 +410,7 @@ def remove(docs: DataFrame, intervals: DataFrame) -> DataFrame:
             columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "n_words", "n_removed"])
 
-    return joined.mapInArrow(drop, schema)
+    return joined.mapInArrow(common.released(drop), schema)
 
 
 def shards(docs: DataFrame) -> int:
@@ -429,7 +429,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     common.prepare(docs.sparkSession)
     buckets, wide = shards(docs), common.partitions(docs.sparkSession)
-    filter_ = common.slot_counts(count_slots(docs, wide), wide, HOT_SLOTS)
+    ranges = common.slot_buckets(docs.sparkSession)
+    filter_ = common.slot_counts(count_slots(docs, ranges), ranges, HOT_SLOTS)
     return remove(docs, search(cut(docs, buckets, filter_), max(wide, buckets // SHARDS)))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ TRAIN_DOCS = 4000
 #: A score from which a document counts as toxic.
 THRESHOLD = 0.3
 #: Scored words that a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def subwords(word: str) -> list[int]:
@@ -80,51 +81,63 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -50, 50))))
 
 
-def train(rows: list[tuple[int, list[list[str]]]], seed: int = 0, shift: float = 0.0) -> Model:
+def train(rows: Iterable[tuple[int, list[list[str]]]], seed: int = 0, shift: float = 0.0) -> Model:
     """A model from (label, passages) of documents.
 
     Where there are no documents or all have one label, every text scores the share of toxic ones among
     them and nine clean ones more, so nothing is called toxic for want of labels. ``shift`` is added to the log odds of a document, for rows that have not the labels' own shares.
     """
     rng = np.random.default_rng(seed)
-    split = np.array([i % 5 == 0 for i in range(len(rows))])
     vocabulary: dict[str, int] = {}
-    words, sizes, labels, of = [], [], [], []
-    for doc, ((label, parts), later) in enumerate(zip(rows, split, strict=True)):
-        for part in [] if later else parts:
-            words.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in dict.fromkeys(part)], np.int32))
-            sizes.append(len(part))
-            labels.append(label)
-            of.append(doc)
-    if not words or len({*labels}) < 2:
-        toxic = sum(label for label, _ in rows)
-        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log((toxic + 1) / (len(rows) - toxic + 9))))
+    held, doc_labels = [], []
+    for label, parts in rows:  # taken one by one, so texts need not be held together
+        doc_labels.append(label)
+        own = [dict.fromkeys(part) for part in parts]
+        held.append((np.array([vocabulary.setdefault(w, len(vocabulary)) for part in own for w in part], np.int32), np.array([len(part) for part in own], np.int32), np.array([len(part) for part in parts], np.int32)))
+    doc_labels = np.array(doc_labels, np.int64)
+    if not vocabulary or len({*doc_labels.tolist()}) < 2:
+        toxic = int(doc_labels.sum())
+        return Model(np.zeros(BUCKETS, np.float32), 0.0, 1.0, float(np.log((toxic + 1) / (len(doc_labels) - toxic + 9))))
+    # of each passage its distinct words (within ``words``), its length, its document and that one's label
+    words, distinct, sizes = (np.concatenate([h[k] for h in held]) for k in range(3))
+    of = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+    del held
+    words_at = np.cumsum(distinct) - distinct
+    labels = doc_labels[of].astype(np.float32)
+    later = of % 5 == 0  # for the calibration
+    learnt = np.flatnonzero(~later)
+    if len(learnt) == 0:
+        learnt = np.arange(len(of))
     parts_of = [np.array(subwords(w), np.int32) for w in vocabulary]
     n_parts = np.array([len(p) for p in parts_of])
     flat, begin = np.concatenate(parts_of), np.cumsum(n_parts) - n_parts
-    sizes, labels, of = np.array(sizes), np.array(labels, np.float32), np.array(of)
+    del parts_of, vocabulary
+
+    def worst_passages() -> tuple[np.ndarray, np.ndarray]:
+        """The score of each passage, and of each document's worst one."""
+        each = np.add.reduceat((vectors @ (softmax[:, 1] - softmax[:, 0]))[flat], begin) / n_parts
+        mean = np.add.reduceat(each[words], words_at) / sizes
+        worst = np.full(len(doc_labels), -np.inf)
+        np.maximum.at(worst, of, mean)
+        return mean, worst
 
     vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32)
-    bias = np.log(np.array([1 - labels.mean(), labels.mean()], np.float32))
+    bias = np.log(np.array([1 - labels[learnt].mean() + 1e-6, labels[learnt].mean() + 1e-6], np.float32))
     seen = [np.full(BUCKETS, 1e-6, np.float32), np.full((WIDTH, 2), 1e-6, np.float32)]
-    told = np.ones(len(words), bool)
-    rounds = -(-STEPS * BATCH // max(len(words), BATCH))
+    rounds = -(-STEPS * BATCH // max(len(learnt), BATCH))
+    told = learnt
     for turn in range(rounds):
         if turn >= rounds * SOME_ROUNDS:
             # what a toxic document's label tells about is its worst passage; the others' labels are not known
-            each = word_means(vectors @ (softmax[:, 1] - softmax[:, 0]), flat, begin, n_parts)
-            mean = np.array([each[w].sum() / n for w, n in zip(words, sizes, strict=True)])
-            worst = np.full(len(rows), -np.inf)
-            np.maximum.at(worst, of, mean)
-            told = (labels == 0) | (mean >= worst[of])
-        order = rng.permutation(np.flatnonzero(told))
+            mean, worst = worst_passages()
+            told = learnt[(labels[learnt] == 0) | (mean[learnt] >= worst[of[learnt]])]
+        order = rng.permutation(told)
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
-            ids, which = np.unique(np.concatenate([words[i] for i in own]), return_inverse=True)
-            size, y = sizes[own], labels[own]
-            distinct = np.array([len(words[i]) for i in own])
-            first = np.cumsum(distinct) - distinct
+            size, y, n = sizes[own], labels[own], distinct[own]
+            ids, which = np.unique(words[_ranges(words_at[own], n)], return_inverse=True)
+            first = np.cumsum(n) - n
             take = _ranges(begin[ids], n_parts[ids])
             parts, part_first = flat[take], np.cumsum(n_parts[ids]) - n_parts[ids]
             word = np.add.reduceat(vectors[parts], part_first) / n_parts[ids][:, None]
@@ -134,7 +147,7 @@ def train(rows: list[tuple[int, list[list[str]]]], seed: int = 0, shift: float =
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y.astype(int)] -= 1
             g_softmax = mean.T @ p / len(y)
-            g_each = np.repeat(p @ softmax.T / size[:, None], distinct, 0)
+            g_each = np.repeat(p @ softmax.T / size[:, None], n, 0)
             g_word = np.stack([np.bincount(which, g_each[:, k], len(ids)) for k in range(WIDTH)], 1)
             g_part = np.repeat(g_word / n_parts[ids][:, None], n_parts[ids], 0)
             hit, back = np.unique(parts, return_inverse=True)
@@ -144,18 +157,14 @@ def train(rows: list[tuple[int, list[list[str]]]], seed: int = 0, shift: float =
             seen[1] += g_softmax**2
             softmax -= RATE * g_softmax / np.sqrt(seen[1])
     model = Model(vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]))
-    worst = [model.worst(" ".join(w for part in parts for w in part)) for (_, parts), later in zip(rows, split, strict=True) if later]
-    model.slope, model.shift = calibrated(np.array(worst), np.array([y for (y, _), later in zip(rows, split, strict=True) if later]))
+    worst = worst_passages()[1] + model.bias
+    worst[np.isinf(worst)] = model.bias  # texts without words
+    own = np.arange(len(worst)) % 5 == 0
+    model.slope, model.shift = calibrated(worst[own], doc_labels[own])
     model.shift += shift
-    model.known = {}
     return model
 
 
-def word_means(scores: np.ndarray, flat: np.ndarray, begin: np.ndarray, n_parts: np.ndarray) -> np.ndarray:
-    """The mean score of each word's subwords."""
-    return np.add.reduceat(scores[flat], begin) / n_parts
-
-
 def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve through scores and labels, by Newton steps on smoothed labels."""
     if len({*y.tolist()}) < 2:
@@ -183,8 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return zlib.compress(" ".join(WORD.findall((text or "").lower())).encode(), 1)
 
     rows, shift = labelled.sample(docs, labels, "toxic", TRAIN_DOCS, some)
-    one: dict[str, str] = {}  # a word is held once, however often it occurs
-    return train([(y, [[one.setdefault(w, w) for w in part] for part in passages(zlib.decompress(raw).decode())]) for y, raw in rows], shift=shift)
+    return train(((y, passages(zlib.decompress(raw).decode())) for y, raw in rows), shift=shift)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -206,7 +214,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "score"])
 
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return docs.select(names).mapInArrow(rate, ", ".join(f"`{c}` {fields[c]}" for c in names) + ", score double")
+    return docs.select(names).mapInArrow(common.released(rate), ", ".join(f"`{c}` {fields[c]}" for c in names) + ", score double")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
