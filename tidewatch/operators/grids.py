@@ -65,3 +65,25 @@ def roll_up(points: DataFrame, regions: DataFrame) -> DataFrame:
     rolled = rolled.select("stat", "agg", F.col("parent").alias("region"), "period", F.when(F.col("agg") == "SUM", F.col("s").cast(kind)).otherwise(F.col("m").cast(kind)).alias("value"))
     has_own = own.select("stat", "region").distinct()
     return own.select("stat", "agg", "region", "period", "value").unionByName(rolled.join(has_own, ["stat", "region"], "left_anti"))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, width: float, name: str = "median") -> DataFrame:
+    """(keys, ``name``): the exact median of each group's values, null ones and NaN left out.
+
+    ``percentile`` holds a group's distinct values in one buffer. Here values are counted by bins of ``width``
+    first, and only the one or two bins with the middle ranks are ordered, so that no task holds a group.
+    ``width`` decides how much is ordered, never the result. Keys may be null.
+    """
+    v = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null AND NOT isnan(_v)").withColumn("_bin", F.floor(F.col("_v") / F.lit(float(width))))
+    whole = Window.partitionBy(*keys)
+    # a group has as many rows here as bins
+    bins = v.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    bins = bins.withColumn("_all", F.sum("_n").over(whole)).withColumn("_before", F.sum("_n").over(whole.orderBy("_bin")) - F.col("_n"))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = bins.where((F.col("_before") <= high) & (low < F.col("_before") + F.col("_n"))).drop("_n")
+    met = v.alias("v").join(middle.alias("m"), [F.col(f"v.{k}").eqNullSafe(F.col(f"m.{k}")) for k in [*keys, "_bin"]])
+    each = met.groupBy(*[F.col(f"v.{k}").alias(k) for k in [*keys, "_bin"]], "_v", "_all", "_before").agg(F.count("*").alias("_n"))
+    to = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
+    each = each.withColumn("_to", to).withColumn("_from", F.col("_to") - F.col("_n"))
+    at = lambda rank: F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+    return each.groupBy(*keys).agg((at(low) * 0.5 + at(high) * 0.5).alias(name))

@@ -29,6 +29,22 @@ def either(left: DataFrame, right: DataFrame, ways: Sequence[Sequence[str]], key
     return out.distinct()
 
 
+def within_days(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, days: int, residual: Column | None = None) -> DataFrame:
+    """Pairs (columns as ``l_…`` and ``r_…``) of equal keys where the right time lies up to ``days`` after the left one.
+
+    Time is cut into cells of ``days``, and a left row looks into its own cell and the next one, so the join's key
+    has the cell in it: a key with a long history pairs off only neighbours in time.
+    """
+    cell = F.floor(F.unix_date(F.to_date(time)) / days)
+    a = left.withColumn("cell", F.explode(F.array(cell, cell + 1))).select(*[F.col(c).alias(f"l_{c}") for c in [*left.columns, "cell"]])
+    b = right.withColumn("cell", cell).select(*[F.col(c).alias(f"r_{c}") for c in [*right.columns, "cell"]])
+    on = F.col("l_cell") == F.col("r_cell")
+    for k in keys:
+        on = on & (F.col(f"l_{k}") == F.col(f"r_{k}"))
+    on = on & F.col(f"r_{time}").between(F.col(f"l_{time}"), F.col(f"l_{time}") + F.expr(f"INTERVAL {days} DAYS"))
+    return a.join(b, on if residual is None else on & residual).drop("l_cell", "r_cell")
+
+
 def pending(expected: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Units that are expected and not in the ledger."""
     return expected.join(ledger.select(*keys).distinct(), list(keys), "left_anti")

@@ -35,15 +35,11 @@ def monthly_unit_price_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     supplier = table(spark, sf_dir, "supplier")
     kept = F.col("l_returnflag") != "R"
-    return (
-        line.join(supplier, line.l_suppkey == supplier.s_suppkey)
-        .groupBy("s_nationkey", F.date_format("l_shipdate", "yyyyMM").alias("ship_month"))
-        .agg(
-            F.count_if(kept).alias("n_kept"),
-            F.count_if(~kept).alias("n_returned"),
-            F.percentile(F.when(kept, F.col("l_extendedprice") / F.col("l_quantity")), F.lit(0.5)).alias("unit_price_median"),
-        )
-    )
+    month = F.date_format("l_shipdate", "yyyyMM").alias("ship_month")
+    t = line.join(supplier, line.l_suppkey == supplier.s_suppkey).select("s_nationkey", month, kept.alias("kept"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    keys = ["s_nationkey", "ship_month"]
+    counts = t.groupBy(*keys).agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_returned"))
+    return counts.join(grids.exact_median(t.where("kept"), keys, "price", 1.0, "unit_price_median"), keys, "left")
 
 
 @query("""

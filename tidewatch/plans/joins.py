@@ -60,11 +60,9 @@ SELECT o.o_orderkey, max(c.o_orderkey) AS corrected_by FROM orders o JOIN orders
 def range_self_join_correction(spark, sf_dir):
     """The last order that corrects another: same customer, within 30 days, same priority or status."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus")
-    a, c = o.alias("a"), o.alias("c")
-    on = (F.col("a.o_custkey") == F.col("c.o_custkey")) & (F.col("c.o_orderkey") > F.col("a.o_orderkey"))
-    on = on & F.col("c.o_orderdate").between(F.col("a.o_orderdate"), F.col("a.o_orderdate") + F.expr("INTERVAL 30 DAYS"))
-    on = on & ((F.col("a.o_orderpriority") == F.col("c.o_orderpriority")) | (F.col("a.o_orderstatus") == F.col("c.o_orderstatus")))
-    return a.join(c, on).groupBy(F.col("a.o_orderkey").alias("o_orderkey")).agg(F.max("c.o_orderkey").alias("corrected_by"))
+    same = (F.col("l_o_orderpriority") == F.col("r_o_orderpriority")) | (F.col("l_o_orderstatus") == F.col("r_o_orderstatus"))
+    pairs = joins.within_days(o, o, ["o_custkey"], "o_orderdate", 30, (F.col("r_o_orderkey") > F.col("l_o_orderkey")) & same)
+    return pairs.groupBy(F.col("l_o_orderkey").alias("o_orderkey")).agg(F.max("r_o_orderkey").alias("corrected_by"))
 
 
 @query("""
