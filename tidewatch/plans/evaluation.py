@@ -102,6 +102,13 @@ def event_catches(spark, sf_dir):
     return evaluate.caught(s, _events(spark, sf_dir), starts, _H)
 
 
+def _scores(spark, sf_dir):
+    s, e = _signals(spark, sf_dir), _events(spark, sf_dir)
+    starts = s.unionByName(s.withColumn("rule_code", F.lit(evaluate.ANY))).groupBy("rule_code").agg(F.min("date").alias("observed_from"))
+    corps = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("corp_code"))
+    return evaluate.scores(evaluate.judged(evaluate.episodes(s), e, _H, _TO), evaluate.caught(s, e, starts, _H), evaluate.base_rate(corps, e, _FROM, _TO, _H))
+
+
 _P, _R = _wilson("hits", "(hits + misses)"), _wilson("n_caught", "events")
 
 
@@ -119,10 +126,7 @@ FROM z CROSS JOIN base
 """)
 def rule_scores(spark, sf_dir):
     """Precision, recall, lift and lead of every rule."""
-    s, e = _signals(spark, sf_dir), _events(spark, sf_dir)
-    starts = s.unionByName(s.withColumn("rule_code", F.lit(evaluate.ANY))).groupBy("rule_code").agg(F.min("date").alias("observed_from"))
-    corps = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("corp_code"))
-    t = evaluate.scores(evaluate.judged(evaluate.episodes(s), e, _H, _TO), evaluate.caught(s, e, starts, _H), evaluate.base_rate(corps, e, _FROM, _TO, _H))
+    t = _scores(spark, sf_dir)
     ends = [F.round(f"{k}_ci.{end}", 6).alias(f"{k}_{end}") for k in ("precision", "recall") for end in ("low", "high")]
     return t.select(
         "rule_code", "hits", "misses", "pending", "after", "median_lead", "events", "n_caught", F.round("rate", 9).alias("rate"),
@@ -130,7 +134,7 @@ def rule_scores(spark, sf_dir):
     )
 
 
-@query(f"""
+_STUDY = f"""
 WITH RECURSIVE {_BARS.strip().removeprefix("WITH")},
 x AS (SELECT a.p_brand, a.day, a.idx, o.day AS exit, o.price / a.price - 1 AS ret FROM b a LEFT JOIN b o ON o.p_brand = a.p_brand AND o.idx = a.idx + 20),
 t AS (SELECT day, exit, count(*) AS n, sum(ret) AS s FROM x WHERE exit IS NOT NULL GROUP BY 1, 2),
@@ -146,15 +150,45 @@ g AS (SELECT stock, date, idx, k, true AS used, idx + 20 AS free FROM q WHERE k
       SELECT q.stock, q.date, q.idx, q.k, q.idx >= g.free, CASE WHEN q.idx >= g.free THEN q.idx + 20 ELSE g.free END FROM g JOIN q ON q.stock = g.stock AND q.k = g.k + 1),
 w AS (SELECT p.*, max(CASE WHEN used THEN p.idx + 20 END) OVER (PARTITION BY p.stock ORDER BY p.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM p LEFT JOIN g ON g.stock = p.stock AND g.date = p.date),
 v AS (SELECT *, coalesce(early, CASE WHEN idx < busy THEN 'OVERLAP' END, late, 'USED') AS status FROM w)
+"""
+
+
+@query(f"""
+{_STUDY}
 SELECT stock || '|' || date AS id, 'RETURN' AS rule_code, stock, date, status, entry, exit, CASE WHEN status = 'USED' THEN round(ret, 6) END AS ret,
        CASE WHEN status = 'USED' THEN round((s - ret) / peers, 6) END AS bench, CASE WHEN status = 'USED' THEN round(ret - (s - ret) / peers, 6) END AS excess, peers
 FROM v
 """)
 def event_study_20(spark, sf_dir):
     """Brands' prices after dated events against their peers; share changes are tested on small cases."""
+    return _study(spark, sf_dir).withColumns({k: F.round(k, 6) for k in ("ret", "bench", "excess")})
+
+
+def _study(spark, sf_dir):
     b = _bars(spark, sf_dir).select(F.col("p_brand").alias("stock"), "day", "price", F.lit(100.0).alias("shares"))
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     e = l.where("l_returnflag = 'R' AND l_discount > 0.09").join(p, l.l_partkey == p.p_partkey).select(F.col("p_brand").alias("stock"), F.col("l_shipdate").cast("date").alias("date")).distinct()
     e = e.withColumn("id", F.concat_ws("|", "stock", F.col("date").cast("string"))).withColumn("rule_code", F.lit("RETURN"))
-    t = evaluate.event_study(e, b, 20)
-    return t.withColumns({k: F.round(k, 6) for k in ("ret", "bench", "excess")})
+    return evaluate.event_study(e, b, 20)
+
+
+@query(f"""
+{_STUDY}, n AS (SELECT ret - (s - ret) / peers AS x FROM v WHERE status = 'USED')
+SELECT 'RETURN' AS rule_code, count(*) AS n, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.5), 6) AS median, round(avg(x) / sqrt(var_samp(x) / count(*)), 4) AS t, round(avg((x < 0)::INT), 6) AS negative_share
+FROM n HAVING count(*) > 1
+""")
+def event_study_stats(spark, sf_dir):
+    """Mean, median and t statistic of what the events' stocks did beyond their peers."""
+    t = evaluate.study_stats(_study(spark, sf_dir))
+    return t.withColumns({k: F.round(k, 6) for k in ("mean", "median", "negative_share")} | {"t": F.round("t", 4)})
+
+
+@query(f"""
+WITH {_EPISODES}, {_CATCHES}, {_BASE},
+x AS (SELECT rule_code, count(*) FILTER (outcome = 'HIT') AS hits, count(*) FILTER (outcome IN ('HIT', 'MISS')) AS tried FROM j GROUP BY 1)
+SELECT rule_code, hits, tried, {_wilson("hits", "tried")[0]} AS low, round(hits / tried / rate, 6) AS lift FROM x CROSS JOIN base WHERE tried > 0 ORDER BY 4 DESC, 5 DESC, 1 LIMIT 1
+""")
+def best_rule(spark, sf_dir):
+    """The rule whose precision is highest at the lower end of its interval: a top-1 report."""
+    b = evaluate.best_rule(_scores(spark, sf_dir))
+    return b.select("rule_code", "hits", (F.col("hits") + F.col("misses")).alias("tried"), F.round("precision_ci.low", 6).alias("low"), F.round("lift", 6).alias("lift"))
