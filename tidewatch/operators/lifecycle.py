@@ -87,10 +87,16 @@ def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
     ``events``: alert_id, kind, rule_code, target_type, target, severity; ``subscriptions``: owner,
     enabled, target_type, rule_codes, min_severity, targets (null: all). A reopened alert is unread again.
+    Lists are exploded and "all" is a mark of its own, so that events meet subscriptions on equal keys.
     """
     rank = lambda x: F.when(x == "HIGH", 3).when(x == "MEDIUM", 2).otherwise(1)
-    e, s = events.alias("e"), subscriptions.where("enabled").alias("s")
     c = F.col
-    on = (c("s.target_type").isNull() | (c("s.target_type") == c("e.target_type"))) & (c("s.rule_codes").isNull() | F.array_contains("s.rule_codes", c("e.rule_code")))
-    on = on & (rank(c("e.severity")) >= rank(c("s.min_severity"))) & (c("s.targets").isNull() | F.array_contains("s.targets", c("e.target")))
-    return e.join(s, on).groupBy("s.owner", "e.alert_id").agg(F.max((c("e.kind") == "REOPENED").cast("int")).alias("_r")).select("owner", "alert_id", (c("_r") == 1).alias("revived"))
+    own = lambda x: F.transform(F.array_compact(c(x)), lambda v: F.concat(F.lit("="), v.cast("string")))
+    wanted = lambda x: F.when(c(x).isNull(), F.array(F.lit("*"))).otherwise(F.array_distinct(own(x)))
+    marks = lambda x: F.explode(F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), c(x).cast("string")))))
+    s = subscriptions.where("enabled").select("owner", c("target_type").alias("_type"), rank(c("min_severity")).alias("_least"), F.explode(wanted("rule_codes")).alias("_rule"), "targets")
+    s = s.select("owner", "_type", "_least", "_rule", F.explode(wanted("targets")).alias("_target"))
+    e = events.select("alert_id", "kind", "target_type", rank(c("severity")).alias("_rank"), "target", marks("rule_code").alias("_rule"))
+    e = e.select("alert_id", "kind", "target_type", "_rank", "_rule", marks("target").alias("_target"))
+    met = e.join(s, ["_rule", "_target"]).where((c("_type").isNull() | (c("_type") == c("target_type"))) & (c("_rank") >= c("_least")))
+    return met.groupBy("owner", "alert_id").agg(F.max((c("kind") == "REOPENED").cast("int")).alias("_r")).select("owner", "alert_id", (c("_r") == 1).alias("revived"))
