@@ -223,6 +223,8 @@ def test_odd_embeddings(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.dedup(df).collect()}
     want = brute.cosine_links(rows)
     assert {k: v[:2] for k, v in got.items()} == want and all(v[2] == (k == v[1]) for k, v in got.items())
+    small = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(df, size=5, block=2).collect()}
+    assert small == want
     assert embedding_dedup.dedup(vectors(spark, [])).count() == 0
 
 

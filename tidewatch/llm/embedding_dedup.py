@@ -10,8 +10,11 @@ as given. A comparison reports counts and a spanning forest of its links, never
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,10 @@ from tidewatch.llm import common
 
 THRESHOLD = 0.93
 TILE = 1024
+#: A tile of long vectors has fewer of them: no more components in all than these.
+TILE_COMPONENTS = 1 << 19
+#: Tiles that are sent to a comparison together.
+BLOCK = 8
 #: Coordinates after which pairs are dropped, as shares of all.
 STEPS = (0.125, 0.25, 0.5)
 #: Leading coordinates whose ranges make a tile's box.
@@ -54,13 +61,30 @@ def _matrices(column: pa.Array):
         yield own.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
 
 
-TILES = "label string, d int, tile string, n int, low array<double>, high array<double>, ids binary, copies binary, given binary, turned binary"
+TILES = "label string, d int, block long, tile long, low array<double>, high array<double>, ids binary, copies binary, given binary"
+
+
+def _stretches(batch: pa.RecordBatch):
+    """((label, d), ids, copies, vectors) of neighbouring rows with the same label and number of components."""
+    at = 0
+    for key, rows in itertools.groupby(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+        n = sum(1 for _ in rows)
+        ids, copies = (batch.column(c).slice(at, n).to_numpy() for c in (0, 3))
+        yield key, ids, copies, batch.column(2).slice(at, n).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        at += n
+
 
+def _turned(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors in coordinates of the principal axes."""
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ axes
 
-def tiles(vectors: DataFrame, axes: dict[int, np.ndarray], size: int = TILE) -> DataFrame:
-    """Packed tiles of (id, label, embedding, copies), cut along the first coordinate of each label."""
+
+def tiles(vectors: DataFrame, shared, size: int, block: int) -> DataFrame:
+    """Packed tiles of (id, label, embedding, copies), cut along the first coordinate of each label.
+
+    Up to ``block`` neighbouring tiles of a label are a block. ``shared`` is the broadcast of the axes.
+    """
     spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(axes)
 
     def turn(batches):
         for batch in batches:
@@ -75,30 +99,39 @@ def tiles(vectors: DataFrame, axes: dict[int, np.ndarray], size: int = TILE) ->
     ordered = turned.repartitionByRange(common.partitions(spark), "label", "d", "first").sortWithinPartitions("label", "d", "first", "id")
 
     def cut(batches):
-        held: list[dict] = []
-
-        def pack():
-            d = held[0]["d"]
-            x = np.array([r["embedding"] for r in held])
-            y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ shared.value[d]
-            ids = np.array([r["id"] for r in held])
-            row = {"label": held[0]["label"], "d": d, "tile": f"{held[0]['label']}/{d}/{ids[0]}", "n": len(held), "low": y[:, :BOX].min(0).tolist(), "high": y[:, :BOX].max(0).tolist()}
-            row |= {"ids": ids.tobytes(), "copies": np.array([r["copies"] for r in held]).tobytes(), "given": x.tobytes(), "turned": y.tobytes()}
-            return pa.RecordBatch.from_pylist([row], _TILE_SCHEMA)
+        part = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        key, n_tiles, n_blocks, in_block = None, 0, 0, 0
+
+        def packed():
+            nonlocal held, n_tiles, n_blocks, in_block
+            ids, copies, x = (np.concatenate(c) for c in zip(*held, strict=True))
+            n_blocks += in_block == 0
+            n_tiles, in_block, held = n_tiles + 1, (in_block + 1) % block, []
+            y = _turned(x, shared.value[key[1]])[:, :BOX]
+            row = {"label": key[0], "d": key[1], "block": part + n_blocks, "tile": part + n_tiles, "low": y.min(0).tolist(), "high": y.max(0).tolist()}
+            return pa.RecordBatch.from_pylist([row | {"ids": ids.tobytes(), "copies": copies.tobytes(), "given": x.tobytes()}], _TILE_SCHEMA)
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and (len(held) == size or (held[0]["label"], held[0]["d"]) != (r["label"], r["d"])):
-                    yield pack()
-                    held = []
-                held.append(r)
+            for own, *columns in _stretches(batch):
+                if own != key:
+                    if held:
+                        yield packed()
+                    key, in_block = own, 0
+                most = max(1, min(size, TILE_COMPONENTS // own[1]))
+                while len(columns[0]):
+                    room = most - sum(len(h[0]) for h in held)
+                    held.append(tuple(c[:room] for c in columns))
+                    columns = [c[room:] for c in columns]
+                    if sum(len(h[0]) for h in held) == most:
+                        yield packed()
         if held:
-            yield pack()
+            yield packed()
 
     return ordered.mapInArrow(cut, TILES)
 
 
-_TILE_SCHEMA = pa.schema([("label", pa.string()), ("d", pa.int32()), ("tile", pa.string()), ("n", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), *[(k, pa.binary()) for k in ("ids", "copies", "given", "turned")]])
+_TILE_SCHEMA = pa.schema([("label", pa.string()), ("d", pa.int32()), ("block", pa.int64()), ("tile", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), *[(k, pa.binary()) for k in ("ids", "copies", "given")]])
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +159,8 @@ def close_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndar
     return np.nonzero(alive) if i is None else (i, j)
 
 
-def linked(ids, copies, given, turned, threshold: float):
+def linked(ids, copies, given, turned, same: bool, threshold: float):
     """(id, links of it found here, smallest id it is connected with here) for two tiles, or one with itself."""
-    same = ids[0][0] == ids[1][0]
     i, j = close_pairs(turned[0], turned[1], threshold)
     if same:
         i, j = i[i < j], j[i < j]
@@ -154,38 +186,52 @@ def linked(ids, copies, given, turned, threshold: float):
     return nodes[hit], n[hit].astype(np.int64), root[hit]
 
 
-def links(tiled: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, root) from every pair of tiles that may hold a link."""
-    spark = tiled.sparkSession
-    boxes = tiled.select("label", "d", "tile", "low", "high")
-    a, b = boxes.alias("a"), boxes.alias("b")
-    gap = F.aggregate(
-        F.zip_with(
-            F.zip_with(F.col("a.low"), F.col("b.high"), lambda x, y: x - y),
-            F.zip_with(F.col("b.low"), F.col("a.high"), lambda x, y: x - y),
-            lambda x, y: F.greatest(x, y, F.lit(0.0)),
-        ),
-        F.lit(0.0),
-        lambda s, x: s + x * x,
-    )
-    pairs = a.join(b, ["label", "d"]).where((F.col("a.tile") <= F.col("b.tile")) & (gap <= 2 - 2 * threshold + SLACK)).select(F.col("a.tile").alias("one"), F.col("b.tile").alias("two"))
-    data = tiled.select("tile", "d", "ids", "copies", "given", "turned")
-    side = lambda k: data.select(F.col("tile").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("d", "ids", "copies", "given", "turned")])
-    both = pairs.join(side("one"), "one").join(side("two").drop("d_two"), "two")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is two tiles
+def _gap(one, two):
+    """Squared distance between two boxes, given as columns of lowest and highest coordinates."""
+    apart = [F.greatest(a - d, c - b, F.lit(0.0)) for a, b, c, d in zip(*one, *two, strict=True)]
+    return sum((x * x for x in apart), F.lit(0.0))
 
-    def compare(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                d = r["d_one"]
-                ids, copies = ([np.frombuffer(r[f"{c}_{k}"], "<i8") for k in ("one", "two")] for c in ("ids", "copies"))
-                given, turned = ([np.frombuffer(r[f"{c}_{k}"], "<f8").reshape(-1, d) for k in ("one", "two")] for c in ("given", "turned"))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in linked(ids, copies, given, turned, threshold)], ["id", "n", "root"])
 
-    return both.mapInArrow(compare, "id long, n long, root long")
+def links(tiled: DataFrame, shared, threshold: float) -> DataFrame:
+    """(id, n, root) from every pair of tiles that may hold a link.
 
+    A task of the comparison holds two blocks at a time, so a tile is sent once for each block near its
+    own and not once for each tile. Blocks are paired by their boxes alone, tiles within them likewise.
+    """
+    far = 2 - 2 * threshold + SLACK
+    # with fewer components than BOX the rest of a box is null, and no gap
+    edge = lambda f, c, k: F.coalesce(f(F.get(c, F.lit(k))), F.lit(0.0)).alias(f"{c}{k}")
+    boxes = tiled.groupBy("label", "d", "block").agg(*[edge(F.min, "low", k) for k in range(BOX)], *[edge(F.max, "high", k) for k in range(BOX)])
+    sides = [[[F.col(f"{s}.{c}{k}") for k in range(BOX)] for c in ("low", "high")] for s in "ab"]
+    pairs = boxes.alias("a").join(boxes.alias("b"), ["label", "d"]).where((F.col("a.block") <= F.col("b.block")) & (_gap(*sides) <= far))
+    pairs = pairs.select(F.col("a.block").alias("one"), F.col("b.block").alias("two"))
+    sent = pairs.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("block")).join(tiled.drop("label"), "block")
+    spark = tiled.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a tile
+    met = sent.repartition(common.partitions(spark), "one", "two").sortWithinPartitions("one", "two", "block", "tile")
+    met = met.select("one", "two", "block", "d", "low", "high", "ids", "copies", "given")
 
-def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    def compare(batches):
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for (one, two), group in itertools.groupby(rows, key=lambda r: (r["one"], r["two"])):
+            held: dict[int, list[tuple]] = {one: [], two: []}
+            for r in group:
+                x = np.frombuffer(r["given"], "<f8").reshape(-1, r["d"])
+                ids, copies = (np.frombuffer(r[c], "<i8") for c in ("ids", "copies"))
+                held[r["block"]].append((np.array(r["low"]), np.array(r["high"]), ids, copies, x, _turned(x, shared.value[r["d"]])))
+            for k, a in enumerate(held[one]):
+                for m, b in enumerate(held[two]):
+                    apart = np.maximum(np.maximum(a[0] - b[1], b[0] - a[1]), 0)
+                    if (one == two and m < k) or (apart * apart).sum() > far:
+                        continue
+                    found = linked(*[(x, y) for x, y in zip(a[2:], b[2:], strict=True)], one == two and m == k, threshold)
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["id", "n", "root"])
+
+    return met.mapInArrow(compare, "id long, n long, root long")
+
+
+def dedup(vectors: DataFrame, threshold: float = THRESHOLD, size: int = TILE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector; ``vectors`` has vec_id, embedding, label.
 
     Vectors are compared when their labels are equal and not null and they have as many components.
@@ -203,8 +249,8 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     usable = rows.where(good).where((square > 0) & (square < float("inf")))
     distinct = common.saved(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
-    axes = {d: np.linalg.eigh(m)[1][:, ::-1] for d, m in moments(distinct).items()}
-    found = common.saved(links(common.saved(tiles(distinct, axes), "tiles"), threshold), "vector_links")
+    axes = spark.sparkContext.broadcast({d: np.linalg.eigh(m)[1][:, ::-1] for d, m in moments(distinct).items()})
+    found = common.saved(links(common.saved(tiles(distinct, axes, size, block), "tiles"), axes, threshold), "vector_links")
     common.prepare(spark)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     labels = common.components(found, "id", "root")
