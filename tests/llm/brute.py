@@ -98,3 +98,50 @@ def token_ids(texts, path, end=2):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def patience(a, b):
+    """Matched (place in a, place in b): equal ends first, then the longest rising run of words unique on both sides, then its gaps."""
+
+    def within(lo, hi, left, right):
+        if lo < hi and left < right and a[lo] == b[left]:
+            return [(lo, left), *within(lo + 1, hi, left + 1, right)]
+        if lo < hi and left < right and a[hi - 1] == b[right - 1]:
+            return [*within(lo, hi - 1, left, right - 1), (hi - 1, right - 1)]
+        mine, other = a[lo:hi], b[left:right]
+        anchors = [(i, left + other.index(w)) for i, w in enumerate(mine, lo) if mine.count(w) == other.count(w) == 1]
+        chains = []  # the longest chain that ends at each anchor; of equal ones that with the smallest end goes on
+        for i, j in anchors:
+            longest = max((c for c in chains if c[-1][1] < j), key=lambda c: (len(c), -c[-1][1]), default=[])
+            chains.append([*longest, (i, j)])
+        if not chains:
+            return []
+        best = max(chains, key=lambda c: (len(c), -c[-1][1]))
+        out, (p, q) = [], (lo, left)
+        for i, j in best:
+            out += [*within(p, i, q, j), (i, j)]
+            p, q = i + 1, j + 1
+        return out + within(p, hi, q, right)
+
+    return within(0, len(a), 0, len(b))
+
+
+def in_runs(matched, least=2):
+    places = {*matched}
+    length = lambda i, j, step: 0 if (i, j) not in places else 1 + length(i + step, j + step, step)
+    return [(i, j) for i, j in matched if length(i, j, 1) + length(i, j, -1) - 1 >= least]
+
+
+def licenses(text, templates, coverage=0.8):
+    """Names of the templates that the text or some stretch of it covers enough of."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    have, out = split(text), set()
+    for name, template in templates.items():
+        t = split(template)
+        width, slack = len(t), len(t) // 4 + 1
+        if (Counter(have) & Counter(t)).total() / width < coverage:
+            continue
+        parts = [have] + [have[max(0, i) : max(0, i) + width + 2 * slack] for i in range(-slack, len(have))]
+        if any(len(in_runs(patience(p, t))) / width >= coverage for p in parts):
+            out.add(name)
+    return out

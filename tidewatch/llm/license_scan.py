@@ -1,8 +1,10 @@
 """License scans by patience alignment.
 
-Words that occur once in a stretch of text and once in the template are anchors; the longest run of
-anchors in the same order on both sides is kept, and the gaps between them are aligned in the same way.
-What share of the template's words is matched is its coverage.
+Words that occur once in the text and once in the template are anchors; the longest run of anchors in the
+same order on both sides is kept, and the gaps between them are aligned in the same way. What share of
+the template's words is matched, in runs of neighbours, is its coverage. A text is aligned as a whole, so
+that words put in between do no harm, and stretch by stretch, so that a license that it holds twice, or
+whose words it has elsewhere too, still has its anchors.
 """
 
 from __future__ import annotations
@@ -16,21 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
+from tidewatch.llm.license_texts import TEMPLATES
 
 COVERAGE = 0.8
-#: The public wording of license notices.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit": "Released under the MIT License",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-}
+#: Matched words count in runs of so many at least, so that words scattered over a long text make no license.
+RUN = 2
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -65,6 +57,18 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def in_runs(matched: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Those matched places that are part of a run of neighbours on both sides, of some length at least."""
+    out, run = [], []
+    for pair in [*matched, None]:
+        if run and pair != (run[-1][0] + 1, run[-1][1] + 1):
+            out += run if len(run) >= least else []
+            run = []
+        if pair:
+            run.append(pair)
+    return out
+
+
 def longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence in which the second place rises too."""
     ends: list[int] = []
@@ -87,11 +91,13 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str], coverage: float):
         self.coverage = coverage
-        self.templates = {name: words(t) for name, t in sorted(templates.items())}
+        self.templates = {name: w for name, t in sorted(templates.items()) if (w := words(t))}
+        self.counts = {name: Counter(t) for name, t in self.templates.items()}
+        self.enough = {name: self.least(t) for name, t in self.templates.items()}
         self.needed: dict[str, set[str]] = {}
         for name, t in self.templates.items():
             # so many places may stay unmatched; whoever lacks every place of more words than that has too little
-            spare, taken, places = len(t) - self.least(t), set(), 0
+            spare, taken, places = len(t) - self.enough[name], set(), 0
             for w in sorted({*t}, key=lambda w: (-len(w), w)):
                 if places > spare:
                     break
@@ -112,35 +118,43 @@ class Scanner:
         low = (text or "").lower()
         if not any(h in low for h in self.hints):
             return []
-        found, have = [], WORD.findall(low)
-        places: dict[str, list[int]] = {}
-        hints = {*self.hints}
-        for i, w in enumerate(have):
-            if w in hints:
-                places.setdefault(w, []).append(i)
+        have = WORD.findall(low)
+        counts = Counter(have)
+        found = []
         for name, template in self.templates.items():
-            n, slack = len(template), len(template) // 4 + 1
-            tried, best = set(), None
-            for w in self.needed[name]:
-                for i in places.get(w, []):
-                    for k in (k for k, x in enumerate(template) if x == w):
-                        tried.add(max(0, i - k - slack))
-            for start in sorted(tried):
-                matched = align(have[start : start + n + 2 * slack], template)
-                if len(matched) >= self.least(template) and (best is None or len(matched) > best[0]):
+            if sum(min(n, counts[w]) for w, n in self.counts[name].items()) < self.enough[name]:
+                continue
+            best = None
+            for start, end in self.stretches(name, have):
+                matched = in_runs(align(have[start:end], template), min(RUN, len(template)))
+                if matched and len(matched) >= self.enough[name] and (best is None or len(matched) > best[0]):
                     best = len(matched), start + matched[0][0], start + matched[-1][0]
+                    if best[0] == len(template):
+                        break
             if best:
-                found.append((name, best[0] / n, best[1], best[2]))
+                found.append((name, best[0] / len(template), best[1], best[2]))
         return found
 
+    def stretches(self, name: str, have: list[str]) -> list[tuple[int, int]]:
+        """Parts of a text to align: around each place of a word that a match cannot do without, and then the whole."""
+        template = self.templates[name]
+        n, slack = len(template), len(template) // 4 + 1
+        offsets: dict[str, list[int]] = {}
+        for k, w in enumerate(template):
+            if w in self.needed[name]:
+                offsets.setdefault(w, []).append(k)
+        starts = {max(0, i - k - slack) for i, w in enumerate(have) for k in offsets.get(w, ())}
+        return [*((a, min(a + n + 2 * slack, len(have))) for a in sorted(starts)), (0, len(have))]
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, first_word, last_word): a row for each template that a text covers enough of.
 
-    Whole texts are scanned: around each place of a word that a sufficient match cannot do without, a
-    stretch as long as the template and a half is aligned. Null and empty texts match nothing. Repeated
-    rows give repeated rows; a null doc_id stays null; of equal matches the first one counts. Empty
-    tables give no rows and other columns are ignored.
+    Whole texts are aligned, and so is, around each place of a word that a sufficient match cannot do
+    without, a stretch as long as the template and a half; the best match counts. Null and empty texts
+    match nothing, nor does a template without words. Repeated rows give repeated rows; a null doc_id
+    stays null; of equal matches the first one counts. Empty tables give no rows and other columns are
+    ignored.
     """
     common.prepare(docs.sparkSession)
     scanner = Scanner(templates or TEMPLATES, coverage)
