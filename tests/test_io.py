@@ -1,5 +1,7 @@
 """Sources, sinks, snapshots and streams."""
 
+import zipfile
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import ordered, snapshots
@@ -24,10 +26,50 @@ def test_statement_lines_keep_their_numbers(spark, tmp_path):
 
 
 def test_section_between_markers(spark, tmp_path):
-    (tmp_path / "a.xml").write_text("x<TITLE>old</TITLE>y<TITLE>PF</TITLE>START body END tail")
+    (tmp_path / "a.xml").write_text("x<TITLE>old</TITLE>y<TITLE>가</TITLE>START body <TITLE>next</TITLE>END tail")
     (tmp_path / "b.xml").write_text("nothing")
-    got = {r.path[-5:]: r.section for r in readers.sections(spark, str(tmp_path), "START", "END").collect()}
-    assert got == {"a.xml": "<TITLE>PF</TITLE>START body ", "b.xml": None}
+    (tmp_path / "c.xml").write_bytes("가START 나 END<TITLE>".encode("cp949"))
+    (tmp_path / "d.xml").write_text("<TITLE>START" + "x" * 100)
+    (tmp_path / "e.xml").write_text("END <TITLE>START x END")
+    (tmp_path / "f.xml").write_text("")
+    got = {r.path[-5:]: (r.section, r.truncated) for r in readers.sections(spark, str(tmp_path), "START", "END", 20).collect()}
+    want = {"a.xml": "<TITLE>가</TITLE>START body ", "b.xml": None, "c.xml": "가START 나 ", "d.xml": "<TITLE>START" + "x" * 8, "e.xml": "<TITLE>START x "}
+    assert got == {k: (v, k == "d.xml") for k, v in want.items()}
+
+
+def test_documents_in_archives(spark, tmp_path):
+    def archive(name, *entries):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for entry, content in entries:
+                z.writestr(entry, content)
+
+    archive("101.zip", ("x.xml", b"other"), ("101_main.xml", "본문".encode()))
+    archive("102.zip", ("x.xml", "본문".encode("cp949")), ("y.xml", b"second"))
+    archive("103.zip", ("103.xml", b"x" * 1001))
+    archive("104.zip")
+    (tmp_path / "105.zip").write_bytes(b"no archive")
+    got = {r.rcept_no: r.html for r in readers.documents(readers.bounded_zips(spark, str(tmp_path)), 1000).collect()}
+    assert got == {"101": "본문", "102": "본문", "103": None, "104": None, "105": None}
+
+
+def test_census_and_boundaries(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "1.json").write_text('{"errCd":0,"result":[{"adm_cd":"11010","adm_nm":"종로구","tot_family":"63,000","tot_ppltn":"N/A"}]}')
+    (tmp_path / "c" / "2.json").write_text('{"errCd":-100,"errMsg":"none"}')
+    assert [tuple(r) for r in readers.census_rows(spark, str(tmp_path / "c")).collect()] == [("11010", "종로구", 63000, None)]
+    (tmp_path / "b").mkdir()
+    shape = '{"type":"Point","coordinates":[1.5,2.5]}'
+    (tmp_path / "b" / "1.json").write_text('{"features":[{"properties":{"adm_cd":"11010","adm_nm":"a"},"geometry":%s}]}' % shape)
+    (tmp_path / "b" / "2.json").write_text('{"response":{"status":"OK","result":{"featureCollection":{"features":[{"properties":{"sig_cd":"11110","sig_kor_nm":"b","full_nm":"x b"},"geometry":%s}]}}}}' % shape)
+    (tmp_path / "b" / "3.json").write_text('{"response":{"status":"NOT_FOUND"}}')
+    got = sorted(tuple(r) for r in readers.boundaries(spark, str(tmp_path / "b")).collect())
+    assert got == [("11010", "a", None, shape), ("11110", "b", "x b", shape)]
+
+
+def test_days_of_a_stream_sum_to_months(spark):
+    e = spark.createDataFrame([(1, "2024-01-31 23:00:00"), (1, "2024-01-31 10:00:00"), (1, "2024-02-01 00:00:00"), (2, None)], "k int, t string")
+    got = {(r.k, r.month, str(r.day), r.n) for r in feeds.daily(e, ["k"], "t", "1 day").collect()}
+    assert got == {(1, "202401", "2024-01-31", 2), (1, "202402", "2024-02-01", 1)}
 
 
 def test_units_that_are_not_whole_stay_out(spark):
@@ -83,6 +125,7 @@ def test_a_feed_is_merged_once(spark, tmp_path):
     feeds.merge_batches(feed, str(tmp_path / "state"), str(tmp_path / "c"), merge).awaitTermination(120)
     last = max((tmp_path / "state").glob("v=*"), key=lambda p: int(p.name[2:]))
     assert {(r.k, r.v) for r in spark.read.parquet(str(last)).collect()} == {(0, 6), (1, 7), (2, 8)}
+    assert {int(p.name[2:]) for p in (tmp_path / "state").glob("v=*")} == {1, 2}
 
 
 def test_as_of_at_equal_times(spark):

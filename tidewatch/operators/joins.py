@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,17 @@ def unique_candidate(left: DataFrame, right: DataFrame, on: Sequence[str], value
     return left.join(one, list(on), "left")
 
 
+def candidates(wanted: DataFrame, rows: DataFrame, keys: Sequence[str], name: str, hint: str, latest: str, n: int = 6) -> DataFrame:
+    """For each row of ``wanted`` the first ``n`` names among the rows with its keys that its pattern finds.
+
+    Of rows with one name the latest counts. Wanted rows have to be distinct; those without a candidate are
+    left out. Names are made distinct before the join, so it grows with the names and not with the rows.
+    """
+    known = rows.groupBy(*keys, name).agg(F.max(latest).alias(latest))
+    found = wanted.join(known, list(keys)).where(F.rlike(F.col(name), F.col(hint)))
+    return found.withColumn("_k", F.row_number().over(Window.partitionBy(*wanted.columns).orderBy(name))).where(F.col("_k") <= n).drop("_k")
+
+
 def optional(df: DataFrame, **wanted) -> DataFrame:
     """Rows that agree with every wanted value that is given; a list means any of them."""
     for column, value in wanted.items():

@@ -136,6 +136,18 @@ def search_rank(spark, sf_dir):
     return hit.orderBy(F.col("p_name").ilike("re%").desc(), F.length("p_name"), "p_name", "p_partkey").limit(6)
 
 
+@query("""
+WITH wanted AS (SELECT DISTINCT p_brand, hint FROM part, (VALUES ('^(small|large) '), ('bolt$'), ('^none$')) h(hint)),
+found AS (SELECT w.p_brand, hint, p_name, max(p_partkey) AS p_partkey FROM wanted w JOIN part p ON p.p_brand = w.p_brand WHERE regexp_matches(p_name, hint) GROUP BY ALL)
+SELECT p_brand, hint, p_name, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, hint ORDER BY p_name) AS k FROM found) WHERE k <= 6
+""")
+def name_candidates(spark, sf_dir):
+    """Up to six names for each brand and pattern, each with its latest part: what an unmapped account might be called."""
+    p = table(spark, sf_dir, "part")
+    hints = spark.createDataFrame([("^(small|large) ",), ("bolt$",), ("^none$",)], "hint string")
+    return joins.candidates(p.select("p_brand").distinct().crossJoin(F.broadcast(hints)), p, ["p_brand"], "p_name", "hint", "p_partkey")
+
+
 @query("""
 WITH o AS (SELECT o_custkey, count(*) AS n_orders, max(o_orderdate) AS last_order FROM orders GROUP BY 1),
 f AS (SELECT o_custkey, count(*) AS n_final FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import names
@@ -46,20 +50,41 @@ def dictionary(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, comment="#", nullValue="", emptyValue=None)
 
 
+def decoded(content: Column) -> Column:
+    """Text of a binary: UTF-8, or MS949, as older forms have it, where it is no UTF-8.
+
+    Only the latter go to a Python worker, row by row, so that long ones are not gathered in a batch.
+    """
+    valid = F.is_valid_utf8(content.cast("string"))
+    legacy = F.udf(lambda b: None if b is None else bytes(b).decode("cp949", "replace"), "string", useArrow=False)
+    return F.coalesce(F.when(valid, content.cast("string")), legacy(F.when(~valid, content)))
+
+
 def sections(spark: SparkSession, path: str, start: str, end: str, most: int = 4_000_000) -> DataFrame:
-    """(path, section): of each file what lies between two markers, from the TITLE before the first one on.
+    """(path, section, truncated): of each file what lies between two markers of ASCII characters.
 
-    Files come as whole binaries, so each has to fit into a task; they are tens of MB.
+    The section begins at the TITLE before the first marker and ends before the title of the next one.
+    Without an end marker it is cut after ``most`` bytes; without a first marker it is null. Markers are
+    sought and the section is cut in bytes, so that only what is kept is ever decoded. Files come as whole
+    binaries, so each has to fit into a task; they are tens of MB. Empty files give no row.
     """
-    f = spark.read.format("binaryFile").load(path)
-    text = F.col("content").cast("string")
-    at = F.locate(start, text)
-    head = F.substr(text, F.lit(1), at - 1)
-    title = F.locate("ELTIT<", F.reverse(head))
-    begin = F.when(title > 0, F.length(head) - title - 4).otherwise(at)
-    rest = F.substr(text, begin, F.length(text))
-    stop = F.locate(end, rest, len(start))
-    return f.select("path", F.when(at > 0, F.substr(rest, F.lit(1), F.least(F.when(stop > 0, stop - 1).otherwise(F.length(rest)), F.lit(most)))).alias("section"))
+    f = spark.read.format("binaryFile").load(path).select("path", "content")
+    f = f.withColumn("_b", F.decode("content", "ISO-8859-1"))  # a character for each byte
+
+    def title(head: Column) -> Column:
+        """Place of the last title in a text, 0 if there is none."""
+        after = F.length(F.substring_index(head, "<TITLE", -1))
+        return F.when(after < F.length(head), F.length(head) - after - 5).otherwise(0)
+
+    f = f.withColumn("_at", F.locate(start, F.col("_b")))
+    f = f.withColumn("_from", F.greatest(title(F.substr("_b", F.lit(1), F.col("_at") - 1)), F.lit(1)))
+    later = F.locate(end, F.substr("_b", F.col("_at") + len(start)))
+    f = f.withColumn("_stop", F.when(later > 0, F.col("_at") + len(start) + later - 1).otherwise(0))
+    body = F.substr("_b", F.col("_from"), F.col("_stop") - F.col("_from"))
+    n = F.when(F.col("_stop") == 0, F.lit(most)).when(title(body) > 1, title(body) - 1).otherwise(F.col("_stop") - F.col("_from"))
+    f = f.withColumn("_n", n).withColumn("truncated", (F.col("_at") > 0) & (F.col("_stop") == 0) & (F.length("content") - F.col("_from") + 1 > most))
+    cut = F.when(F.col("_at") > 0, F.substr("content", F.col("_from"), F.col("_n")))
+    return f.select("path", decoded(cut).alias("section"), "truncated")
 
 
 def whole_units(rows: DataFrame, declared: DataFrame, previous: DataFrame, unit: list[str]) -> DataFrame:
@@ -154,3 +179,44 @@ def price_index_rows(spark: SparkSession, path: str, items: list[str] | None = N
 def bounded_zips(spark: SparkSession, path: str, most: int = 256 << 20) -> DataFrame:
     """(path, content) of landed archives of at most ``most`` bytes; larger ones are left out before they are read."""
     return spark.read.format("binaryFile").load(path).where(F.col("length") <= most).select("path", "content")
+
+
+def documents(archives: DataFrame, most: int = 5 << 20) -> DataFrame:
+    """(rcept_no, html) of landed archives (path, content) that are named by their receipt number.
+
+    The document is the entry whose name begins with the receipt number, or else the first one. One that
+    is larger than ``most`` bytes when unpacked, or an archive that cannot be read, gives null; no more
+    than that is ever unpacked.
+    """
+
+    def unpack(name: str | None, content: bytes | None) -> bytes | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                entries = [e for e in z.infolist() if not e.is_dir()]
+                chosen = next((e for e in entries if name and e.filename.startswith(name)), entries[0] if entries else None)
+                if chosen is None:
+                    return None
+                with z.open(chosen) as f:
+                    data = f.read(most + 1)
+                return data if len(data) <= most else None
+        except (zipfile.BadZipFile, EOFError, NotImplementedError, zlib.error):
+            return None
+
+    named = archives.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("rcept_no"), "content")
+    return named.select("rcept_no", F.udf(unpack, "binary", useArrow=False)("rcept_no", "content").alias("_c")).select("rcept_no", decoded(F.col("_c")).alias("html"))
+
+
+def census_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Households and people of each district; answers without a result give no rows."""
+    kind = "array<struct<adm_cd:string,adm_nm:string,tot_family:string,tot_ppltn:string>>"
+    r = _texts(spark, path).select(F.explode(F.from_json(F.get_json_object("value", "$.result"), kind)).alias("r")).select("r.*")
+    return r.select("adm_cd", "adm_nm", names.number(F.col("tot_family")).cast("long").alias("households"), names.number(F.col("tot_ppltn")).cast("long").alias("people"))
+
+
+def boundaries(spark: SparkSession, path: str) -> DataFrame:
+    """(code, name, full_name, geometry as JSON text) of feature collections, bare or within a page of an answer."""
+    value = F.coalesce(F.get_json_object("value", "$.response.result.featureCollection.features"), F.get_json_object("value", "$.features"))
+    features = F.explode(F.from_json(value, "array<struct<properties:map<string,string>,geometry:string>>")).alias("f")
+    f = _texts(spark, path).select(features).select("f.*")
+    p = lambda *keys: F.coalesce(*[F.try_element_at("properties", F.lit(k)) for k in keys])
+    return f.select(p("sig_cd", "adm_cd").alias("code"), p("sig_kor_nm", "adm_nm").alias("name"), p("full_nm").alias("full_name"), "geometry")
