@@ -236,9 +236,10 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD, size: int = TILE, bl
 
     Vectors are compared when their labels are equal and not null and they have as many components.
     Null and zero vectors, and those with null or non-finite components, link with nothing and are kept.
-    Equal vectors are compared once and link with each other. Rows that repeat a vec_id stay rows and
-    count as other vectors; rows with a null vec_id are left out. Empty tables give no rows; other
-    columns are ignored.
+    Equal vectors are compared once and link with each other. Rows that repeat a vec_id stay rows: with
+    equal vectors they count as other vectors, with different ones they may have their links and their
+    component in common. Rows with a null vec_id are left out. Empty tables give no rows; other columns
+    are ignored.
     """
     spark = vectors.sparkSession
     common.prepare(spark)
