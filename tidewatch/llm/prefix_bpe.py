@@ -29,8 +29,8 @@ from tidewatch.llm import common, tokens
 STRETCHES, WORDS, PAIRS = 500_000, 300_000, 300_000
 #: Characters of text whose new words share a trie; a longer text is a pass of its own.
 PASS_CHARS = 4 << 20
-#: A stretch that the pre-tokenizer leaves whole: letters that every version of Unicode calls so, behind one space or none.
-_PLAIN = re.compile("^ ?[A-Za-zÀ-ÖØ-öø-ſ가-힣]+$")
+#: A stretch whose words are plain to see: a line feed, letters that every version of Unicode calls so behind one space or none, ASCII marks.
+_PLAIN = re.compile("(\n?)( ?[A-Za-zÀ-ÖØ-öø-ſ가-힣]+)([!-/:-@[-`{-~]*)")
 #: White space that the pre-tokenizer may join across stretches.
 _BLANK = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
 _LOADED: dict[tuple, Encoder] = {}
@@ -118,7 +118,7 @@ class _Node:
 
     __slots__ = ("letters", "below", "ends")
 
-    def __init__(self, letters: str, below: dict, ends: bool):
+    def __init__(self, letters: str, below: dict | None, ends: bool):
         self.letters, self.below, self.ends = letters, below, ends
 
 
@@ -132,9 +132,11 @@ class Trie:
         """Add a word that is not empty."""
         node, at = self.root, 0
         while at < len(word):
+            if node.below is None:
+                node.below = {}
             child = node.below.get(word[at])
             if child is None:
-                node.below[word[at]] = _Node(word[at:], {}, True)
+                node.below[word[at]] = _Node(word[at:], None, True)
                 return
             same = len(child.letters)
             if not word.startswith(child.letters, at):
@@ -169,7 +171,8 @@ class Trie:
                     ids.append(last[at - 1])
                     at -= size[ids[-1]]
                 yield "".join(path), np.array(ids[::-1], "<u4").tobytes()
-            stack += [(child, len(path)) for child in node.below.values()]
+            if node.below:
+                stack += [(child, len(path)) for child in node.below.values()]
 
 
 class Encoder:
@@ -189,8 +192,8 @@ class Encoder:
 
     def spelled(self, part: str) -> list[str]:
         """The words of a piece of text, in letters for bytes."""
-        if _PLAIN.match(part):
-            return [part.encode().decode("latin-1").translate(tokens._LETTERS)]
+        if plain := _PLAIN.fullmatch(part):
+            return [x.encode().decode("latin-1").translate(tokens._LETTERS) for x in plain.groups() if x]
         return [word for word, _ in self.words_of(part)]
 
     def parts(self, text: str) -> list[str]:
