@@ -64,6 +64,36 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component AS component_id, vec
 FROM v JOIN component ON node = vec_id LEFT JOIN counts ON a = vec_id
 """
 
+#: The checksum is worked out byte by byte, once for each distinct feature.
+IMPORTANCE = """
+WITH crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+own AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+target AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+hexed AS (SELECT f, hex(f) AS h FROM (SELECT f FROM own UNION SELECT f FROM target)),
+bytes AS (SELECT f, list_transform(range(1, len(h), 2), lambda i: (strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1) AS x FROM hexed),
+bucket AS (SELECT f, xor(list_reduce(list_concat([4294967295], x), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS k FROM bytes, crc),
+seen AS (SELECT k, count(*) AS s FROM own JOIN bucket USING (f) GROUP BY k),
+wanted AS (SELECT k, count(*) AS t FROM target JOIN bucket USING (f) GROUP BY k),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM seen)::DOUBLE AS s, (SELECT coalesce(sum(t), 0) FROM wanted)::DOUBLE AS t),
+gain AS (
+    SELECT k, floor(1000 * ln(((coalesce(wanted.t, 0) + 1)::DOUBLE * (totals.s + 10000)) / ((coalesce(seen.s, 0) + 1)::DOUBLE * (totals.t + 10000))))::BIGINT AS g
+    FROM (SELECT unnest(range(10000)) AS k) LEFT JOIN seen USING (k) LEFT JOIN wanted USING (k), totals
+),
+sums AS (SELECT r, count(*)::BIGINT AS n_features, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM own JOIN bucket USING (f) JOIN gain USING (k) GROUP BY r),
+scored AS (
+    SELECT d.r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        list_reduce(list_concat([0::BIGINT], list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', sha256('7:' || coalesce(doc_id::VARCHAR, ''))[i]) - 1)), lambda a, c: a * 16 + c) AS h
+    FROM d LEFT JOIN sums ON sums.r = d.r
+),
+noisy AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296)))::BIGINT AS score FROM scored),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, n_words DESC) AS place, count(*) OVER () AS n FROM noisy WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM noisy LEFT JOIN placed ON placed.r = noisy.r
+"""
+
 
 def quality() -> str:
     """The rules' features and votes, the estimation as a recursive query, and the verdicts."""

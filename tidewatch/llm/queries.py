@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import binary_output, embedding_dedup, jaccard_join, license_scan, oracles, packing, quality_model, quality_rules, sentencepiece_codec, substring_dedup, toxicity
+from tidewatch.llm import binary_output, embedding_dedup, importance, jaccard_join, license_scan, oracles, packing, prefix_bpe, quality_model, quality_rules, sentencepiece_codec, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         embedding_dedup.op8_embedding_near_dedup,
         binary_output.op9_binary_output,
         license_scan.op10_license_scan,
+        prefix_bpe.op11_prefix_bpe,
+        importance.op12_importance_resampling,
     ]
     return {f.__name__: f for f in found}
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict:
         "op4_ngram_jaccard_join": oracles.JACCARD,
         "op5_quality_rules": oracles.quality(),
         "op8_embedding_near_dedup": oracles.EMBEDDINGS,
+        "op12_importance_resampling": oracles.IMPORTANCE,
     }
