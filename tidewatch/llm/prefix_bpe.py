@@ -27,6 +27,8 @@ from tidewatch.llm import common, tokens
 
 #: Stretches, words and pairs that a Python worker remembers; beyond it a memory is emptied and filled anew.
 STRETCHES, WORDS, PAIRS = 500_000, 300_000, 300_000
+#: The longest stretch or word that is remembered beyond its pass.
+KEPT_CHARS = 100
 #: Characters of text whose new words share a trie; a longer text is a pass of its own.
 PASS_CHARS = 4 << 20
 #: A stretch whose words are plain to see: a line feed, letters that every version of Unicode calls so behind one space or none, ASCII marks.
@@ -202,8 +204,8 @@ class Encoder:
             return [x for k, part in enumerate(found) for x in ([part] if k % 2 else self.parts(part) if part else [])]
         return [text] if _BLANK.search(text) else tokens._STRETCH.findall(text)
 
-    def learn(self, parts: list[str]) -> None:
-        """Remember stretches: their new words are put into one trie and encoded together."""
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of stretches: their new words are put into one trie and encoded together."""
         if len(self.words) > WORDS:
             self.words.clear()
         split = {p: self.spelled(p) for p in parts}
@@ -212,8 +214,13 @@ class Encoder:
             for word in own:
                 if word not in self.words:
                     trie.insert(word)
-        self.words.update(trie.encode(self.merges))
-        self.stretches.update((p, b"".join([self.words[w] for w in own])) for p, own in split.items())
+        fresh = dict(trie.encode(self.merges))
+        self.words.update(fresh)
+        found = {p: b"".join([self.words[w] for w in own]) for p, own in split.items()}
+        for word in fresh:
+            if len(word) > KEPT_CHARS:
+                del self.words[word]
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers; null texts have none."""
@@ -231,16 +238,17 @@ class Encoder:
     def one_pass(self, held: list[list[str]]) -> list[bytes]:
         """Ids of texts that are given as their parts."""
         known = self.stretches
-        if len(known) > STRETCHES:
+        if len(known) > STRETCHES or not known:
             known.clear()
             if self.added is not None:
                 known.update((t, np.array([i], "<u4").tobytes()) for t, i in self.merges.added.items())
-        elif self.added is not None and not known:
-            known.update((t, np.array([i], "<u4").tobytes()) for t, i in self.merges.added.items())
-        new = {p for parts in held for p in parts if p not in known}
-        if new:
-            self.learn(list(new))
-        return [b"".join([known[p] for p in parts]) for parts in held]
+        fresh = self.learn(list({p for parts in held for p in parts if p not in known}))
+        known.update(fresh)
+        out = [b"".join([known[p] for p in parts]) for parts in held]
+        for part in fresh:
+            if len(part) > KEPT_CHARS:
+                del known[part]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text that ids stand for; bytes that are no UTF-8 become U+FFFD."""
