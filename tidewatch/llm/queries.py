@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import binary_output, embedding_dedup, importance, jaccard_join, license_scan, oracles, packing, prefix_bpe, quality_model, quality_rules, sentencepiece_codec, substring_dedup, toxicity
+from tidewatch.llm import alignment, binary_output, embedding_dedup, importance, jaccard_join, license_scan, oracles, packing, prefix_bpe, quality_model, quality_rules, sentencepiece_codec, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         license_scan.op10_license_scan,
         prefix_bpe.op11_prefix_bpe,
         importance.op12_importance_resampling,
+        alignment.op13_tokenizer_alignment,
     ]
     return {f.__name__: f for f in found}
 
