@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import common, tokens
 
 #: Stretches, words and pairs that a Python worker remembers; beyond it a memory is emptied and filled anew.
-STRETCHES, WORDS, PAIRS = 500_000, 300_000, 300_000
+STRETCHES, WORDS, PAIRS = 1_000_000, 700_000, 600_000
 #: The longest stretch or word that is remembered beyond its pass.
 KEPT_CHARS = 100
 #: Characters of text whose new words share a trie; a longer text is a pass of its own.
