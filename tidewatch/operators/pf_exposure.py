@@ -211,9 +211,13 @@ def lines(documents: DataFrame, key: str, html: str) -> DataFrame:
     rows = rows.withColumn("_said", F.array_join(F.transform(said, lambda x: x["text"]), " "))
     head = F.array_join(F.first(F.when(c("row_no") == 0, c("cells")), ignorenulls=True).over(table), " ")
     index = F.sum((top & (c("role") == "SUMMARY")).cast("int")).over(doc.rangeBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_unit", unit(F.concat_ws(" ", head, "_said")))
-    rows = rows.withColumn("_scope", scope_of(c("_said"), F.coalesce(index, F.lit(0)))).withColumn("_other", part_of_others(c("_said")))
-    rows = rows.withColumn("_kind", F.nullif(F.regexp_extract("_said", "(?s).*(정비사업|기타사업)", 1), F.lit(""))).drop("_said")
+    said = {
+        "_unit": unit(F.concat_ws(" ", head, "_said")),
+        "_scope": scope_of(c("_said"), F.coalesce(index, F.lit(0))),
+        "_other": part_of_others(c("_said")),
+        "_kind": F.nullif(F.regexp_extract("_said", "(?s).*(정비사업|기타사업)", 1), F.lit("")),
+    }
+    rows = rows.withColumns(said).drop("_said")
     rows = rows.where((c("role") == "TEXT") | ((c("role") != "SITE") | ~c("_other")) & c("role").isNotNull() & (c("row_no") >= c("_h")))
 
     # roles of columns
@@ -222,11 +226,10 @@ def lines(documents: DataFrame, key: str, html: str) -> DataFrame:
     balances = F.filter(F.transform("_names", lambda n, i: F.when(n.startswith("대출잔액") | n.contains("|대출잔액"), F.struct(i.alias("i"), n.rlike("[0-9]{1,2}(개월|월|년)").alias("due")))), lambda x: x.isNotNull())
     balances = F.filter(balances, lambda x: ~x["due"] | (c("role") == "SITE"))["i"]
     money = lambda i: (number(F.regexp_replace(_cell(i), r"\s", "")) * c("_unit")).cast(MONEY)
-    rows = rows.withColumn("_limit", begins("보증한도")).withColumn("_guarantee", begins("보증금액")).withColumn("_balances", balances)
+    rows = rows.withColumns({"_limit": begins("보증한도"), "_guarantee": begins("보증금액"), "_balances": balances})
     current = F.get("_balances", F.lit(0))
     previous = F.when(F.size("_balances") > 1, F.when(c("role") == "SITE", F.get("_balances", F.lit(1))).otherwise(F.element_at("_balances", -1)))
-    for column, i in (("limit", c("_limit")), ("guarantee", c("_guarantee")), ("balance", current), ("prior", previous)):
-        rows = rows.withColumn(column, money(i))
+    rows = rows.withColumns({"limit": money(c("_limit")), "guarantee": money(c("_guarantee")), "balance": money(current), "prior": money(previous)})
     rows = _dated(rows, table, money, current, previous)
     rows = _summaries(rows, key, table)
     rows = _sites(rows, key, table, at, begins, money)
@@ -256,9 +259,8 @@ def _dated(rows: DataFrame, table, money, current: Column, previous: Column) ->
     wrong = F.coalesce(overdue != 0, F.lit(False)) | (owed & (F.abs(add(lambda x: F.lit(True)) - c("balance")) > F.abs("balance") * TOLERANCE))
     adds_up = (F.max(owed.cast("int")).over(table) == 1) & (F.max(wrong.cast("int")).over(table) == 0) & (F.size("_due") > 0) & rising
     rows = rows.withColumn("dated", F.coalesce((c("role") == "SUMMARY") & (named | adds_up), F.lit(False)))
-    for b in BUCKETS:
-        rows = rows.withColumn(b, F.when(c("dated"), money(place[b]["i"])))
-    return rows.withColumn("w12", F.when(c("dated") & ~standard, add(lambda x: x["hi"] <= 12)))
+    due = {b: F.when(c("dated"), money(place[b]["i"])) for b in BUCKETS}
+    return rows.withColumns(due | {"w12": F.when(c("dated") & ~standard, add(lambda x: x["hi"] <= 12))})
 
 
 def _summaries(rows: DataFrame, key: str, table) -> DataFrame:
@@ -303,9 +305,8 @@ def _sites(rows: DataFrame, key: str, table, at, begins, money) -> DataFrame:
         "related": F.when(_cell(related).isNotNull(), F.upper(_cell(related)).isin("O", "○", "Y", "예", "해당")),
         "completion": money(begins("책임준공")),
     }
-    for column, value in values.items():
-        rows = rows.withColumn(column, F.when(site, value))
-    rows = rows.withColumn("category", F.when(site, c("_kind")).otherwise(c("category"))).withColumn("pf_type", F.when(site, loan).otherwise(c("pf_type")))
+    values = {column: F.when(site, value) for column, value in values.items()}
+    rows = rows.withColumns(values | {"category": F.when(site, c("_kind")).otherwise(c("category")), "pf_type": F.when(site, loan).otherwise(c("pf_type"))})
     listed = F.array_sort(F.collect_list(F.when(site, F.struct("row_no", squeezed(c("debtor")), squeezed(c("region"))))).over(table))
     rows = rows.withColumn("_listed", F.when(site, F.xxhash64(F.to_json(F.transform(listed, lambda x: F.struct(x["col2"], x["col3"]))))))
     return rows.withColumn("_once", F.min("block_no").over(Window.partitionBy(key, "_listed"))).where(~site | (c("block_no") == c("_once")))
@@ -321,10 +322,15 @@ def reports(found: DataFrame, key: str) -> DataFrame:
     """
     c = F.col
     scope = Window.partitionBy(key, "role", "scope")
-    rows = found.withColumn("_mark", F.first(F.when(c("role") == "TEXT", F.nullif(F.concat(F.regexp_extract("text", r"(\(주\d+\))[^()]{0,40}자체사업", 1)), F.lit(""))), ignorenulls=True).over(Window.partitionBy(key)))
-    rows = rows.withColumn("_read", F.max(F.when(c("role") == "SUMMARY", 1).otherwise(0)).over(Window.partitionBy(key)))
-    rows = rows.withColumn("_unread", F.max(F.when(c("role") == "UNREAD", 1).otherwise(0)).over(Window.partitionBy(key)))
-    rows = rows.withColumn("_table", F.min("block_no").over(scope))
+    document = Window.partitionBy(key)
+    mark = F.nullif(F.regexp_extract("text", r"(\(주\d+\))[^()]{0,40}자체사업", 1), F.lit(""))
+    whole = {
+        "_mark": F.first(F.when(c("role") == "TEXT", mark), ignorenulls=True).over(document),
+        "_read": F.max(F.when(c("role") == "SUMMARY", 1).otherwise(0)).over(document),
+        "_unread": F.max(F.when(c("role") == "UNREAD", 1).otherwise(0)).over(document),
+        "_table": F.min("block_no").over(scope),
+    }
+    rows = found.withColumns(whole)
     rows = rows.withColumn("_last", F.min(F.when(c("total") & (c("block_no") == c("_table")), c("row_no"))).over(scope))
     summary = c("role") == "SUMMARY"
     mine = summary & (c("scope") != ALL) & (c("block_no") == c("_table")) & (c("row_no") <= F.coalesce("_last", c("row_no")))
@@ -356,9 +362,9 @@ def reports(found: DataFrame, key: str) -> DataFrame:
     )
     absent = (c("text").contains("해당사항없") & ~c("text").contains("신용보강")) | c("text").rlike("PF.{0,30}(신용보강|보증).{0,15}(없습니다|없음|제공하지않)")
     parsed = (c("n_summary") > 0) | (c("n_sites") > 0)
-    out = out.withColumn("status", F.when(parsed, "PARSED").when(absent, "NONE").otherwise("NO_STANDARD"))
-    out = out.withColumn("reconciled", F.when(c("guarantee") != 0, F.abs(c("sites_guarantee") - c("guarantee")) <= F.abs("guarantee") * TOLERANCE))
-    out = out.withColumn("stated_total", F.when(parsed, stated_total(c("text"))))
+    reconciled = F.when(c("guarantee") != 0, F.abs(c("sites_guarantee") - c("guarantee")) <= F.abs("guarantee") * TOLERANCE)
+    status = F.when(parsed, "PARSED").when(absent, "NONE").otherwise("NO_STANDARD")
+    out = out.withColumns({"status": status, "reconciled": reconciled, "stated_total": F.when(parsed, stated_total(c("text")))})
     out = out.withColumn("stated_match", F.abs(c("guarantee") - c("stated_total")) <= F.abs("stated_total") * TOLERANCE)
     split = c("due_within_12m") == near("m3", "m6", "m12")
     note = F.when(c("_own"), "OWN_PROJECTS_OFF").when(c("n_summary") == 0, "SITES_ONLY").when(~c("_known"), "DUE_UNREAD").when(c("due_within_12m").isNull(), "DUE_EMPTY").when(~split, "DUE_NOT_SPLIT")
