@@ -90,7 +90,7 @@ def count_slots(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(common.released(count), common.COUNTS_SCHEMA)
 
 
-PIECES = "bucket int, doc binary, start binary, size binary, words binary"
+PIECES = "bucket int, doc binary, twin binary, start binary, size binary, words binary"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
@@ -112,26 +112,30 @@ def _content(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Held:
-    """Fragments that a task or a shard holds, put together as arrays."""
+    """Fragments that a task or a shard holds, put together as arrays; a document is a doc_id and the hash of its text."""
 
     def __init__(self, parts):
-        self.doc, self.start, self.size, self.key = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        self.words = np.concatenate([p[4] for p in parts])
+        self.doc, self.twin, self.start, self.size, self.key = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        self.words = np.concatenate([p[5] for p in parts])
+
+    def pick(self, which: np.ndarray) -> None:
+        """Keep these of the fragments, words aside."""
+        self.doc, self.twin, self.start, self.size, self.key = (x[which] for x in (self.doc, self.twin, self.start, self.size, self.key))
 
     def distinct(self):
         """Order the fragments by place and keep the first of those with equal words; returns what the others cover."""
-        order = np.lexsort((self.start, self.doc))
+        order = np.lexsort((self.start, self.twin, self.doc))
         words = self.words[_ranges((np.cumsum(self.size) - self.size)[order], self.size[order])]
-        self.doc, self.start, self.size, self.key = (x[order] for x in (self.doc, self.start, self.size, self.key))
+        self.pick(order)
         content = _content(words, self.size)
         _, first, which = np.unique(content, return_index=True, return_inverse=True)
         keep = np.zeros(len(order), bool)
         keep[first] = True
-        same = (self.doc == self.doc[first[which]]) & (self.start == self.start[first[which]])
+        same = (self.doc == self.doc[first[which]]) & (self.twin == self.twin[first[which]]) & (self.start == self.start[first[which]])
         gone = ~keep & ~same
-        removed = self.doc[gone], self.start[gone], self.start[gone] + self.size[gone]
+        removed = self.doc[gone], self.twin[gone], self.start[gone], self.start[gone] + self.size[gone]
         self.words = words[np.repeat(keep, self.size)]
-        self.doc, self.start, self.size, self.key = (x[keep] for x in (self.doc, self.start, self.size, self.key))
+        self.pick(keep)
         return removed
 
     def rows(self, buckets: int):
@@ -145,12 +149,12 @@ class Held:
             own = order[cut[b] : cut[b + 1]]
             if len(own):
                 words = self.words[_ranges(begin[own], self.size[own])]
-                out.append((b, self.doc[own].tobytes(), self.start[own].tobytes(), self.size[own].astype("<i4").tobytes(), _sent(words)))
+                out.append((b, self.doc[own].tobytes(), self.twin[own].tobytes(), self.start[own].tobytes(), self.size[own].astype("<i4").tobytes(), _sent(words)))
         return _packed(out)
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), *[pa.binary()] * 4]
+    kinds = [pa.int32(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _NAMES)
 
 
@@ -165,6 +169,11 @@ def _received(words: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _twin():
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def cut(docs: DataFrame, buckets: int, filter_) -> DataFrame:
     """Packed fragments for the shards, and (without words) intervals already known to be repeated within a task."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
@@ -178,26 +187,28 @@ def cut(docs: DataFrame, buckets: int, filter_) -> DataFrame:
             held = Held(parts)
             removed = held.distinct()
             if len(removed[0]):
-                doc, start, end = removed
-                yield _packed([(int(doc[0]) % buckets, doc.tobytes(), start.tobytes(), (end - start).astype("<i4").tobytes(), None)])
+                doc, twin, start, end = removed
+                yield _packed([(int(doc[0]) % buckets, doc.tobytes(), twin.tobytes(), start.tobytes(), (end - start).astype("<i4").tobytes(), None)])
             yield held.rows(buckets)
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, twins = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for first, h, row, start, at, size, key in fragments(batch.column(1)):
                 where = common.slot(key)
                 keep = common.repeated(seen, where)
                 is_hot = keep & np.isin(where, hot)
                 own = keep & ~is_hot
                 if own.any():
-                    parts.append((ids[row[own] + first], start[own], size[own], key[own], h[_ranges(at[own], size[own])]))
-                    n += len(parts[-1][4])
+                    mine = row[own] + first
+                    parts.append((ids[mine], twins[mine], start[own], size[own], key[own], h[_ranges(at[own], size[own])]))
+                    n += len(parts[-1][5])
                 if is_hot.any():
                     windows = size[is_hot] - WINDOW + 1
                     at_ = _ranges(at[is_hot], windows)
                     words = h[_ranges(at_, np.full(len(at_), WINDOW))]
                     size_ = np.full(len(at_), WINDOW)
-                    parts.append((np.repeat(ids[row[is_hot] + first], windows), _ranges(start[is_hot], windows), size_, _content(words, size_), words))
+                    mine = np.repeat(row[is_hot] + first, windows)
+                    parts.append((ids[mine], twins[mine], _ranges(start[is_hot], windows), size_, _content(words, size_), words))
                     n += len(words)
             if n > HELD_WORDS:
                 yield from off()
@@ -205,7 +216,7 @@ def cut(docs: DataFrame, buckets: int, filter_) -> DataFrame:
         if parts:
             yield from off()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(common.released(send), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text", _twin()).where("doc_id is not null").mapInArrow(common.released(send), PIECES)
 
 
 # ------------------------------------------------------------------- the index
@@ -318,12 +329,15 @@ def matches(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place - number[0], early - number[1]
 
 
+INTERVALS = "doc_id long, twin long, start long, end long"
+
+
 def search(pieces: DataFrame, partitions: int) -> DataFrame:
-    """(doc_id, start, end): words that windows cover which start earlier elsewhere. Intervals may overlap."""
+    """INTERVALS: words that windows cover which start earlier elsewhere. They may overlap."""
 
     def rows(*columns):
         for i in range(0, len(columns[0]), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000], pa.int64()) for x in columns], ["doc_id", "start", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000], pa.int64()) for x in columns], ["doc_id", "twin", "start", "end"])
 
     def shard(parts):
         held = Held(parts)
@@ -333,35 +347,36 @@ def search(pieces: DataFrame, partitions: int) -> DataFrame:
         where, first = matches(held.words, held.size)
         own, other = np.searchsorted(begin, where, "right") - 1, np.searchsorted(begin, first, "right") - 1
         a, b = held.start[own] + where - begin[own], held.start[other] + first - begin[other]
-        later = (held.doc[own] != held.doc[other]) | (a != b)
-        own, a = held.doc[own][later], a[later]
-        order = np.lexsort((a, own))
-        own, a = own[order], a[order]
+        later = (held.doc[own] != held.doc[other]) | (held.twin[own] != held.twin[other]) | (a != b)
+        own, a = own[later], a[later]
+        doc, twin = held.doc[own], held.twin[own]
+        order = np.lexsort((a, twin, doc))
+        doc, twin, a = doc[order], twin[order], a[order]
         if len(a):
-            new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (a[1:] != a[:-1] + 1)])
+            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]) | (a[1:] != a[:-1] + 1)])
             last = np.r_[new[1:], len(a)] - 1
-            yield from rows(own[new], a[new], a[last] + WINDOW)
+            yield from rows(doc[new], twin[new], a[new], a[last] + WINDOW)
 
     def find(batches):
         parts, held = [], None
         for batch in batches:
-            columns = [batch.column(k) for k in ("bucket", "doc", "start", "size", "words")]
-            for bucket, doc, start, size, words in zip(*columns, strict=True):
+            columns = [batch.column(k) for k in _NAMES]
+            for bucket, doc, twin, start, size, words in zip(*columns, strict=True):
                 bucket = bucket.as_py()
                 if parts and bucket != held:
                     yield from shard(parts)
                 held = bucket
-                doc, start = (np.frombuffer(x.as_py(), "<i8") for x in (doc, start))
+                doc, twin, start = (np.frombuffer(x.as_py(), "<i8") for x in (doc, twin, start))
                 size = np.frombuffer(size.as_py(), "<i4").astype(np.int64)
                 if words.is_valid:
-                    parts.append((doc, start, size, np.zeros(len(size), np.uint64), _received(words.as_py())))
+                    parts.append((doc, twin, start, size, np.zeros(len(size), np.uint64), _received(words.as_py())))
                 else:
-                    yield from rows(doc, start, start + size)
+                    yield from rows(doc, twin, start, start + size)
         if parts:
             yield from shard(parts)
 
     # shards come one behind another, so a task works through them
-    return pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(common.released(find), "doc_id long, start long, end long")
+    return pieces.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(common.released(find), INTERVALS)
 
 
 def without(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -386,10 +401,10 @@ def remove(docs: DataFrame, intervals: DataFrame) -> DataFrame:
     """``docs`` with ``text`` less the words in the intervals, n_words and n_removed; other texts stay as they are."""
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    key, gone_ = common.unused("key", names), common.unused("gone", names)
-    held = intervals.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(gone_)).withColumnRenamed("doc_id", key)
+    key, twin, gone_ = (common.unused(c, names) for c in ("key", "twin", "gone"))
+    held = intervals.groupBy(F.col("doc_id").alias(key), F.col("twin").alias(twin)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(gone_))
     left = docs.select(*[F.col(f"`{c}`") for c in names])
-    joined = left.join(held, F.col("doc_id").cast("long") == F.col(key), "left").drop(key)
+    joined = left.join(held, (F.col("doc_id").cast("long") == F.col(key)) & (_twin() == F.col(twin)), "left").drop(key, twin)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in names) + ", n_words long, n_removed long"
     common.prepare(spark)
@@ -424,8 +439,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Adds n_words (of the whole text) and n_removed; a column of these names in ``docs`` is replaced.
     Texts of which nothing is removed stay as they are, null and empty ones included. Rows with a null doc_id
-    have no place in the order: they stay whole and cover nothing. Rows that repeat a doc_id count as one
-    document, so they take nothing from each other. Empty tables give no rows; other columns are kept.
+    have no place in the order: they stay whole and cover nothing. Rows of one doc_id with different texts are documents of their own,
+    in the order of a hash of the text; equal rows are one document, so they take nothing from each other. Empty tables give no
+    rows; other columns are kept.
     """
     common.prepare(docs.sparkSession)
     buckets, wide = shards(docs), common.partitions(docs.sparkSession)
