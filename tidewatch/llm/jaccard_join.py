@@ -91,11 +91,16 @@ def count_slots(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(common.released(count), common.COUNTS_SCHEMA)
 
 
-SIGNED = "doc_id long, n_shingles long, vertex long, grp long, bucket int, token binary, posted binary, meta binary"
+SIGNED = "doc_id long, twin long, n_shingles long, vertex long, grp long, bucket int, token binary, posted binary, meta binary"
+
+
+def twin():
+    """What tells rows of one doc_id apart: a hash of the text."""
+    return F.xxhash64("text")
 
 
 def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
-    """Rows of two kinds: each document's set size, set hash and group, and packed prefix postings.
+    """Rows of two kinds: each row's twin, set size, set hash and group, and packed prefix postings.
 
     A posting is a shingle with a group and (group size, share of the set that no other document has,
     in thousandths).
@@ -115,12 +120,12 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
             own = [(b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b + 1] > cut[b]]
             none = pa.nulls(len(own), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array([b for b, _ in own], pa.int32()), *[pa.array([x[o].tobytes() for _, o in own], pa.binary()) for x in (token, group, meta)]],
-                ["doc_id", "n_shingles", "vertex", "grp", "bucket", "token", "posted", "meta"],
+                [none, none, none, none, none, pa.array([b for b, _ in own], pa.int32()), *[pa.array([x[o].tobytes() for _, o in own], pa.binary()) for x in (token, group, meta)]],
+                ["doc_id", "twin", "n_shingles", "vertex", "grp", "bucket", "token", "posted", "meta"],
             )
 
         for batch in batches:
-            ids = batch.column(0)
+            ids, twins = batch.column(0), batch.column(2)
             for first, size, row, key in shingles(batch.column(1)):
                 n = len(size)
                 where = common.slot(key)
@@ -145,8 +150,8 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
                 n_held += len(r)
                 null = pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, n), pa.array(size.astype(np.int64)), pa.array(_signed(vertex)), pa.array(_signed(group)), pa.nulls(n, pa.int32()), null, null, null],
-                    ["doc_id", "n_shingles", "vertex", "grp", "bucket", "token", "posted", "meta"],
+                    [ids.slice(first, n), twins.slice(first, n), pa.array(size.astype(np.int64)), pa.array(_signed(vertex)), pa.array(_signed(group)), pa.nulls(n, pa.int32()), null, null, null],
+                    ["doc_id", "twin", "n_shingles", "vertex", "grp", "bucket", "token", "posted", "meta"],
                 )
             if n_held > 1 << 21:
                 yield postings()
@@ -154,7 +159,7 @@ def signatures(docs: DataFrame, buckets: int, filter_) -> DataFrame:
         if n_held:
             yield postings()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(sign), SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text", twin()).mapInArrow(common.released(sign), SIGNED)
 
 
 def collapsed(token: np.ndarray, group: np.ndarray, meta: np.ndarray):
@@ -322,10 +327,11 @@ def far_apart(deltas: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
+    """(doc_id, n_shingles, component_id, twin, text_component) of every row.
 
     Null and white texts have no shingles and are components of their own. Equal sets are linked.
-    Rows that share a doc_id stay rows of their own and count as linked; rows with a null doc_id are
+    Rows that share a doc_id and have shingles stay rows of their own and count as linked in component_id; text_component
+    goes by links of texts alone, so that it tells what a row repeats itself, and twin which of these rows it is. Rows with a null doc_id are
     left out. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -335,7 +341,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     ranges = common.slot_buckets(spark)
     filter_ = common.slot_counts(count_slots(docs, ranges), ranges, FREQUENT_SLOTS)
     signed = common.saved(signatures(docs, buckets, filter_), "signatures")
-    sets = signed.where("bucket is null").select("doc_id", "n_shingles", "vertex", "grp")
+    sets = signed.where("bucket is null").select("doc_id", "twin", "n_shingles", "vertex", "grp")
     found = common.saved(lists(signed.where("bucket is not null").select("bucket", "token", "posted", "meta"), buckets), "lists")
 
     # documents with different sets: the smallest id of each set stands for it
@@ -393,9 +399,19 @@ def cluster(docs: DataFrame) -> DataFrame:
         links = links.union(tidy(near)).union(common.saved(verified(second, docs), "more_links"))
         labels = common.components(links, "x", "y")
 
-    of_set = members.join(labels, members.id == labels.node, "left").select("vertex", F.coalesce("component", "id").alias("component"))
-    joined = sets.join(of_set, "vertex", "left")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    in_set = lambda found, name: members.select("vertex", "id").join(found, members.id == found.node, "left").select("vertex", F.coalesce("component", "id").alias(name))
+    joined = sets.join(in_set(labels, "of_text"), "vertex", "left")
+    of_text = F.when(F.col("n_shingles") > 0, F.col("of_text")).otherwise(F.col("doc_id"))
+    # a doc_id with several sets links them
+    several = sets.where("n_shingles > 0").groupBy("doc_id").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low != high").select("doc_id")
+    several = common.saved(several, "several")
+    if several.isEmpty():
+        return joined.select("doc_id", "n_shingles", of_text.alias("component_id"), "twin", of_text.alias("text_component"))
+    own = sets.where("n_shingles > 0").join(several, "doc_id", "left_semi").select("doc_id", "vertex").distinct().join(members.select("vertex", "id"), "vertex")
+    labels = common.components(links.union(own.select(F.col("doc_id").alias("x"), F.col("id").alias("y"))), "x", "y")
+    joined = joined.join(in_set(labels, "of_doc"), "vertex", "left")
+    of_doc = F.when(F.col("n_shingles") > 0, F.col("of_doc")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", "n_shingles", of_doc.alias("component_id"), "twin", of_text.alias("text_component"))
 
 
 def _least(a, b):
@@ -410,4 +426,4 @@ def _prefix(n):
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, n_shingles, component_id."""
-    return cluster(common.read(spark, sf_dir, "documents"))
+    return cluster(common.read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
