@@ -46,12 +46,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of documents linked by shared word shingles.
 
-    Of rows equal in doc_id and text one is kept; rows without a doc_id are in no group and all stay, as
-    do null and empty texts. An empty table gives an empty one.
+    Of rows equal in doc_id and text one is kept; rows of one doc_id with different texts are judged each by its own
+    text. Rows without a doc_id are in no group and all stay, as do null and empty texts. An empty table gives an empty one.
     """
-    first = jaccard_join.cluster(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    first = jaccard_join.cluster(docs).where("doc_id = text_component").select(F.col("doc_id").alias("_first"), F.col("twin").alias("_twin")).distinct()
     rows = _with_row(docs)
-    kept = rows.join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = rows.join(first, (F.col("doc_id") == F.col("_first")) & (jaccard_join.twin() == F.col("_twin")), "left_semi").dropDuplicates(["doc_id", "text"])
     return _rows(kept.unionByName(rows.where("doc_id is null")), docs.columns)
 
 
