@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidewatch.llm import substring_dedup
+from tidewatch.llm import jaccard_join, substring_dedup
 
 
 def passage(seed, n=60):
@@ -52,3 +52,28 @@ def removed_by_text(spark, rows):
 def test_the_stage_leaves_what_repeats_nowhere(spark):
     docs = spark.createDataFrame([(0, A, 1), (1, A, 1), (1, B, 1)], "doc_id long, text string, n_chars long")
     assert sorted((r.doc_id, r.text) for r in corpus_pipeline.substrings(spark, docs, "").collect()) == sorted([(0, A), (1, ""), (1, B)])
+
+
+def test_components_join_rows_of_one_doc_id(spark):
+    rows = [(0, A), (1, A), (1, B), (2, B), (3, C), (3, ""), (4, None), (4, C)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.text_component) for r in jaccard_join.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 56, 0, 0), (1, 56, 0, 0), (1, 56, 0, 1), (2, 56, 0, 1), (3, 0, 3, 3), (3, 56, 3, 3), (4, 0, 4, 4), (4, 56, 3, 3)]
+
+
+def test_components_against_brute_force(spark):
+    """A document is all rows of its doc_id; every link of one of them is its link."""
+    draw = random.Random(6)
+    texts = [passage(20 + i) for i in range(12)]
+    texts += [t.rsplit(" ", 2)[0] + " other end" for t in texts[:6]]
+    rows = [(draw.randrange(25), draw.choice(texts)) for _ in range(40)]
+    sets = [(d, brute.shingles(t)) for d, t in rows]
+    links = [(a, b) for a, x in sets for b, y in sets if a < b and 100 * len(x & y) >= 80 * len(x | y)]
+    root = brute.roots({d for d, _ in rows}, links)
+    got = jaccard_join.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d, root[d]) for d, _ in rows)
+
+
+def test_the_stage_judges_rows_by_their_own_text(spark):
+    docs = spark.createDataFrame([(0, A), (1, A), (1, B), (2, B), (5, C), (5, C)], "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(0, A), (1, B), (5, C)])
