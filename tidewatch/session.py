@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -25,3 +25,24 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(package.parent))
     context.addPyFile(archive)
     context._tidewatch_package = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where none is set, one of our own, on one machine only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tidewatch-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed in the shared folder: what comes next does not plan or compute again what made them."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
