@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import names
+from tidewatch.sources import native
 
 #: Fixed layout of a trade item: all text, cleaned below.
 TRADE_XML = "aptNm string, buildYear string, cdealDay string, cdealType string, dealAmount string, dealDay string, dealMonth string, dealYear string, excluUseAr string, floor string, jibun string, sggCd string, umdNm string"
@@ -17,9 +18,13 @@ STATEMENT_JSON = "status string, message string, list array<struct<rcept_no:stri
 
 
 def companies(spark: SparkSession, path: str) -> DataFrame:
-    """The code file: one company for each ``list`` element; blank stock codes are null."""
-    x = spark.read.format("xml").option("rowTag", "list").schema("corp_code string, corp_name string, stock_code string, modify_date string").load(path)
-    return x.select(F.trim("corp_code").alias("corp_code"), F.trim("corp_name").alias("corp_name"), F.nullif(F.trim("stock_code"), F.lit("")).alias("stock_code"), F.try_to_timestamp(F.trim("modify_date"), F.lit("yyyyMMdd")).cast("date").alias("modify_date"))
+    """The code file, in its archive or unpacked: one company for each ``list`` element; blank stock codes are null.
+
+    Records are read from a stream, one after another; a file with a document type is refused.
+    """
+    native.register(spark)
+    x = spark.read.format("tidewatch_records").option("record", "list").schema("corp_code string, corp_name string, stock_code string, modify_date string").load(path)
+    return x.select("corp_code", "corp_name", "stock_code", F.try_to_timestamp("modify_date", F.lit("yyyyMMdd")).cast("date").alias("modify_date"))
 
 
 def statement_lines(spark: SparkSession, path: str, fs_div: str) -> DataFrame:
@@ -60,31 +65,18 @@ def decoded(content: Column) -> Column:
     return F.coalesce(F.when(valid, content.cast("string")), legacy(F.when(~valid, content)))
 
 
-def sections(spark: SparkSession, path: str, start: str, end: str, most: int = 4_000_000) -> DataFrame:
-    """(path, section, truncated): of each file what lies between two markers of ASCII characters.
+def sections(spark: SparkSession, path: str, start: str, end: str, most: int = 4_000_000, scan: int = 120 << 20, chunk: int = 1 << 20) -> DataFrame:
+    """(path, section, truncated): of each file, or archive, what lies between two markers of ASCII characters.
 
-    The section begins at the TITLE before the first marker and ends before the title of the next one.
-    Without an end marker it is cut after ``most`` bytes; without a first marker it is null. Markers are
-    sought and the section is cut in bytes, so that only what is kept is ever decoded. Files come as whole
-    binaries, so each has to fit into a task; they are tens of MB. Empty files give no row.
+    The section begins at the TITLE before the first marker and ends before the title of the next one. One that has not ended
+    within ``most`` bytes and a chunk is cut after ``most``; without a first marker it is null, as it is where ``scan`` bytes do not reach its end. Files are read in
+    chunks up to the end of their section, and only what is kept is ever decoded: a task holds ``most`` bytes and a chunk. Empty files give no row.
     """
-    f = spark.read.format("binaryFile").load(path).select("path", "content")
-    f = f.withColumn("_b", F.decode("content", "ISO-8859-1"))  # a character for each byte
-
-    def title(head: Column) -> Column:
-        """Place of the last title in a text, 0 if there is none."""
-        after = F.length(F.substring_index(head, "<TITLE", -1))
-        return F.when(after < F.length(head), F.length(head) - after - 5).otherwise(0)
-
-    f = f.withColumn("_at", F.locate(start, F.col("_b")))
-    f = f.withColumn("_from", F.greatest(title(F.substr("_b", F.lit(1), F.col("_at") - 1)), F.lit(1)))
-    later = F.locate(end, F.substr("_b", F.col("_at") + len(start)))
-    f = f.withColumn("_stop", F.when(later > 0, F.col("_at") + len(start) + later - 1).otherwise(0))
-    body = F.substr("_b", F.col("_from"), F.col("_stop") - F.col("_from"))
-    n = F.when(F.col("_stop") == 0, F.lit(most)).when(title(body) > 1, title(body) - 1).otherwise(F.col("_stop") - F.col("_from"))
-    f = f.withColumn("_n", n).withColumn("truncated", (F.col("_at") > 0) & (F.col("_stop") == 0) & (F.length("content") - F.col("_from") + 1 > most))
-    cut = F.when(F.col("_at") > 0, F.substr("content", F.col("_from"), F.col("_n")))
-    return f.select("path", decoded(cut).alias("section"), "truncated")
+    native.register(spark)
+    f = spark.read.format("tidewatch_sections")
+    for name, value in (("start", start), ("end", end), ("most", most), ("scan", scan), ("chunk", chunk)):
+        f = f.option(name, value)
+    return f.load(path).select("path", decoded(F.col("section")).alias("section"), "truncated")
 
 
 def whole_units(rows: DataFrame, declared: DataFrame, previous: DataFrame, unit: list[str]) -> DataFrame:
