@@ -1,8 +1,10 @@
 """Regions, rules, alert lifecycles and evaluation on small cases."""
 
 import datetime
+import random
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import names, periods, stats
@@ -203,3 +205,37 @@ def test_tables_with_spans(spark):
     d = spark.createDataFrame([(1, html), (2, None)], "id int, html string")
     assert [(r.row_no, r.cells) for r in filings.tables(d, "id", "html").orderBy("row_no").collect()] == [(0, ["a", "b", "b"]), (1, ["a", "c", "d e"])]
     assert {(r.path, r.value) for r in filings.fields(d, "id", "html").collect()} == {("a/b", "b"), ("a/c", "d e")}
+
+
+def test_an_alias_of_two_companies_is_a_fault(spark):
+    n = spark.createDataFrame([(1, "가나"), (2, "다라")], "id int, name_key string")
+    c = spark.createDataFrame([("A", "가나"), ("B", "마바")], "corp_code string, name_key string")
+    with pytest.raises(Exception, match="the alias 다라 names B and X"):
+        regions.link_builders(n, c, spark.createDataFrame([("다라", "B"), ("다라", "X")], "name_key string, corp_code string")).collect()
+    got = {r.id: (r.status, r.corp_code) for r in regions.link_builders(n, c, spark.createDataFrame([("다라", "B"), ("다라", "B"), ("가나", "X")], "name_key string, corp_code string")).collect()}
+    assert got == {1: ("MATCHED", "A"), 2: ("MATCHED", "B")}
+
+
+def test_a_dash_is_no_address_and_dictionaries_are_bounded(spark, monkeypatch):
+    t = spark.createDataFrame([("-",), (" - ",), ("- -",), ("어딘가",)], "text string")
+    r = spark.createDataFrame([("11110", "종로구", "서울", 2, None)], "region_cd string, name string, sido_name string, level int, parent_cd string")
+    assert {x.text: x.match for x in regions.match_addresses(t, r, {}).collect()} == {"-": "NONE", " - ": "NONE", "- -": "UNKNOWN", "어딘가": "UNKNOWN"}
+    monkeypatch.setattr(regions, "MOST_REGIONS", 0)
+    with pytest.raises(ValueError, match="regions"):
+        regions.match_addresses(t, r, {})
+
+
+def test_classes_of_equal_frequency(spark):
+    def plain(values):
+        v = sorted(values)
+        breaks = sorted({v[int(i / 7 * (len(v) - 1))] for i in range(1, 7)})
+        return {x: sum(x > b for b in breaks) + 6 - len(breaks) for x in values}
+
+    draw = random.Random(3)
+    groups = {"a": [draw.randrange(50) for _ in range(200)], "b": [1, 1, 1], None: [-3, 8], "d": [5]}
+    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("a", None), ("a", float("nan")), ("e", None)]
+    for width in (0.5, 7.0, 1000.0):
+        got = {(r.k, r.v, r["class"]) for r in grids.quantile_classes(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", width).collect() if r.v is not None and r.v == r.v}
+        assert got == {(k, float(x), c) for k, xs in groups.items() for x, c in plain(xs).items()}
+    none = grids.quantile_classes(spark.createDataFrame(rows, "k string, v double").where("v IS NULL OR isnan(v)"), ["k"], "v", 1.0).collect()
+    assert len(none) == 3 and all(r["class"] is None for r in none)

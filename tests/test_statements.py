@@ -113,3 +113,23 @@ def test_raw_lines_to_standard_rows(spark, dictionaries):
     assert got == {("2025Q1", "CUM"): 100, ("2025Q2", "CUM"): 250, ("2025Q1", "QTR"): 100, ("2025Q2", "QTR"): 150}
     empty = statements.standardize(spark.createDataFrame([], schema), *dictionaries)
     assert empty.count() == 0 and statements.facts(out).where(F.col("revenue") == 250).count() == 1
+
+
+def test_accounts_that_a_user_adds_are_summed_in_their_order(spark, dictionaries):
+    """A line that an earlier account claims is not counted by a later one."""
+    accounts, rules = dictionaries
+    accounts = accounts.unionByName(spark.createDataFrame([("LEASES", "BS", "POINT", "SUM", 9)], ACCOUNTS))
+    more = [(20, "LEASES", None, "NAME_REGEX", "(유동)?리스부채", 10, False, None), (21, "LEASES", None, "NAME_EXACT", "장기차입금", 20, False, None)]
+    rules = rules.unionByName(spark.createDataFrame(more, RULES))
+    rows = [("BS", 1, None, "장기차입금", 70), ("BS", 2, None, "유동리스부채", 3), ("BS", 3, None, "리스부채", 4)]
+    got = values(spark, (accounts, rules), rows)
+    assert got["LONG_BORROWINGS"][0] == 70 and got["LEASES"] == (7, "유동리스부채 + 리스부채", "POINT")
+    first = spark.createDataFrame([("LEASES", "BS", "POINT", "SUM", 1)], ACCOUNTS).unionByName(accounts.where("std_code != 'LEASES'"))
+    got = values(spark, (first, rules), rows)
+    assert got["LEASES"][0] == 77 and "LONG_BORROWINGS" not in got
+
+
+def test_rules_are_bounded(spark, dictionaries, monkeypatch):
+    monkeypatch.setattr(statements, "MOST_RULES", 0)
+    with pytest.raises(ValueError, match="more than 0"):
+        values(spark, dictionaries, [("BS", 1, None, "사채", 1)])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import periods, stats
-from tidewatch.operators import ordered
+from tidewatch.operators import grids, ordered
 
 #: Days between signals up to which they are one episode, and days a company has to be observed before its event.
 GAP_DAYS, LEAST_OBSERVED = 200, 90
@@ -127,8 +127,11 @@ def event_study(events: DataFrame, bars: DataFrame, h: int, least_peers: int = 5
 
 
 def study_stats(studied: DataFrame) -> DataFrame:
-    """One row for each rule: n, mean, median and t statistic of the excess, share of negative ones."""
-    return studied.where("status = 'USED'").groupBy("rule_code").agg(F.count("*").alias("n"), F.avg("excess").alias("mean"), F.median("excess").alias("median"), stats.t_stat(F.col("excess")).alias("t"), F.avg((F.col("excess") < 0).cast("double")).alias("negative_share"))
+    """One row for each rule: n, mean, median and t statistic of the excess, share of negative ones. No task holds a rule's rows."""
+    used = studied.where("status = 'USED'")
+    sums = used.groupBy("rule_code").agg(F.count("*").alias("n"), F.avg("excess").alias("mean"), stats.t_stat(F.col("excess")).alias("t"), F.avg((F.col("excess") < 0).cast("double")).alias("negative_share"))
+    middle = grids.exact_median(used, ["rule_code"], "excess", 0.01)
+    return sums.join(middle, "rule_code", "left").select("rule_code", "n", "mean", "median", "t", "negative_share")
 
 
 def best_rule(scored: DataFrame) -> DataFrame:

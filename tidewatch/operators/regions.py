@@ -10,8 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import periods, status
+from tidewatch.operators import grids
 from tidewatch.session import ship
 
+#: Width of the bins that prices per square metre are counted by before the middle ones are ordered; it changes no result.
+PRICE_STEP = 10.0
+#: Regions are a dictionary of some hundred rows; one with more rows than this is taken for another table.
+MOST_REGIONS = 100_000
+
 
 def trade_series(trades: DataFrame, ledger: DataFrame, regions: DataFrame) -> DataFrame:
     """(stat, region, period, value): TRADE_COUNT, CANCEL_COUNT and PRICE_M2_MEDIAN of each district and month.
@@ -27,7 +33,10 @@ def trade_series(trades: DataFrame, ledger: DataFrame, regions: DataFrame) -> Da
     whole = got.join(need, "region").where("_got = _need").select("region", "deal_ym")
     live = ~F.col("cancelled")
     price = F.col("deal_amount") / F.col("exclu_use_ar")
-    sums = trades.join(unit, "lawd_cd").groupBy("region", "deal_ym").agg(F.count_if(live).alias("TRADE_COUNT"), F.count_if(F.col("cancelled")).alias("CANCEL_COUNT"), F.percentile(F.when(live, price), F.lit(0.5)).cast("decimal(18,2)").alias("PRICE_M2_MEDIAN"))
+    own = trades.join(unit, "lawd_cd").withColumn("_price", F.when(live, price))
+    sums = own.groupBy("region", "deal_ym").agg(F.count_if(live).alias("TRADE_COUNT"), F.count_if(F.col("cancelled")).alias("CANCEL_COUNT"))
+    middle = grids.exact_median(own, ["region", "deal_ym"], "_price", PRICE_STEP, "PRICE_M2_MEDIAN").withColumn("PRICE_M2_MEDIAN", F.col("PRICE_M2_MEDIAN").cast("decimal(18,2)"))
+    sums = sums.join(middle, ["region", "deal_ym"], "left")
     out = whole.join(sums, ["region", "deal_ym"], "left").fillna(0, ["TRADE_COUNT", "CANCEL_COUNT"])
     wide = out.select("region", F.col("deal_ym").cast("string").alias("period"), *[F.col(c).cast("decimal(24,4)").alias(c) for c in ("TRADE_COUNT", "CANCEL_COUNT", "PRICE_M2_MEDIAN")])
     return wide.unpivot(["region", "period"], ["TRADE_COUNT", "CANCEL_COUNT", "PRICE_M2_MEDIAN"], "stat", "value").where("value is not null")
@@ -95,7 +104,10 @@ def match_addresses(texts: DataFrame, regions: DataFrame, provinces: dict[str, s
     ship(texts.sparkSession)
     known: dict[tuple[str, str], str] = {}
     once: dict[str, list[tuple[str, str]]] = {}
-    for r in regions.collect():
+    rows = regions.limit(MOST_REGIONS + 1).collect()
+    if len(rows) > MOST_REGIONS:
+        raise ValueError(f"more than {MOST_REGIONS} regions")
+    for r in rows:
         top = r["parent_cd"] if r["level"] == 3 else r["region_cd"]
         known[(r["sido_name"], r["name"].replace(" ", ""))] = top
         if r["level"] == 2:
@@ -103,7 +115,7 @@ def match_addresses(texts: DataFrame, regions: DataFrame, provinces: dict[str, s
 
     def place(text: str | None) -> tuple[str, str | None, str | None]:
         tokens = [t for t in _TOKENS.split(text or "") if t]
-        if not tokens:
+        if not tokens or (text or "").strip() == "-":
             return "NONE", None, None
         sido = None
         for i, t in enumerate(tokens):
@@ -139,10 +151,14 @@ def match_addresses(texts: DataFrame, regions: DataFrame, provinces: dict[str, s
 def link_builders(notices: DataFrame, companies: DataFrame, aliases: DataFrame) -> DataFrame:
     """``notices`` (id, name_key) with status, method, corp_code and candidates.
 
-    An alias of a known company comes first, then the one company of that key; several are AMBIGUOUS.
+    An alias of a known company comes first, then the one company of that key; several are AMBIGUOUS. An alias that names two
+    companies, known or not, is a fault in the dictionary: the query fails and tells it.
     ``companies``: corp_code, name_key; ``aliases``: name_key, corp_code.
     """
-    a = aliases.join(companies.select("corp_code").distinct(), "corp_code", "left_semi").groupBy("name_key").agg(F.max("corp_code").alias("_alias"))
+    both = aliases.where("name_key IS NOT NULL AND corp_code IS NOT NULL").groupBy("name_key").agg(F.min("corp_code").alias("_one"), F.max("corp_code").alias("_other"))
+    fault = F.raise_error(F.concat(F.lit("the alias "), "name_key", F.lit(" names "), "_one", F.lit(" and "), "_other"))
+    a = both.select("name_key", F.when(F.col("_one") == F.col("_other"), F.col("_one")).otherwise(fault).alias("_alias"))
+    a = a.join(companies.select(F.col("corp_code").alias("_alias")).distinct(), "_alias", "left_semi")
     k = companies.groupBy("name_key").agg(F.sort_array(F.collect_set("corp_code")).alias("_codes"))
     both = notices.join(a, "name_key", "left").join(k, "name_key", "left")
     n = F.coalesce(F.size("_codes"), F.lit(0))

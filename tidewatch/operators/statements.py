@@ -11,8 +11,8 @@ from tidewatch.functions import names, periods, status
 
 #: From this priority on a rule is a fallback.
 FALLBACK = 50
-#: The accounts whose lines are claimed, in their order.
-SUMS = ("SHORT_BORROWINGS", "LONG_BORROWINGS", "BONDS")
+#: Accounts and rules are dictionaries that people write; one with more rows than this is taken for another table.
+MOST_RULES = 10_000
 
 
 def decumulate(df: DataFrame, keys: Sequence[str], ordinal: str, cum: str, name: str, kind: str | None = None) -> DataFrame:
@@ -47,8 +47,8 @@ def picks(lines: DataFrame, accounts: DataFrame, rules: DataFrame, keys: Sequenc
     ``lines``: keys, sj_div, line_no, account_id, account_nm, amount. ``accounts``: std_code, sj_div,
     flow_type, agg (FIRST or SUM), sort_order. ``rules``: map_id, std_code, sj_div (null: the account's),
     match_type (ACCOUNT_ID, NAME_EXACT, NAME_REGEX), pattern, priority, abs_value, section (null: any).
-    Values are the sums of these, so explanation and value are one computation. Rules and accounts are
-    dictionaries of tens of rows.
+    Values are the sums of these, so explanation and value are one computation. Lines are claimed by the SUM accounts in their
+    order, each line by one of them at most. Rules and accounts are dictionaries of tens of rows; ValueError beyond MOST_RULES.
     """
     keys = list(keys)
     lines = sections(lines, keys)
@@ -58,12 +58,18 @@ def picks(lines: DataFrame, accounts: DataFrame, rules: DataFrame, keys: Sequenc
     r = r.join(accounts.withColumnRenamed("sj_div", "std_sj"), "std_code").withColumn("want", F.coalesce("rule_sj", "std_sj"))
     l = lines.where("amount is not null")
     place = (F.col("want") == F.col("sj_div")) | ((F.col("want") == "IS") & (F.col("sj_div") == "CIS"))
-    how = (
-        F.when(F.col("match_type") == "ACCOUNT_ID", F.col("account_id") == F.col("pattern"))
-        .when(F.col("match_type") == "NAME_EXACT", F.col("norm") == names.account_name(F.col("pattern")))
-        .otherwise(F.expr("norm rlike concat('^(?:', pattern, ')$')"))
-    )
-    hits = l.join(F.broadcast(r), place & how & (F.col("rule_section").isNull() | (F.col("rule_section") == F.col("section"))))
+    fits = place & (F.col("rule_section").isNull() | (F.col("rule_section") == F.col("section")))
+    # ids and names meet on equal keys; expressions are tried on each distinct name once, and they are few
+    kind = lambda x: r.where(F.col("match_type") == x)
+    by_id = l.join(kind("ACCOUNT_ID").drop("norm"), (F.col("account_id") == F.col("pattern")) & fits)
+    by_name = l.join(kind("NAME_EXACT").withColumn("_name", names.account_name(F.col("pattern"))), (F.col("norm") == F.col("_name")) & fits).drop("_name")
+    regex = r.where("match_type NOT IN ('ACCOUNT_ID', 'NAME_EXACT')")
+    n_rules = regex.limit(MOST_RULES + 1).count()
+    if n_rules > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    tried = l.select("norm").where("norm IS NOT NULL").distinct().join(F.broadcast(regex), F.expr("norm rlike concat('^(?:', pattern, ')$')")).withColumnRenamed("norm", "_name")
+    by_regex = l.join(tried, (F.col("norm") == F.col("_name")) & fits).drop("_name")
+    hits = by_id.unionByName(by_name).unionByName(by_regex)
     hits = hits.withColumn("value", F.when(F.col("abs_value"), F.abs("amount")).otherwise(F.col("amount")))
     out_columns = [*keys, "std_code", "map_id", "sj_div", "line_no", "account_nm", "flow_type", "value"]
 
@@ -71,7 +77,10 @@ def picks(lines: DataFrame, accounts: DataFrame, rules: DataFrame, keys: Sequenc
     out = hits.where("agg = 'FIRST'").withColumn("_k", F.row_number().over(order)).where("_k = 1").select(out_columns)
 
     taken = None
-    for code in SUMS:
+    summed = accounts.where("agg = 'SUM'").orderBy("sort_order", "std_code").select("std_code").limit(MOST_RULES + 1).collect()
+    if len(summed) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} accounts")
+    for (code,) in summed:
         own = hits.where((F.col("std_code") == code) & (F.col("agg") == "SUM") & ~F.col("_echo"))
         if taken is not None:
             own = own.join(taken, [*keys, "sj_div", "line_no"], "left_anti")

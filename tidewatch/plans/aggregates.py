@@ -197,7 +197,9 @@ def integer_median(spark, sf_dir):
     """Median number of orders by segment, cut to an integer."""
     m = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
     c = table(spark, sf_dir, "customer")
-    return m.join(c, m.o_custkey == c.c_custkey).groupBy("c_mktsegment").agg(stats.int_median(F.col("n")).alias("median_n"), F.count("*").alias("customers"))
+    n = m.join(c, m.o_custkey == c.c_custkey)
+    middle = grids.exact_median(n, ["c_mktsegment"], "n", 1.0).select("c_mktsegment", F.floor("median").cast("long").alias("median_n"))
+    return n.groupBy("c_mktsegment").agg(F.count("*").alias("customers")).join(middle, "c_mktsegment")
 
 
 @query(f"""
@@ -247,3 +249,28 @@ def month_axis_counts(spark, sf_dir):
     """Orders on a generated month axis, months without orders included."""
     o = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyyMM").alias("month")).agg(F.count("*").alias("n"))
     return grids.zero_filled(grids.months(spark, "199501", "200112"), o, ["month"], ["n"])
+
+
+_CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
+
+
+@query(f"""
+WITH v AS (SELECT o_orderkey, c_nationkey, {_CENTS} AS cents FROM orders JOIN customer ON o_custkey = c_custkey),
+r AS (SELECT c_nationkey, cents, row_number() OVER w - 1 AS rank, count(*) OVER (PARTITION BY c_nationkey) AS n FROM v WINDOW w AS (PARTITION BY c_nationkey ORDER BY cents)),
+b AS (SELECT c_nationkey, list_sort(list_distinct(list(cents))) AS breaks FROM r, (SELECT unnest(range(1, 7)) AS i) WHERE rank = CAST(floor(i::DOUBLE / 7 * (n - 1)) AS BIGINT) GROUP BY 1)
+SELECT o_orderkey, CAST(len(list_filter(breaks, lambda x: v.cents > x)) + 6 - len(breaks) AS INTEGER) AS class FROM v JOIN b ON v.c_nationkey = b.c_nationkey
+""")
+def seven_classes(spark, sf_dir):
+    """The class of each order's amount among its nation's, seven of equal frequency, as maps are coloured."""
+    c = F.col
+    v = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey")).select("o_orderkey", "c_nationkey", F.round(c("o_totalprice") * 100).cast("long").alias("cents"))
+    return grids.quantile_classes(v, ["c_nationkey"], "cents", 100_000.0).select("o_orderkey", c("class").cast("int").alias("class"))
+
+
+@query(f"""
+WITH v AS (SELECT c_custkey, c_mktsegment, c_acctbal AS v, max(abs(c_acctbal)) OVER (PARTITION BY c_mktsegment) / 3 AS s FROM customer)
+SELECT c_custkey, CAST((v > -2 * s)::INT + (v > -s)::INT + (v > -s / 6)::INT + (v > s / 6)::INT + (v > s)::INT + (v > 2 * s)::INT AS INTEGER) AS class FROM v
+""")
+def seven_signed_classes(spark, sf_dir):
+    """The class of each customer's balance around 0, by its segment's greatest."""
+    return grids.signed_classes(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal").select("c_custkey", F.col("class").cast("int").alias("class"))

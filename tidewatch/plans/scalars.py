@@ -133,3 +133,18 @@ def number_cleaning(spark, sf_dir):
     k = F.col("o_orderkey") % 5
     raw = F.when(k == 0, "-").when(k == 1, F.format_number("o_custkey", 0)).when(k == 2, F.concat(F.lit("-"), F.col("o_custkey").cast("string"))).when(k == 3, "N/A").otherwise(" 1,234.5 ")
     return table(spark, sf_dir, "orders").select("o_orderkey", names.number(raw).cast("double").alias("value"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS n FROM part),
+u AS (SELECT p_partkey, n, list_filter(range(1, len(n) + 1), lambda i: list_position(n, n[i]) = i) AS first FROM t)
+SELECT p_partkey, array_to_string(list_transform(first, lambda i: n[i]), '|') AS names, CASE p_partkey % 4 WHEN 1 THEN 2 ELSE 0 END AS extra, p_partkey % 4 = 2 AS more FROM u
+""")
+def consortium_members(spark, sf_dir):
+    """Members of consortia written in several ways: names once each, uncounted and counted others."""
+    form = F.element_at(F.array(*map(F.lit, (" 컨소시엄", " 외 2개사", " 등", ""))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    first = F.get(F.split("p_name", " "), F.lit(0))
+    raw = F.concat(F.regexp_replace("p_name", " ", "(주), "), F.lit(" , ㈜"), first, form)
+    s = table(spark, sf_dir, "part").select("p_partkey", names.consortium(raw).alias("c"))
+    bare = F.transform("c.names", lambda x: F.regexp_replace(x, r"\(주\)|㈜", ""))
+    return s.select("p_partkey", F.array_join(bare, "|").alias("names"), "c.extra", "c.more")
