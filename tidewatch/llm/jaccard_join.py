@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm import common
+from tidewatch.llm import common, tokens
 
 SHINGLE = 5
 #: Similarity at least NUM / DEN.
@@ -77,6 +77,7 @@ def count_slots(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed slots of all documents' shingles."""
 
     def count(batches):
+        tokens.forget()  # workers are kept, and so would be the words of an earlier job in them
         held, n = [], 0
         for batch in batches:
             for _, _, _, key in shingles(batch.column(0)):

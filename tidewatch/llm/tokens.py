@@ -46,6 +46,12 @@ def _load(path: str):
     return _LOADED[path]
 
 
+def forget() -> None:
+    """Give back what this process remembers of words."""
+    for _, known in _LOADED.values():
+        known.clear()
+
+
 def encode(texts: list[str | None], path: str) -> list[bytes]:
     """Of each text its ids as little-endian unsigned 32-bit integers; a null text is an empty one."""
     tokenizer, known = _load(path)
