@@ -9,7 +9,7 @@ _ORACLE: dict = {}
 
 
 def _load() -> None:
-    from tidewatch.plans import aggregates, alerts, domain, evaluation, exposure, joins, lineage, scalars, series, sites, upkeep  # noqa: F401  they register themselves
+    from tidewatch.plans import aggregates, alerts, domain, evaluation, exposure, joins, lineage, scalars, series, sites, statements, upkeep  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

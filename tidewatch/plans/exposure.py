@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import pf_exposure
+from tidewatch.operators import exposure, pf_exposure
 from tidewatch.plans import query, table
 
 _DUE = ["3개월 이내", "3개월 초과 6개월 이내", "6개월 초과 12개월 이내", "1년 초과 2년 이내", "2년 초과 3년 이내", "3년 초과"]
@@ -87,3 +87,45 @@ def pf_sites(spark, sf_dir):
     kind = F.when(c("pf_type") == "본PF", "main").otherwise("bridge")
     debtor = F.regexp_extract("debtor", "[0-9]+", 0).cast("long")
     return s.groupBy("o_custkey", place.alias("place"), category.alias("category"), kind.alias("kind")).agg(F.count("*").alias("n"), (F.sum("guarantee") / 1_000_000).cast("long").alias("guarantee"), F.min(debtor).cast("string").alias("first_debtor"))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, o_orderpriority AS p, CAST(o_orderdate AS DATE) AS d, CAST(round(o_totalprice) AS BIGINT) AS v FROM orders),
+unsold AS (SELECT n_nationkey AS r, n_nationkey AS value FROM nation WHERE n_nationkey % 4 <> 0),
+j AS (SELECT o.*, CASE WHEN k % 7 <> 0 THEN k % 25 END AS r, value FROM o LEFT JOIN unsold ON k % 7 <> 0 AND unsold.r = k % 25 WHERE d >= DATE '1997-01-01'),
+contracts AS (SELECT c, count(*) AS n, sum(v) AS total, sum(v) FILTER (r IS NOT NULL) AS mapped, sum(v) FILTER (value >= 12) AS risky, count(*) FILTER (value >= 12) AS n_risky FROM j WHERE s = 'F' AND k % 11 <> 0 GROUP BY 1),
+g AS (SELECT c, v, d, k % 3 AS equity, row_number() OVER (PARTITION BY c ORDER BY d DESC, k::VARCHAR DESC) AS place, sum(v) FILTER (k % 2 = 0) OVER (PARTITION BY c) AS pf FROM j WHERE s = 'O' AND k % 5 <> 0),
+alerts AS (SELECT c, count(*) AS n FROM o WHERE p = '1-URGENT' AND s <> 'F' GROUP BY 1),
+pf AS (SELECT c, year(d) || 'Q' || quarter(d) AS q, max(v) AS v, max(k) AS k FROM o WHERE s = 'P' GROUP BY c, year(d), quarter(d) QUALIFY row_number() OVER (PARTITION BY c ORDER BY year(d) || 'Q' || quarter(d) DESC) = 1),
+presales AS (SELECT c, count(*) AS n, sum(k % 500) AS units, sum(k % 500) FILTER (value IS NOT NULL) AS judged, sum(k % 500) FILTER (value >= 12) AS risky, sum(k % 50) FILTER (k % 4 = 0) AS remaining FROM j WHERE p = '3-MEDIUM' AND k % 3 <> 0 GROUP BY 1)
+SELECT c_custkey AS corp_code, c_name AS corp_name, coalesce(contracts.n, 0) AS n_contracts, CAST(total AS BIGINT) AS total, CAST(mapped AS BIGINT) AS mapped, CAST(contracts.risky AS BIGINT) AS risky,
+  CASE WHEN mapped > 0 THEN (coalesce(contracts.risky, 0) * 20000 + mapped) // (mapped * 2) / 100.0 END AS risky_share, coalesce(n_risky, 0) AS n_risky,
+  CASE WHEN equity > 0 THEN (g.v * 20000 + equity * 1000) // (equity * 2000) / 100.0 END AS guarantee_ratio, g.d AS guarantee_date, CAST(g.pf AS BIGINT) AS pf_guaranteed, coalesce(alerts.n, 0) AS open_alerts,
+  pf.q AS pf_period, CASE WHEN pf.k % 3 <> 0 THEN pf.v END AS pf_to_equity, CASE WHEN pf.k % 2 = 0 THEN pf.v // 2 END AS pf_due_to_equity,
+  coalesce(presales.n, 0) AS n_presales, CAST(units AS BIGINT) AS presale_units, CAST(CASE WHEN presales.risky > 0 THEN presales.risky END AS BIGINT) AS presale_risky, CASE WHEN judged > 0 THEN (coalesce(presales.risky, 0) * 20000 + judged) // (judged * 2) / 100.0 END AS presale_risky_share,
+  CAST(remaining AS BIGINT) AS remaining_units, CASE WHEN pf.q IS NOT NULL THEN CASE WHEN pf.k % 3 <> 0 THEN 'OK' ELSE 'NEG_EQUITY' END END AS pf_status
+FROM customer LEFT JOIN contracts ON contracts.c = c_custkey LEFT JOIN g ON g.c = c_custkey AND place = 1 LEFT JOIN alerts ON alerts.c = c_custkey LEFT JOIN pf ON pf.c = c_custkey LEFT JOIN presales ON presales.c = c_custkey
+WHERE c_custkey % 6 <> 0
+""")
+def exposure_summary(spark, sf_dir):
+    """All that a company is exposed to in 21 columns, customers as companies and their orders as filings, notices and alerts."""
+    c = F.col
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("k"), c("o_custkey").alias("corp_code"), c("o_orderstatus").alias("s"), c("o_orderpriority").alias("p"), c("o_orderdate").cast("date").alias("d"), F.round("o_totalprice").cast("long").alias("v"))
+    region = F.when(c("k") % 7 != 0, c("k") % 25).alias("region_cd")
+    none = F.lit(None).cast("string")
+    companies = table(spark, sf_dir, "customer").select(c("c_custkey").alias("corp_code"), c("c_name").alias("corp_name"), (c("c_custkey") % 6 != 0).alias("is_target"))
+    contracts = o.where("s = 'F'").select("corp_code", c("d").alias("rcept_dt"), c("v").alias("amount"), region, F.when(c("k") % 11 == 0, "x").alias("superseded_by"), none.alias("terminated_by"))
+    guarantees = o.where("s = 'O'").select("corp_code", c("k").cast("string").alias("rcept_no"), c("d").alias("rcept_dt"), (c("k") % 3 * 1000).alias("equity"), c("v").alias("total_balance"), F.when(c("k") % 2 == 0, c("v")).alias("pf_amount"), F.when(c("k") % 5 == 0, "x").alias("superseded_by"))
+    alerts = o.where("p = '1-URGENT'").select(F.lit("COMPANY").alias("target_type"), c("corp_code").alias("target"), F.when(c("s") == "F", "CLOSED").otherwise("OPEN").alias("status"))
+    q = o.where("s = 'P'").groupBy("corp_code", F.concat(F.year("d"), F.lit("Q"), F.quarter("d")).alias("period_key")).agg(F.max("v").alias("v"), F.max("k").alias("k"))
+    metric = lambda code, value, ok: q.select("corp_code", "period_key", F.lit(code).alias("metric_code"), value.cast("long").alias("value"), F.when(ok, "OK").otherwise("NEG_EQUITY").alias("status"))
+    metrics = metric("PF_GUARANTEE_TO_EQUITY", c("v"), c("k") % 3 != 0).unionByName(metric("PF_DUE_12M_TO_EQUITY", F.floor(c("v") / 2), c("k") % 2 == 0))
+    n = o.where("p = '3-MEDIUM'")
+    presales = n.select(c("k").alias("notice"), c("d").alias("notice_date"), (c("k") % 500).alias("units"), region, none.alias("removed_at"))
+    builders = n.select(c("k").alias("notice"), "corp_code", F.when(c("k") % 3 != 0, "MATCHED").otherwise("UNMATCHED").alias("status"))
+    remainders = n.where("k % 4 = 0").select(c("k").alias("notice"), c("d").alias("notice_date"), (c("k") % 50).alias("units"), none.alias("removed_at"))
+    unsold = table(spark, sf_dir, "nation").where("n_nationkey % 4 != 0").select(c("n_nationkey").cast("long").alias("region_cd"), c("n_nationkey").alias("value"))
+    reports = q.select("corp_code", "period_key", c("k").cast("string").alias("rcept_no"))
+    found = exposure.summary(companies, contracts, guarantees, alerts, reports, metrics, presales, builders, remainders, unsold, "1997-01-01", 12)
+    shares = ("risky_share", "guarantee_ratio", "presale_risky_share")
+    return found.withColumns({x: c(x).cast("double") for x in shares})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import sites
+from tidewatch.operators import sites, spatial
 from tidewatch.plans import query, table
 
 
@@ -33,3 +33,25 @@ def site_markets(spark, sf_dir):
     anchors = t.where("lawd_cd % 2 = 0 OR deal_ym < 199512").groupBy(F.col("lawd_cd").alias("region_cd")).agg(F.max("deal_ym").alias("ym"))
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("region_cd"), F.col("n_nationkey").alias("lawd_cd"), F.explode(F.array(F.lit("BUILDING"), F.lit("MACHINERY 1"))).alias("umd"))
     return sites.markets(n, anchors, t).drop("region_cd", "ym")
+
+
+_SHAPES = """
+WITH n AS (SELECT n_nationkey AS k, -500.0 + (n_nationkey % 5) * 2200 AS cx, 500.0 + (n_nationkey // 5) * 2000 AS cy FROM nation),
+e AS (SELECT k, cx - 900 AS x, cy - 700 AS y, cx + 1300 AS x2, cy - 200 AS y2 FROM n UNION ALL SELECT k, cx + 1300, cy - 200, cx, cy + 950 FROM n UNION ALL SELECT k, cx, cy + 950, cx - 900, cy - 700 FROM n
+  UNION ALL SELECT k, cx + a, cy + b, cx + c, cy + d FROM n, (VALUES (-200, -200, 200, -200), (200, -200, 200, 200), (200, 200, -200, 200), (-200, 200, -200, -200)) AS v(a, b, c, d) WHERE k % 3 = 0),
+p AS (SELECT c_custkey, c_acctbal AS px, CAST(c_custkey * 37 % 10007 AS DOUBLE) AS py FROM customer)
+"""
+
+
+@query(_SHAPES + """
+SELECT c_custkey, k AS nation FROM p JOIN e ON least(y, y2) <= py AND py < greatest(y, y2) AND px < x + (py - y) * (x2 - x) / (y2 - y) GROUP BY 1, 2 HAVING count(*) % 2 = 1
+""")
+def places_in_regions(spark, sf_dir):
+    """Customers placed on a map and the regions, some with a hole, that they lie in."""
+    c = F.col
+    n = table(spark, sf_dir, "nation").select(c("n_nationkey").alias("region"), (c("n_nationkey") % 5 * 2200 - 500.0).alias("cx"), (F.floor(c("n_nationkey") / 5) * 2000 + 500.0).alias("cy"))
+    ring = lambda *corners: F.array(*[F.struct((c("cx") + x).alias("x"), (c("cy") + y).alias("y")) for x, y in corners])
+    outline, hole = ring((-900, -700), (1300, -200), (0, 950)), ring((-200, -200), (200, -200), (200, 200), (-200, 200))
+    shapes = n.select("region", F.when(c("region") % 3 == 0, F.array(outline, hole)).otherwise(F.array(outline)).alias("rings"))
+    points = table(spark, sf_dir, "customer").select("c_custkey", c("c_acctbal").alias("x"), (c("c_custkey") * 37 % 10007).cast("double").alias("y"))
+    return spatial.located(points, shapes, 500.0).select("c_custkey", c("region").alias("nation"))
