@@ -77,14 +77,18 @@ def consortium(raw: Column) -> Column:
 
     Of names that are alike but for company forms, divisions, marks and case the first one stays.
     """
-    text = F.trim(raw)
-    others = r"\s*외\s*([0-9]{1,2})\s*(?:개사|개|사)?\s*$"
-    counted = text.rlike(others)
-    extra = F.when(counted, F.regexp_extract(text, others, 1).cast("int")).otherwise(F.lit(0))
-    more = ~counted & text.rlike(r"\s등\s*$")
-    body = F.when(counted, F.regexp_replace(text, others, "")).when(more, F.regexp_replace(text, r"\s+등\s*$", "")).otherwise(text)
-    body = F.regexp_replace(body, r"\s*컨소시엄\s*$", "")
-    parts = F.transform(F.split(body, r"\s*[,/、·ㆍ]\s*"), lambda x: F.trim(x))
+    text = F.rtrim(F.regexp_replace(F.trim(raw), r"\s", " "))
+    cut = lambda x, n: F.rtrim(F.left(x, F.length(x) - n))
+    # how many others: a number behind the word for them, with or without a unit
+    bare = F.rtrim(F.regexp_replace(text, "(개사|개|사)$", ""))
+    number_ = F.regexp_extract(bare, "([0-9]{1,2})$", 1)
+    before = cut(bare, F.length(number_))
+    counted = (number_ != "") & before.endswith("외")
+    extra = F.when(counted, number_.cast("int"))
+    more = ~counted & text.endswith(" 등")
+    body = F.when(counted, cut(before, 1)).when(more, cut(text, 1)).otherwise(text)
+    body = F.when(body.endswith("컨소시엄"), cut(body, 4)).otherwise(body)
+    parts = F.transform(F.split(F.translate(body, "/、·ㆍ", ",,,,"), ","), lambda x: F.trim(x))
     key = lambda x: _stripped(F.regexp_replace(x, _DIVISION, ""))
     keys = F.transform(parts, key)
     first = F.filter(parts, lambda x, i: (key(x) != "") & (F.array_position(keys, key(x)) == i + 1))

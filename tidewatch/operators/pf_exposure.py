@@ -7,6 +7,9 @@ due columns may be believed. Everything of a document stays in one partition, de
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +24,16 @@ ALL_CELLS = ["전체", "전체분", "컨소시엄전체", "컨소시엄전체분
 SHARE_CELLS = ["당사분", "회사분", "연결회사분", "연결분", "지분", "부담분"]
 #: Names that the columns of a summary and of a table of sites have among them. Fixed values.
 SUMMARY_NAMES, SITE_NAMES = ["구분", "종류", "보증한도", "보증금액", "대출잔액"], ["사업지역", "신용보강", "보증금액"]
+#: How a table of guarantees for related parties is announced, how one of completion commitments, and what says that a text leaves something out. Fixed values.
+RELATED = ["특수관계자에게", "특수관계자에대한", "특수관계자의채무", "특수관계자에제공"]
+COMPLETION = ["약정세부", "약정현황"]
+LEFT_OUT = ["제외", "미포함", "불포함", "포함하지않", "포함되지않"]
+#: What a cell of a row that is no site has among its words, whose amounts a column gives, and how a text says that there is nothing. Fixed values.
+NO_SITE = ["조기상환조항", "기타사항", "소계", "합계", "단독사업계", "컨소시엄계"]
+OWN_AMOUNTS = ["연결", "당사", "회사"]
+NOTHING = ["없습니다", "없음", "제공하지않"]
+#: Longest label of a sum.
+SUM_LABEL = 21
 #: The standard due buckets in months from now; the last one is open.
 OPEN = 2**31 - 1
 BUCKETS = {"m3": (0, 3), "m6": (3, 6), "m12": (6, 12), "y2": (12, 24), "y3": (24, 36), "over3": (36, OPEN)}
@@ -104,6 +117,17 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s ]", ""), r"\(\*\d*\)", "")
 
 
+def _any(text: Column, words: list[str]) -> Column:
+    """Whether a text has one of the words."""
+    return reduce(or_, [text.contains(w) for w in words])
+
+
+def _is_sum(label: Column) -> Column:
+    """Whether a label, what is in brackets aside, is a short one that ends in the word for a sum."""
+    bare = F.regexp_replace(label, r"\(.*", "")
+    return bare.endswith("계") & (F.length(bare) <= SUM_LABEL)
+
+
 def unit(text: Column) -> Column:
     """How many won the unit in a text stands for; millions where none is named."""
     named = F.regexp_extract(text, "단위[^)]*?(백만원|천원|억원|원)", 1)
@@ -125,10 +149,10 @@ def part_of_others(text: Column) -> Column:
     """Whether the words before a table say that it repeats a part of others (related parties), or is of another kind (infrastructure, completion)."""
     flat = F.regexp_replace(text, r"\s+", "")
     # a note that related parties are contained in the table above is no heading
-    related = F.right(flat, F.lit(200)).rlike("특수관계자(?:에게|에대한|의채무|에제공)(?![^.]*포함)")
+    related = F.exists(F.split(F.right(flat, F.lit(200)), "[.]"), lambda x: _any(x, RELATED) & ~x.contains("포함"))
     near = F.right(flat, F.lit(150))
-    outside = near.contains("SOC") & ~near.rlike("제외|[미불]포함|포함(?:하지|되지)않")
-    return related | outside | near.rlike("책임준공(?:미이행시조건부채무인수)?약정(?:세부|현황)")
+    outside = near.contains("SOC") & ~_any(near, LEFT_OUT)
+    return related | outside | (near.contains("책임준공") & _any(near, COMPLETION))
 
 
 def stated_total(flat: Column) -> Column:
@@ -187,7 +211,9 @@ def lines(documents: DataFrame, key: str, html: str) -> DataFrame:
 
     # headings: the first row below the top with two numbers or more ends them
     plain = F.transform("cells", squeezed)
-    numeric = lambda x: F.regexp_replace(x, "[(),%-]", "").rlike(r"^[0-9]+(\.[0-9]+)?$") & ~x.rlike(r"^[0-9]{4}\.?[0-9]{0,2}\.?[0-9]{0,2}$")
+    # a year, month or day, written in digits and dots
+    dated = lambda x: x.rlike("^[0-9.]+$") & F.length(F.regexp_replace(x, "[.]", "")).between(4, 8)
+    numeric = lambda x: F.regexp_replace(x, "[(),%-]", "").rlike(r"^[0-9]+(\.[0-9]+)?$") & ~dated(x)
     rows = rows.withColumn("_plain", plain).withColumn("_two", (c("row_no") > 0) & (F.size(F.filter("_plain", numeric)) >= 2))
     rows = rows.withColumn("_h", F.min(F.when(c("_two"), c("row_no"))).over(table))
     heads = F.transform(F.array_sort(F.collect_list(F.when(c("row_no") < c("_h"), F.struct("row_no", "_plain"))).over(table)), lambda x: x["_plain"])
@@ -277,13 +303,14 @@ def _summaries(rows: DataFrame, key: str, table) -> DataFrame:
     part = F.regexp_replace(F.regexp_replace(first, "소계", ""), "계", "")
     so_far = table.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("category", F.when(summary & ~c("total"), F.last(F.when(~c("total") & (first != ""), part), ignorenulls=True).over(so_far)))
-    subtotal = first.contains("소계") | first.rlike(r"^.{0,20}계(\(.*\))?$") | second.isin("계", "소계") | second.rlike("합계|총계")
+    subtotal = first.contains("소계") | _is_sum(first) | second.isin("계", "소계") | second.rlike("합계|총계")
     empty = c("guarantee").isNull() & c("balance").isNull() & c("limit").isNull()
     rows = rows.where(~summary | ~((subtotal & ~c("total")) | (c("total") & c("_mixed")) | empty))
     loan = F.get(F.filter(F.slice("cells", 2, F.greatest(F.lit(1), F.coalesce("_limit", "_guarantee", F.lit(1)) - 1)), lambda x: squeezed(x).rlike("PF|브릿지")), F.lit(0))
     rows = rows.withColumn("pf_type", F.when(summary & ~c("total"), F.coalesce(loan, _cell(F.lit(1)))))
     # one table for the whole consortium whose heading says that the amounts are the company's
-    whose = F.get("_names", c("_guarantee")).rlike(r"^보증금액\(?(연결|당사|회사)")
+    named = F.regexp_replace(F.get("_names", c("_guarantee")), r"[()]", "")
+    whose = reduce(or_, [named.startswith(f"보증금액{w}") for w in OWN_AMOUNTS])
     shared = F.max((c("scope") == SHARE).cast("int")).over(Window.partitionBy(key))
     return rows.withColumn("scope", F.when((c("_scope") == ALL) & whose & (F.coalesce(shared, F.lit(0)) == 0) & summary, SHARE).otherwise(c("scope")))
 
@@ -294,7 +321,7 @@ def _sites(rows: DataFrame, key: str, table, at, begins, money) -> DataFrame:
     site = c("role") == "SITE"
     region, loan = _cell(begins("사업지역")), _cell(begins("PF종류"))
     joined, place = F.array_join("_plain", ""), squeezed(region)
-    is_sum = joined.rlike("조기상환조항|기타사항|소계|합계|(단독사업|컨소시엄)계") | (place.rlike(r"^.{0,20}계(\(.*\))?$") & (loan.isNull() | (squeezed(loan) == place)))
+    is_sum = _any(joined, NO_SITE) | (_is_sum(place) & (loan.isNull() | (squeezed(loan) == place)))
     usable = c("guarantee").isNotNull() & region.isNotNull() & ~F.regexp_replace(place, "[(),%-]", "").rlike(r"^[0-9]+(\.[0-9]+)?$")
     rows = rows.where(~site | (usable & ~is_sum))
     related = at(lambda n: n.startswith("채무자") & n.contains("특수관계"))
@@ -323,7 +350,9 @@ def reports(found: DataFrame, key: str) -> DataFrame:
     c = F.col
     scope = Window.partitionBy(key, "role", "scope")
     document = Window.partitionBy(key)
-    mark = F.nullif(F.regexp_extract("text", r"(\(주\d+\))[^()]{0,40}자체사업", 1), F.lit(""))
+    # the first numbered note that soon speaks of own projects
+    notes = F.filter(F.split("text", "[(]주"), lambda x: F.left(F.regexp_extract(x, "^[0-9]+[)]([^()]*)", 1), F.lit(44)).contains("자체사업"))
+    mark = F.concat(F.lit("(주"), F.regexp_extract(F.get(notes, F.lit(0)), "^[0-9]+", 0), F.lit(")"))
     whole = {
         "_mark": F.first(F.when(c("role") == "TEXT", mark), ignorenulls=True).over(document),
         "_read": F.max(F.when(c("role") == "SUMMARY", 1).otherwise(0)).over(document),
@@ -360,7 +389,8 @@ def reports(found: DataFrame, key: str) -> DataFrame:
         *[F.sum(x).cast(MONEY).alias(x) for x in ("bridge_guarantee", "bridge_balance", "sites_guarantee")], F.sum("n_sites").alias("n_sites"), F.sum("_n").alias("n_summary"),
         F.max("text").alias("text"), F.coalesce(F.bool_or(c("_own_guarantee").isNotNull()), F.lit(False)).alias("_own"),
     )
-    absent = (c("text").contains("해당사항없") & ~c("text").contains("신용보강")) | c("text").rlike("PF.{0,30}(신용보강|보증).{0,15}(없습니다|없음|제공하지않)")
+    denied = F.exists(F.split("text", "[.]"), lambda x: x.contains("PF") & _any(x, ["신용보강", "보증"]) & _any(x, NOTHING))
+    absent = (c("text").contains("해당사항없") & ~c("text").contains("신용보강")) | denied
     parsed = (c("n_summary") > 0) | (c("n_sites") > 0)
     reconciled = F.when(c("guarantee") != 0, F.abs(c("sites_guarantee") - c("guarantee")) <= F.abs("guarantee") * TOLERANCE)
     status = F.when(parsed, "PARSED").when(absent, "NONE").otherwise("NO_STANDARD")

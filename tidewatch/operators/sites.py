@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names of quarters, townships and villages in a sentence, the lot number behind one, and marks of several places. Fixed values.
-QUARTER = r"(?<![가-힣0-9])([가-힣][가-힣0-9]*\d가|[가-힣][가-힣0-9]*(?:동|읍|면|리))(?=$|[\s,~·()\[\]0-9산])"
-LOT = r"(?=(\s*(?:산\s?)?\d{1,5}(?:\s*-\s*\d{1,5})?)?)"
-SEVERAL = r"[~～,、·/]|\s및\s"
+#: What names of quarters, townships and villages end in; a quarter's number and 가 come after its name. Fixed values.
+ENDINGS = ["동", "읍", "면", "리"]
+#: What stands between the names of several places. Fixed values.
+BETWEEN = ["~", "～", ",", "、", "·", "/", " 및 "]
+#: Put behind each name while a text is cut.
+_MARK = "\u0001"
 #: Longest name of a village and of anything else that is taken for a place. Fixed values.
 LONGEST_VILLAGE, LONGEST = 5, 8
 
 
+def _places(text: Column) -> Column:
+    """(name, lot) of the places that a text names, in order; the lot is null where no number follows.
+
+    A name ends where one of its endings is followed by something else than a letter, or by the lot number of a mountain. The
+    text is cut behind the ends; a name is the last word of its piece, and a lot what the next piece begins with.
+    """
+    ends = "|".join(ENDINGS)
+    marked = F.regexp_replace(text, f"((?:{ends})(?![0-9]+가)|[0-9]가)(?=$|[^가-힣]|산 ?[0-9])", f"$1{_MARK}")
+    pieces = F.split(marked, _MARK)
+    name = lambda i: F.regexp_extract(F.get(pieces, i), "([가-힣0-9]+)$", 1)
+    lot = lambda i: F.regexp_extract(F.get(pieces, i + 1), r"^\s*(?:산 ?)?[0-9]{1,5}(?:\s*-\s*[0-9]{1,5})?", 0)
+    each = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda _, i: F.struct(name(i).alias("name"), F.nullif(lot(i), F.lit("")).alias("lot")))
+    return F.filter(each, lambda t: t["name"].rlike("^[가-힣]."))
+
+
 def _township(name: Column) -> Column:
     return name.endswith("읍") | name.endswith("면")
 
@@ -25,14 +45,14 @@ def locate(sites: DataFrame, places: DataFrame) -> DataFrame:
     word then has to be in the text where several fit), or as a township of which all villages count. A text that
     names several places is MULTI, unless they are villages of the one township that it begins with.
     """
-    token = F.arrays_zip(F.regexp_extract_all("text", F.lit(QUARTER + LOT), 1).alias("name"), F.regexp_extract_all("text", F.lit(QUARTER + LOT), 2).alias("lot"))
+    token = _places(F.col("text"))
     fits = lambda t: F.length(t["name"]) <= F.when(t["name"].endswith("리"), LONGEST_VILLAGE).otherwise(LONGEST)
     s = sites.select("id", "text", "lawd_cds", F.coalesce(F.filter(token, fits), F.array().cast("array<struct<name:string,lot:string>>")).alias("tokens"))
     s = s.withColumn("names", F.transform("tokens", lambda t: t["name"]))
     above = F.array_distinct(F.filter("names", _township))
     first = F.get("names", F.lit(0))
     under_one = (F.size(above) == 1) & (first == F.get(above, F.lit(0))) & F.forall(F.slice("names", 2, 1000000), lambda n: n.endswith("리"))
-    spread = F.col("text").rlike(SEVERAL) & (F.size(F.array_distinct("names")) > 1)
+    spread = reduce(or_, [F.col("text").contains(mark) for mark in BETWEEN]) & (F.size(F.array_distinct("names")) > 1)
     s = s.withColumn("kind", F.when(F.size("names") == 0, "NONE").when(spread & under_one, "TOWNSHIP").when(spread, "MULTI").otherwise("ONE"))
 
     # every name against every district of the site, by three equi-joins
