@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 def test_oracle(spark, name):
     got = queries.queries()[name](spark, SF)
     base = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     found = base.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in found.description]
