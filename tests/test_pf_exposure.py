@@ -73,31 +73,32 @@ def test_sites_that_are_read_in_part_are_not_given(spark):
     assert (r["status"], r["n_sites"]) == ("NO_STANDARD", 0)
 
 
-def due(spark, names, *rows, **more):
-    found, out = read(spark, summary(list(rows), names, **more))
-    return out[0]
+def dues(spark, *cases):
+    """Reports of one-row tables, given by their due columns and their cells behind the limit, guarantee and balance of 100."""
+    return read(spark, *[summary([["기타사업", "본PF", "100", "100", "100", *cells, "-"]], names) for names, cells in cases])[1]
 
 
 def test_due_columns_that_are_up_to_a_time(spark):
     names = ["3개월이내", "6개월이내", "1년이내", "2년이내"]
-    fits = due(spark, names, ["기타사업", "본PF", "100", "100", "100", "10", "20", "30", "40", "-"])
+    fits, cumulative, overdue = dues(spark, (names, ["10", "20", "30", "40"]), (names, ["10", "30", "60", "100"]), (["만기경과", *names], ["5", "10", "20", "30", "40"]))
     assert (fits["m3"], fits["m6"], fits["m12"], fits["y2"], fits["due_within_12m"], fits["note"]) == (10 * M, 20 * M, 30 * M, 40 * M, 60 * M, None)
-    cumulative = due(spark, names, ["기타사업", "본PF", "100", "100", "100", "10", "30", "60", "100", "-"])
     assert (cumulative["m3"], cumulative["due_within_12m"], cumulative["note"]) == (None, None, "DUE_UNREAD")
-    overdue = due(spark, ["만기경과", *names], ["기타사업", "본PF", "100", "100", "100", "5", "10", "20", "30", "40", "-"])
     assert (overdue["due_within_12m"], overdue["note"]) == (None, "DUE_UNREAD")
 
 
 def test_due_columns_that_join_or_lack_buckets(spark):
-    joined = due(spark, ["6개월이내", "6개월초과12개월이내", "12개월초과"], ["기타사업", "본PF", "100", "100", "100", "45", "-", "55", "-"])
+    joined, sparse, across, empty, later = dues(
+        spark,
+        (["6개월이내", "6개월초과12개월이내", "12개월초과"], ["45", "-", "55"]),
+        (["3개월~6개월", "1년~2년"], ["30", "70"]),
+        (["3년이내"], ["100"]),
+        (DUE, ["-"] * 6),
+        (DUE, ["-", "-", "-", "-", "100", "-"]),
+    )
     assert (joined["m3"], joined["m6"], joined["m12"], joined["due_within_12m"], joined["note"]) == (None, None, None, 45 * M, "DUE_NOT_SPLIT")
-    sparse = due(spark, ["3개월~6개월", "1년~2년"], ["기타사업", "본PF", "100", "100", "100", "30", "70", "-"])
     assert (sparse["m3"], sparse["m6"], sparse["y2"], sparse["due_within_12m"], sparse["note"]) == (None, 30 * M, 70 * M, 30 * M, None)
-    across = due(spark, ["3년이내"], ["기타사업", "본PF", "100", "100", "100", "100", "-"])
     assert (across["due_within_12m"], across["note"]) == (None, "DUE_UNREAD")
-    empty = due(spark, DUE, ["기타사업", "본PF", "100", "100", "100", *["-"] * 6, "-"])
     assert (empty["due_within_12m"], empty["note"]) == (None, "DUE_EMPTY")
-    later = due(spark, DUE, ["기타사업", "본PF", "100", "100", "100", "-", "-", "-", "-", "100", "-", "-"])
     assert later["due_within_12m"] == 0
 
 
