@@ -23,6 +23,12 @@ BATCH_ROWS = 1000
 SLICE_BYTES = 1 << 20
 #: The repeat filter's slots. Its size is fixed: it is broadcast.
 SLOT_BITS = 28
+#: Keys are counted by their upper FINE_BITS, so that two of them rarely count as one; a slot covers 2 ** (FINE_BITS - SLOT_BITS) of these places.
+FINE_BITS = 36
+#: Ranges that the slots are cut into; a task works through one after another.
+RANGES = 1024
+#: Keys that a task packs at a time.
+PACKED = 1 << 22
 #: A slot counted fewer times is never listed as frequent.
 FREQUENT = 16
 
@@ -200,32 +206,48 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 COUNTS_SCHEMA = "bucket int, gaps binary, n int"
 
 
-def packed_slots(slots: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows of COUNTS_SCHEMA: sorted slot numbers, repeats included, as gaps of a byte each (255: add 255 and go on)."""
-    slots = np.sort(slots.astype(np.int64))
-    edges = (np.arange(buckets + 1, dtype=np.int64) << SLOT_BITS) // buckets
-    cut = np.searchsorted(slots, edges)
+def packed_slots(places: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of COUNTS_SCHEMA: sorted places, repeats included, as gaps of seven bits a byte (the eighth: more follows)."""
+    places = np.sort(places.astype(np.int64))
+    edges = _edges(buckets)
+    cut = np.searchsorted(places, edges)
     rows: list[tuple[int, bytes, int]] = []
     for b in range(buckets):
-        own = slots[cut[b] : cut[b + 1]]
+        own = places[cut[b] : cut[b + 1]]
         if len(own):
-            gap = np.diff(own, prepend=edges[b])
-            long = gap // 255
-            out = np.full(int(long.sum()) + len(gap), 255, np.uint8)
-            out[np.cumsum(long + 1) - 1] = gap % 255
-            rows.append((b, out.tobytes(), len(own)))
+            rows.append((b, _packed(np.diff(own, prepend=edges[b])), len(own)))
     kinds = [pa.int32(), pa.binary(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(3)], ["bucket", "gaps", "n"])
 
 
+def _edges(buckets: int) -> np.ndarray:
+    """Where the ranges of places begin and end: at edges of slots."""
+    return ((np.arange(buckets + 1, dtype=np.int64) << SLOT_BITS) // buckets) << (FINE_BITS - SLOT_BITS)
+
+
+def _packed(gaps: np.ndarray) -> bytes:
+    size = np.ones(len(gaps), np.int64)
+    for bits in range(7, FINE_BITS + 1, 7):
+        size += gaps >= 1 << bits
+    begin = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for j in range(int(size.max())):
+        own = np.flatnonzero(size > j)
+        out[begin[own] + j] = ((gaps[own] >> (7 * j)) & 127) | np.where(size[own] > j + 1, 128, 0)
+    return out.tobytes()
+
+
 def _unpacked(gaps: bytes, low: int) -> np.ndarray:
     raw = np.frombuffer(gaps, np.uint8)
-    return (low + np.cumsum(raw.astype(np.int64)))[raw != 255]
+    last = raw < 128
+    begin = np.flatnonzero(np.r_[True, last[:-1]])
+    place = np.arange(len(raw)) - np.repeat(begin, np.diff(begin, append=len(raw)))
+    return low + np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), begin))
 
 
 def slot_buckets(spark: SparkSession) -> int:
-    """Ranges that the slots are cut into: enough to keep a task's counts to a few MB."""
-    return max(partitions(spark), 64)
+    """Ranges that the slots are cut into: enough to keep what a task counts at once to a few MB."""
+    return max(partitions(spark), RANGES)
 
 
 def slot(h: np.ndarray) -> np.ndarray:
@@ -233,36 +255,46 @@ def slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def fine(h: np.ndarray) -> np.ndarray:
+    """The place at which each hash is counted."""
+    return (h >> np.uint64(64 - FINE_BITS)).astype(np.int64)
+
+
 def slot_counts(packed: DataFrame, buckets: int, most_frequent: int = 0):
-    """A bitmap of the slots counted at least twice, and at most ``most_frequent`` of the most frequent slots with counts.
+    """A bitmap of the slots that hold a place counted at least twice, and at most ``most_frequent`` of the most frequent slots with the counts of their fullest places.
 
-    ``packed`` has COUNTS_SCHEMA rows. Each bucket covers its own range of slots and a task works through
-    one bucket after another, so what it holds is bounded by the slots of a range (counts, not rows, are kept). What reaches the driver
+    ``packed`` has COUNTS_SCHEMA rows. Only keys that repeat fill the bitmap, so it tells the others apart until those that repeat,
+    and not all there are, come near 2 ** SLOT_BITS. Each bucket covers its own range and a task works through
+    one bucket after another, so what it holds are the places of one range in a thousand. What reaches the driver
     is 2 ** SLOT_BITS bits, compressed, and ``most_frequent`` counts, whatever the input's size.
     """
     spark = packed.sparkSession
-
-    def counted(b: int, total: np.ndarray) -> pa.RecordBatch:
+    edges = _edges(buckets)
+    extra = FINE_BITS - SLOT_BITS
+
+    def counted(b: int, parts: list[np.ndarray]) -> pa.RecordBatch:
+        places, n = np.unique(np.concatenate(parts), return_counts=True)
+        places, n = places[n >= 2] >> extra, n[n >= 2]
+        total = np.zeros((edges[b + 1] - edges[b]) >> extra, np.int32)
+        np.maximum.at(total, places - (edges[b] >> extra), n.astype(np.int32))
         bits = zlib.compress(np.packbits(total >= 2, bitorder="little").tobytes(), 1)
         top = np.flatnonzero(total >= FREQUENT) if most_frequent else np.zeros(0, np.int64)
         if len(top) > most_frequent:
             top = top[np.argpartition(total[top], -most_frequent)[-most_frequent:]]
-        values = [b], [bits], [(top + (b << SLOT_BITS) // buckets).astype("<u4").tobytes()], [total[top].astype("<u4").tobytes()]
+        values = [b], [bits], [(top + (edges[b] >> extra)).astype("<u4").tobytes()], [total[top].astype("<u4").tobytes()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "bits", "slots", "counts"])
 
     def count(batches):
-        held, total = None, None
+        held, parts = None, []
         for batch in batches:
             for b, gaps in zip(batch.column("bucket").to_pylist(), batch.column("gaps"), strict=True):
-                low, high = (b << SLOT_BITS) // buckets, ((b + 1) << SLOT_BITS) // buckets
                 if b != held:
                     if held is not None:
-                        yield counted(held, total)
-                    held, total = b, np.zeros(high - low, np.int32)
-                where, n = np.unique(_unpacked(gaps.as_py(), low) - low, return_counts=True)
-                total[where] += n.astype(np.int32)
+                        yield counted(held, parts)
+                    held, parts = b, []
+                parts.append(_unpacked(gaps.as_py(), edges[b]))
         if held is not None:
-            yield counted(held, total)
+            yield counted(held, parts)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     done = packed.repartition(min(buckets, partitions(spark)), "bucket").sortWithinPartitions("bucket").mapInArrow(released(count), "bucket int, bits binary, slots binary, counts binary")

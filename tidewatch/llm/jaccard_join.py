@@ -74,16 +74,16 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def count_slots(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed slots of all documents' shingles."""
+    """Packed places of all documents' shingles."""
 
     def count(batches):
         tokens.forget()  # workers are kept, and so would be the words of an earlier job in them
         held, n = [], 0
         for batch in batches:
             for _, _, _, key in shingles(batch.column(0)):
-                held.append(common.slot(key))
+                held.append(common.fine(key))
                 n += len(key)
-            if n > 1 << 21:
+            if n > common.PACKED:
                 yield common.packed_slots(np.concatenate(held), buckets)
                 held, n = [], 0
         if n:

@@ -73,15 +73,15 @@ def fragments(column: pa.Array):
 
 
 def count_slots(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed slots of the minimizers of all fragments."""
+    """Packed places of the minimizers of all fragments."""
 
     def count(batches):
         held, n = [], 0
         for batch in batches:
             for *_, key in fragments(batch.column(0)):
-                held.append(common.slot(key))
+                held.append(common.fine(key))
                 n += len(key)
-            if n > 1 << 21:
+            if n > common.PACKED:
                 yield common.packed_slots(np.concatenate(held), buckets)
                 held, n = [], 0
         if n:
