@@ -77,22 +77,32 @@ def consortium(raw: Column) -> Column:
 
     Of names that are alike but for company forms, divisions, marks and case the first one stays.
     """
-    text = F.rtrim(F.regexp_replace(F.trim(raw), r"\s", " "))
     cut = lambda x, n: F.rtrim(F.left(x, F.length(x) - n))
-    # how many others: a number behind the word for them, with or without a unit
-    bare = F.rtrim(F.regexp_replace(text, "(개사|개|사)$", ""))
-    number_ = F.regexp_extract(bare, "([0-9]{1,2})$", 1)
-    before = cut(bare, F.length(number_))
-    counted = (number_ != "") & before.endswith("외")
-    extra = F.when(counted, number_.cast("int"))
-    more = ~counted & text.endswith(" 등")
-    body = F.when(counted, cut(before, 1)).when(more, cut(text, 1)).otherwise(text)
-    body = F.when(body.endswith("컨소시엄"), cut(body, 4)).otherwise(body)
-    parts = F.transform(F.split(F.translate(body, "/、·ㆍ", ",,,,"), ","), lambda x: F.trim(x))
     key = lambda x: _stripped(F.regexp_replace(x, _DIVISION, ""))
-    keys = F.transform(parts, key)
-    first = F.filter(parts, lambda x, i: (key(x) != "") & (F.array_position(keys, key(x)) == i + 1))
-    return F.struct(first.alias("names"), F.coalesce(extra, F.lit(0)).alias("extra"), F.coalesce(more, F.lit(False)).alias("more"))
+
+    def counted(text: Column) -> Column:
+        # how many others: a number behind the word for them, with or without a unit
+        bare = F.rtrim(F.regexp_replace(text, "(개사|개|사)$", ""))
+        return _let(bare, lambda bare: _let(F.regexp_extract(bare, "([0-9]{1,2})$", 1), lambda n: _let(cut(bare, F.length(n)), lambda before: read(text, n, before))))
+
+    def read(text: Column, number_: Column, before: Column) -> Column:
+        counted = (number_ != "") & before.endswith("외")
+        more = ~counted & text.endswith(" 등")
+        body = F.when(counted, cut(before, 1)).when(more, cut(text, 1)).otherwise(text)
+        body = _let(body, lambda x: F.when(x.endswith("컨소시엄"), cut(x, 4)).otherwise(x))
+        parts = F.transform(F.split(F.translate(body, "/、·ㆍ", ",,,,"), ","), lambda x: F.trim(x))
+        extra = F.when(counted, number_.cast("int"))
+        return F.struct(_let(parts, once).alias("names"), F.coalesce(extra, F.lit(0)).alias("extra"), F.coalesce(more, F.lit(False)).alias("more"))
+
+    def once(parts: Column) -> Column:
+        return _let(F.transform(parts, key), lambda keys: F.filter(parts, lambda _, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1)))
+
+    return _let(F.rtrim(F.regexp_replace(F.trim(raw), r"\s", " ")), counted)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def csv_safe(text: Column) -> Column:

@@ -145,6 +145,8 @@ def consortium_members(spark, sf_dir):
     form = F.element_at(F.array(*map(F.lit, (" 컨소시엄", " 외 2개사", " 등", ""))), (F.col("p_partkey") % 4 + 1).cast("int"))
     first = F.get(F.split("p_name", " "), F.lit(0))
     raw = F.concat(F.regexp_replace("p_name", " ", "(주), "), F.lit(" , ㈜"), first, form)
-    s = table(spark, sf_dir, "part").select("p_partkey", names.consortium(raw).alias("c"))
+    # a small file is one task; what is done to a row is worth more of them
+    parts = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    s = parts.select("p_partkey", names.consortium(F.col("raw")).alias("c"))
     bare = F.transform("c.names", lambda x: F.regexp_replace(x, r"\(주\)|㈜", ""))
     return s.select("p_partkey", F.array_join(bare, "|").alias("names"), "c.extra", "c.more")
