@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,26 +100,29 @@ def greedy_non_overlap(df: DataFrame, keys: Sequence[str], entry: str, span: int
     """``name``: whether an event counts, taking each key's events in order and leaving out those that
     enter less than ``span`` after the last one that counted. What was left out moves nothing, so the
     scan is sequential within an island of a key: an event that enters ``span`` or more after all before it
-    counts in any case, so it starts an island. ``span`` is not negative."""
+    counts in any case, so it starts an island. Islands are dealt and scanned in one stream, a number of state each. ``span`` is not negative."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema.fields)}, `{name}` boolean"
 
     ship(df.sparkSession)
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     before = F.max(entry).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = df.withColumn("_new", F.when(F.col(entry) >= before + span, 1).otherwise(0))
+    cut = df.withColumn("_place", F.row_number().over(w)).withColumn("_new", F.when(F.col(entry) >= before + span, 1).otherwise(0))
     cut = cut.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = cut.withColumn("_first", (F.col("_place") == 1) | (F.col("_new") == 1)).drop("_new")
     columns = df.columns
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order))
-        used, free = [], None
-        for e in group[entry]:
-            ok = not pd.isna(e) and (free is None or e >= free)
-            free = e + span if ok else free
-            used.append(ok)
-        return group[columns].assign(**{name: used})
-
-    return cut.groupBy(*keys, "_island").applyInPandas(scan, schema)
+    def scan(batches):
+        free = None
+        for batch in batches:
+            used = []
+            for first, e in zip(batch.column("_first").to_pylist(), batch.column(entry).to_pylist(), strict=True):
+                free = None if first else free
+                ok = e is not None and e == e and (free is None or e >= free)
+                free = e + span if ok else free
+                used.append(ok)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(used, pa.bool_())], [*columns, name])
+
+    return cut.repartition(*keys, "_island").sortWithinPartitions(*keys, "_island", "_place").mapInArrow(scan, schema)
 
 
 def any_break(bars: DataFrame, keys: Sequence[str], index: str, level: str, span: int, limit: float, name: str = "broken") -> DataFrame:
