@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["rule_code", "target", "as_of"]
+#: Subscriptions, a row for each pair of a rule and a target, that every task gets whole.
+FEW_SUBSCRIPTIONS = 10_000
 
 
 def plan(active: DataFrame, findings: DataFrame, outcome: DataFrame) -> DataFrame:
@@ -87,7 +89,9 @@ def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
     ``events``: alert_id, kind, rule_code, target_type, target, severity; ``subscriptions``: owner,
     enabled, target_type, rule_codes, min_severity, targets (null: all). A reopened alert is unread again.
-    Lists are exploded and "all" is a mark of its own, so that events meet subscriptions on equal keys.
+    Lists are exploded and "all" is a mark of its own, so that events meet subscriptions on equal keys. Alerts are dealt
+    first and stay there where subscriptions are few; of more, those that ask for all targets have a copy for each
+    part of the alerts, so that no task gets all events.
     """
     rank = lambda x: F.when(x == "HIGH", 3).when(x == "MEDIUM", 2).otherwise(1)
     c = F.col
@@ -96,7 +100,16 @@ def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     marks = lambda x: F.explode(F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), c(x).cast("string")))))
     s = subscriptions.where("enabled").select("owner", c("target_type").alias("_type"), rank(c("min_severity")).alias("_least"), F.explode(wanted("rule_codes")).alias("_rule"), "targets")
     s = s.select("owner", "_type", "_least", "_rule", F.explode(wanted("targets")).alias("_target"))
-    e = events.select("alert_id", "kind", "target_type", rank(c("severity")).alias("_rank"), "target", marks("rule_code").alias("_rule"))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = events.select("alert_id", "kind", "target_type", rank(c("severity")).alias("_rank"), "target", "rule_code").repartition(parts, "alert_id")
+    e = e.select("alert_id", "kind", "target_type", "_rank", "target", marks("rule_code").alias("_rule"))
     e = e.select("alert_id", "kind", "target_type", "_rank", "_rule", marks("target").alias("_target"))
-    met = e.join(s, ["_rule", "_target"]).where((c("_type").isNull() | (c("_type") == c("target_type"))) & (c("_rank") >= c("_least")))
+    if s.limit(FEW_SUBSCRIPTIONS + 1).count() <= FEW_SUBSCRIPTIONS:
+        met = e.join(F.broadcast(s), ["_rule", "_target"])
+    else:
+        every = c("_target") == "*"
+        s = s.withColumn("_part", F.explode(F.when(every, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+        e = e.withColumn("_part", F.when(every, F.pmod(F.xxhash64("alert_id"), F.lit(parts))).otherwise(0).cast("int"))
+        met = e.hint("merge").join(s, ["_rule", "_target", "_part"])
+    met = met.where((c("_type").isNull() | (c("_type") == c("target_type"))) & (c("_rank") >= c("_least")))
     return met.groupBy("owner", "alert_id").agg(F.max((c("kind") == "REOPENED").cast("int")).alias("_r")).select("owner", "alert_id", (c("_r") == 1).alias("revived"))
