@@ -7,6 +7,7 @@ due columns may be believed. Everything of a document stays in one partition, de
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -43,6 +44,11 @@ MONEY = "decimal(30,2)"
 _TOTALS = ["limit", "guarantee", "balance", "prior", *BUCKETS, "w12"]
 
 
+#: A tag of those that tables and texts are made of, with quoted attributes; whatever else begins with < is left to the parser.
+_TAG = re.compile(r"""<(/?)(table|thead|tbody|tr|th|td|tu|te|p|span|div|br|b)((?: [a-z]+=(?:'[^'<>]*'|"[^"<>]*"))*)>""")
+_ATTRIBUTE = re.compile(r"""([a-z]+)=(?:'([^']*)'|"([^"]*)")""")
+
+
 class _Blocks(_Tables):
     """Paragraphs outside tables and outermost tables, in order, and all of the text."""
 
@@ -52,6 +58,23 @@ class _Blocks(_Tables):
         self.words: list[str] = []
         self.paragraph: list[str] | None = None
 
+    def read(self, html: str) -> None:
+        """All of a document; one of plain lower-case tags alone is split at them instead of parsed."""
+        parts = _TAG.split(html)
+        if "&" in html or any("<" in text for text in parts[::4]):
+            self.feed(html)
+            self.close()
+            return
+        for text, end, tag, attrs in zip(parts[::4], parts[1::4], parts[2::4], parts[3::4]):  # noqa: B905  the text behind the last tag comes after
+            if text:
+                self.handle_data(text)
+            if end:
+                self.handle_endtag(tag)
+            else:
+                self.handle_starttag(tag, [(name, a or b) for name, a, b in _ATTRIBUTE.findall(attrs)] if attrs else [])
+        if parts[-1]:
+            self.handle_data(parts[-1])
+
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.end_paragraph()
@@ -93,8 +116,7 @@ def blocks(documents: DataFrame, key: str, html: str) -> DataFrame:
             out = []
             for k, h in zip(f[key], f[html], strict=True):
                 parser = _Blocks()
-                parser.feed(h or "")
-                parser.close()
+                parser.read(h or "")
                 parser.end_paragraph()
                 out.append((k, -1, 0, False, "".join("".join(parser.words).split()), None))
                 for b, (text, t) in enumerate(parser.blocks):
@@ -216,14 +238,17 @@ def lines(documents: DataFrame, key: str, html: str) -> DataFrame:
     numeric = lambda x: F.regexp_replace(x, "[(),%-]", "").rlike(r"^[0-9]+(\.[0-9]+)?$") & ~dated(x)
     rows = rows.withColumn("_plain", plain).withColumn("_two", (c("row_no") > 0) & (F.size(F.filter("_plain", numeric)) >= 2))
     rows = rows.withColumn("_h", F.min(F.when(c("_two"), c("row_no"))).over(table))
-    heads = F.transform(F.array_sort(F.collect_list(F.when(c("row_no") < c("_h"), F.struct("row_no", "_plain"))).over(table)), lambda x: x["_plain"])
+    heads = F.transform(F.array_sort("_heads"), lambda x: x["_plain"])
     down = lambda i: F.filter(F.transform(c("_heads"), lambda row: F.coalesce(F.get(row, i), F.lit(""))), lambda v: (v != "") & ~v.startswith("(단위"))
     name = lambda _, i: F.array_join(F.filter(F.transform(down(i), lambda v, k: F.when((k == 0) | (v != F.get(down(i), k - 1)), v)), lambda v: v.isNotNull()), "|")
-    rows = rows.withColumn("_heads", heads).withColumn("_names", F.when(F.size("_heads") > 0, F.transform(F.get("_heads", F.lit(0)), name)))
+    # what holds for a whole table is worked out on one of its rows
+    rows = rows.withColumn("_heads", F.collect_list(F.when(c("row_no") < c("_h"), F.struct("row_no", "_plain"))).over(table))
+    rows = rows.withColumn("_heads", F.when(c("row_no") == 0, heads)).withColumn("_names", F.when(F.size("_heads") > 0, F.transform(F.get("_heads", F.lit(0)), name)))
     has = lambda words: F.forall(F.array(*map(F.lit, words)), lambda w: F.exists("_names", lambda n: n.contains(w)))
     site_like = has(SITE_NAMES)
     kind = F.when(has(SUMMARY_NAMES) & ~F.exists("_names", lambda n: n.contains("사업지역")), "SUMMARY").when(site_like & has(["대출잔액"]), "SITE").when(site_like, "UNREAD")
-    rows = rows.withColumn("role", F.when(c("block_no") < 0, "TEXT").otherwise(kind))
+    rows = rows.withColumn("role", F.when(c("block_no") < 0, "TEXT").when(c("row_no") == 0, kind))
+    rows = rows.withColumns({x: F.first(x, ignorenulls=True).over(table) for x in ("_names", "role")}).drop("_heads")
 
     # a block of the separate statements ends what is read
     seen = F.max((c("role") == "SUMMARY").cast("int")).over(doc.rangeBetween(Window.unboundedPreceding, -1)) == 1
@@ -233,17 +258,19 @@ def lines(documents: DataFrame, key: str, html: str) -> DataFrame:
     # what was written since the last table
     top = c("big") & (c("row_no") == 0)
     rows = rows.withColumn("_group", F.when(c("block_no") >= 0, F.coalesce(F.sum(top.cast("int")).over(doc.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).otherwise(-1))
-    said = F.array_sort(F.collect_list(F.when(~c("big") & (c("block_no") >= 0), F.struct("block_no", "text"))).over(Window.partitionBy(key, "_group")))
-    rows = rows.withColumn("_said", F.array_join(F.transform(said, lambda x: x["text"]), " "))
-    head = F.array_join(F.first(F.when(c("row_no") == 0, c("cells")), ignorenulls=True).over(table), " ")
+    rows = rows.withColumn("_said", F.collect_list(F.when(~c("big") & (c("block_no") >= 0), F.struct("block_no", "text"))).over(Window.partitionBy(key, "_group")))
+    once = top & c("role").isNotNull()
+    rows = rows.withColumn("_said", F.when(once, F.array_join(F.transform(F.array_sort("_said"), lambda x: x["text"]), " ")))
+    head = F.array_join("cells", " ")
     index = F.sum((top & (c("role") == "SUMMARY")).cast("int")).over(doc.rangeBetween(Window.unboundedPreceding, -1))
     said = {
         "_unit": unit(F.concat_ws(" ", head, "_said")),
-        "_scope": scope_of(c("_said"), F.coalesce(index, F.lit(0))),
+        "_scope": scope_of(c("_said"), F.coalesce("_index", F.lit(0))),
         "_other": part_of_others(c("_said")),
         "_kind": F.nullif(F.regexp_extract("_said", "(?s).*(정비사업|기타사업)", 1), F.lit("")),
     }
-    rows = rows.withColumns(said).drop("_said")
+    rows = rows.withColumn("_index", index).withColumn("_about", F.when(once, F.struct(*[x.alias(name) for name, x in said.items()])))
+    rows = rows.withColumn("_about", F.first("_about", ignorenulls=True).over(table)).withColumns({x: c(f"_about.{x}") for x in said}).drop("_said", "_index", "_about")
     rows = rows.where((c("role") == "TEXT") | ((c("role") != "SITE") | ~c("_other")) & c("role").isNotNull() & (c("row_no") >= c("_h")))
 
     # roles of columns
@@ -252,13 +279,19 @@ def lines(documents: DataFrame, key: str, html: str) -> DataFrame:
     balances = F.filter(F.transform("_names", lambda n, i: F.when(n.startswith("대출잔액") | n.contains("|대출잔액"), F.struct(i.alias("i"), n.rlike("[0-9]{1,2}(개월|월|년)").alias("due")))), lambda x: x.isNotNull())
     balances = F.filter(balances, lambda x: ~x["due"] | (c("role") == "SITE"))["i"]
     money = lambda i: (number(F.regexp_replace(_cell(i), r"\s", "")) * c("_unit")).cast(MONEY)
-    rows = rows.withColumns({"_limit": begins("보증한도"), "_guarantee": begins("보증금액"), "_balances": balances})
+    places = {
+        "_limit": begins("보증한도"), "_guarantee": begins("보증금액"), "_balances": balances, "_overdue": at(lambda n: n.contains("만기경과")),
+        "_region": begins("사업지역"), "_loan": begins("PF종류"), "_enhancement": begins("신용보강"), "_completion": begins("책임준공"),
+        "_related": at(lambda n: n.startswith("채무자") & n.contains("특수관계")), "_debtor": at(lambda n: n.startswith("채무자") & ~n.contains("특수관계")),
+    }
+    rows = rows.withColumn("_at", F.when(c("row_no") == c("_h"), F.struct(*[x.alias(name) for name, x in places.items()])))
+    rows = rows.withColumn("_at", F.first("_at", ignorenulls=True).over(table)).withColumns({x: c(f"_at.{x}") for x in places}).drop("_at")
     current = F.get("_balances", F.lit(0))
     previous = F.when(F.size("_balances") > 1, F.when(c("role") == "SITE", F.get("_balances", F.lit(1))).otherwise(F.element_at("_balances", -1)))
     rows = rows.withColumns({"limit": money(c("_limit")), "guarantee": money(c("_guarantee")), "balance": money(current), "prior": money(previous)})
     rows = _dated(rows, table, money, current, previous)
     rows = _summaries(rows, key, table)
-    rows = _sites(rows, key, table, at, begins, money)
+    rows = _sites(rows, key, table, money)
     kept = ["scope", "category", "pf_type", "region", "enhancement", "debtor", "related", "completion", *_TOTALS, "dated", "total"]
     return rows.select(key, "block_no", "row_no", "role", "text", *kept)
 
@@ -272,7 +305,8 @@ def _dated(rows: DataFrame, table, money, current: Column, previous: Column) ->
     c = F.col
     taken = F.array(F.coalesce(current, F.lit(-1)), F.coalesce(previous, F.lit(-1)))
     columns = F.filter(due_columns(c("_names"), F.greatest(F.coalesce("_limit", F.lit(-1)), F.coalesce("_guarantee", F.lit(-1))) + 1), lambda x: ~F.array_contains(taken, x["i"]))
-    rows = rows.withColumn("_due", F.when(c("role") == "SUMMARY", columns))
+    rows = rows.withColumn("_due", F.when((c("role") == "SUMMARY") & (c("row_no") == c("_h")), columns))
+    rows = rows.withColumn("_due", F.first("_due", ignorenulls=True).over(table))
     within = lambda lo, hi: F.get(F.filter("_due", lambda x: (x["lo"] == lo) & (x["hi"] == hi)), F.lit(0))
     place = {b: within(*months) for b, months in BUCKETS.items()}
     standard = place["m3"].isNotNull() & place["m6"].isNotNull() & place["m12"].isNotNull()
@@ -280,7 +314,7 @@ def _dated(rows: DataFrame, table, money, current: Column, previous: Column) ->
     rising = F.forall(F.transform("_due", lambda x, i: (x["lo"] < x["hi"]) & ((x["lo"] >= 12) | (x["hi"] <= 12)) & ((i == 0) | (x["lo"] >= F.get(c("_due")["hi"], i - 1)))), lambda ok: F.coalesce(ok, F.lit(False)))
     nothing = F.lit(0).cast(MONEY)
     add = lambda which: F.aggregate(F.filter("_due", which), nothing, lambda a, x: (a + F.coalesce(money(x["i"]), nothing)).cast(MONEY))
-    overdue = money(_first(c("_names"), lambda n: n.contains("만기경과")))
+    overdue = money(c("_overdue"))
     owed = F.coalesce(c("balance") != 0, F.lit(False))
     wrong = F.coalesce(overdue != 0, F.lit(False)) | (owed & (F.abs(add(lambda x: F.lit(True)) - c("balance")) > F.abs("balance") * TOLERANCE))
     adds_up = (F.max(owed.cast("int")).over(table) == 1) & (F.max(wrong.cast("int")).over(table) == 0) & (F.size("_due") > 0) & rising
@@ -315,27 +349,30 @@ def _summaries(rows: DataFrame, key: str, table) -> DataFrame:
     return rows.withColumn("scope", F.when((c("_scope") == ALL) & whose & (F.coalesce(shared, F.lit(0)) == 0) & summary, SHARE).otherwise(c("scope")))
 
 
-def _sites(rows: DataFrame, key: str, table, at, begins, money) -> DataFrame:
+def _sites(rows: DataFrame, key: str, table, money) -> DataFrame:
     """Sites without sums, notes and tables that list the same sites again."""
     c = F.col
     site = c("role") == "SITE"
-    region, loan = _cell(begins("사업지역")), _cell(begins("PF종류"))
+    region, loan = _cell(c("_region")), _cell(c("_loan"))
     joined, place = F.array_join("_plain", ""), squeezed(region)
     is_sum = _any(joined, NO_SITE) | (_is_sum(place) & (loan.isNull() | (squeezed(loan) == place)))
     usable = c("guarantee").isNotNull() & region.isNotNull() & ~F.regexp_replace(place, "[(),%-]", "").rlike(r"^[0-9]+(\.[0-9]+)?$")
     rows = rows.where(~site | (usable & ~is_sum))
-    related = at(lambda n: n.startswith("채무자") & n.contains("특수관계"))
+    related = c("_related")
     values = {
         "region": F.trim(F.regexp_replace(region, r"\((\*|주)\s*\d*\)", "")),
-        "enhancement": _cell(begins("신용보강")),
-        "debtor": _cell(at(lambda n: n.startswith("채무자") & ~n.contains("특수관계"))),
+        "enhancement": _cell(c("_enhancement")),
+        "debtor": _cell(c("_debtor")),
         "related": F.when(_cell(related).isNotNull(), F.upper(_cell(related)).isin("O", "○", "Y", "예", "해당")),
-        "completion": money(begins("책임준공")),
+        "completion": money(c("_completion")),
     }
     values = {column: F.when(site, value) for column, value in values.items()}
     rows = rows.withColumns(values | {"category": F.when(site, c("_kind")).otherwise(c("category")), "pf_type": F.when(site, loan).otherwise(c("pf_type"))})
-    listed = F.array_sort(F.collect_list(F.when(site, F.struct("row_no", squeezed(c("debtor")), squeezed(c("region"))))).over(table))
-    rows = rows.withColumn("_listed", F.when(site, F.xxhash64(F.to_json(F.transform(listed, lambda x: F.struct(x["col2"], x["col3"]))))))
+    first = table.orderBy("row_no")
+    rows = rows.withColumn("_listed", F.collect_list(F.when(site, F.struct("row_no", squeezed(c("debtor")), squeezed(c("region"))))).over(table)).withColumn("_top", F.row_number().over(first))
+    listed = F.xxhash64(F.to_json(F.transform(F.array_sort("_listed"), lambda x: F.struct(x["col2"], x["col3"]))))
+    rows = rows.withColumn("_listed", F.when(site & (c("_top") == 1), listed))
+    rows = rows.withColumn("_listed", F.first("_listed", ignorenulls=True).over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return rows.withColumn("_once", F.min("block_no").over(Window.partitionBy(key, "_listed"))).where(~site | (c("block_no") == c("_once")))
 
 
