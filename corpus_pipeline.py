@@ -49,10 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows equal in doc_id and text one is kept; rows of one doc_id with different texts are judged each by its own
     text. Rows without a doc_id are in no group and all stay, as do null and empty texts. An empty table gives an empty one.
     """
-    first = jaccard_join.cluster(docs).where("doc_id = text_component").select(F.col("doc_id").alias("_first"), F.col("twin").alias("_twin")).distinct()
+    first = jaccard_join.cluster(docs).where("doc_id = text_component").select("doc_id", F.col("twin").alias("_twin")).distinct()
     rows = _with_row(docs)
-    kept = rows.join(first, (F.col("doc_id") == F.col("_first")) & (jaccard_join.twin() == F.col("_twin")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return _rows(kept.unionByName(rows.where("doc_id is null")), docs.columns)
+    # equal texts have equal twins: what the join dealt out by doc_id and twin need not be dealt again by its texts
+    kept = rows.withColumn("_twin", jaccard_join.twin()).join(first, ["doc_id", "_twin"], "left_semi").dropDuplicates(["doc_id", "_twin", "text"])
+    return _rows(kept.drop("_twin").unionByName(rows.where("doc_id is null")), docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

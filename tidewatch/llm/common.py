@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -87,13 +88,25 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet into the shared folder and read again: cuts lineage, survives lost executors."""
+    """The rows, written as Parquet into the shared folder and read again: cuts lineage, survives lost executors.
+
+    The folder stays until the driver ends, so texts are packed closely.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of jobs that are over.
+
+    It does so once the driver's garbage is collected, which else happens when the heap is full, however full the disks are.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def released(f):
     """``f``, a function over batches, giving what memory it freed back to the system when its task ends.
 

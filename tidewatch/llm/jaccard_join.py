@@ -341,6 +341,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     buckets = common.partitions(spark)
     ranges = common.slot_buckets(spark)
     filter_ = common.slot_counts(count_slots(docs, ranges), ranges, FREQUENT_SLOTS)
+    common.swept(spark)  # the counts, which are most of what is shuffled
     signed = common.saved(signatures(docs, buckets, filter_), "signatures")
     sets = signed.where("bucket is null").select("doc_id", "twin", "n_shingles", "vertex", "grp")
     found = common.saved(lists(signed.where("bucket is not null").select("bucket", "token", "posted", "meta"), buckets), "lists")
@@ -400,6 +401,7 @@ def cluster(docs: DataFrame) -> DataFrame:
         links = links.union(tidy(near)).union(common.saved(verified(second, docs), "more_links"))
         labels = common.components(links, "x", "y")
 
+    common.swept(spark)  # the caller may shuffle its texts
     in_set = lambda found, name: members.select("vertex", "id").join(found, members.id == found.node, "left").select("vertex", F.coalesce("component", "id").alias(name))
     joined = sets.join(in_set(labels, "of_text"), "vertex", "left")
     of_text = F.when(F.col("n_shingles") > 0, F.col("of_text")).otherwise(F.col("doc_id"))
