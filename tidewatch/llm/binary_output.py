@@ -90,7 +90,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str) -> DataFrame:
                 data, index = map(where.open_output_stream, temporary)
             keys = tokens.column(batch, "doc_id")
             offsets = []
-            for doc_id, ids in zip(keys, tokens.with_end(tokens.column(batch, "text"), vocabulary), strict=True):
+            for doc_id, ids in zip(keys, tokens.with_end(batch.column("text"), vocabulary), strict=True):
                 first = doc_id if first is None else first
                 framed = record(doc_id, ids)
                 data.write(framed)
