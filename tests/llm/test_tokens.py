@@ -81,3 +81,12 @@ def test_a_vocabulary_whose_tokens_cross_borders(tmp_path):
         same(["a a b. ab.\na b", "ba. a\na"], str(path))
         assert not tokens._LOADED[str(path)].apart
     assert tokens._load(PATH).apart
+
+
+def test_columns_of_batches_need_not_become_lists():
+    """op2 and op9 hand the column over as it comes, and a part of a column is read as such."""
+    given = ["no", None, "", "ab cd.\nef", "x\ty", "a   b", " "]
+    want = [ids + np.array([tokens.END_ID], "<u4").tobytes() for ids in tokens.encode(given, PATH)]
+    for kind in (pa.string(), pa.large_string()):
+        assert tokens.with_end(pa.array(given, kind), PATH) == want
+        assert tokens.with_end(pa.array(given, kind).slice(2, 3), PATH) == want[2:5]

@@ -33,7 +33,7 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame
     def pieces(batches):
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(tokens.column(batch, "doc_id"), tokens.with_end(tokens.column(batch, "text"), vocabulary), strict=True):
+            for doc_id, ids in zip(tokens.column(batch, "doc_id"), tokens.with_end(batch.column("text"), vocabulary), strict=True):
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 edges = [0, *range(first, n + 1, capacity)]
