@@ -292,3 +292,14 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(120)] + [(500 + rng.randint(0, 40), 500 + rng.randint(0, 40)) for _ in range(30)] + [(7, 7)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == brute.roots({x for p in links for x in p}, links)
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rounds, whole = [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a: rounds.append(1) or whole(self, *a))
+    links = [(1, i) for i in range(2, 9)] + [(20, 21)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == brute.roots({x for p in links for x in p}, links)
+    assert len(rounds) == 2  # the edges, and a round that leaves stars

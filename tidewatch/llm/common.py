@@ -95,16 +95,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    swept(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def swept(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files of jobs that are over.
+    """Have Spark remove the shuffle files of jobs that are over, and the driver give back what memory it freed.
 
-    It does so once the driver's garbage is collected, which else happens when the heap is full, however full the disks are.
+    Spark does so once the driver's garbage is collected, which else happens when the heap is full, however full the disks are.
+    The plans and task reports of a few dozen jobs are garbage enough to grow the heap to its limit; whole collections shrink it again.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _give_back()
+
+
+def _give_back() -> None:
+    """Have this process's allocators return what nothing holds any more."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def released(f):
@@ -117,9 +127,7 @@ def released(f):
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return run
 
@@ -347,7 +355,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an edge; one row each.
 
     Large-star and small-star steps in turn: each hooks nodes to the smallest neighbour, so the
-    number of rounds grows with the logarithm of a component's size. The edges never leave the
+    number of rounds grows with the logarithm of a component's size. They end once the edges are stars: no node
+    hangs on two others, and none that hangs on one has others hanging on it. The edges never leave the
     cluster; each round is checkpointed to the shared folder. A null end drops the edge.
     """
     spark = edges.sparkSession
@@ -356,7 +365,6 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     e = e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     nodes = edges.select(F.explode(F.array(a, b)).alias("node")).where("node is not null").distinct()
     e = e.checkpoint()
-    before = None
     while True:
         both = e.union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -365,8 +373,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct().checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        swept(spark)
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(e.select("v", F.lit(0), F.lit(1)))
+        # one that hangs on two nodes, or hangs and holds others, is no star's
+        ends = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        if ends.where(F.col("hangs") + F.col("holds") > 1).agg(F.count("*")).first()[0] == 0:
             break
-        before = now
     return nodes.join(e, nodes.node == e.u, "left").select("node", F.coalesce("v", "node").alias("component"))

@@ -343,6 +343,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     filter_ = common.slot_counts(count_slots(docs, ranges), ranges, FREQUENT_SLOTS)
     common.swept(spark)  # the counts, which are most of what is shuffled
     signed = common.saved(signatures(docs, buckets, filter_), "signatures")
+    del filter_  # tens of MB of the driver's
     sets = signed.where("bucket is null").select("doc_id", "twin", "n_shingles", "vertex", "grp")
     found = common.saved(lists(signed.where("bucket is not null").select("bucket", "token", "posted", "meta"), buckets), "lists")
 

@@ -447,6 +447,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     buckets, wide = shards(docs), common.partitions(docs.sparkSession)
     ranges = common.slot_buckets(docs.sparkSession)
     filter_ = common.slot_counts(count_slots(docs, ranges), ranges, HOT_SLOTS)
+    common.swept(docs.sparkSession)  # the counts
     return remove(docs, search(cut(docs, buckets, filter_), max(wide, buckets // SHARDS)))
 
 

@@ -192,7 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return zlib.compress(" ".join(WORD.findall((text or "").lower())).encode(), 1)
 
     rows, shift = labelled.sample(docs, labels, "toxic", TRAIN_DOCS, some)
-    return train(((y, passages(zlib.decompress(raw).decode())) for y, raw in rows), shift=shift)
+    model = train(((y, passages(zlib.decompress(raw).decode())) for y, raw in rows), shift=shift)
+    common.swept(docs.sparkSession)  # what the training held
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
